@@ -245,45 +245,38 @@ def adjusted_shape(n: Column, skew: Column, kurt: Column) -> tuple[Column, Colum
     return g1, g2
 
 
-def k2_columns(n: Column, g1: Column, g2: Column) -> dict[str, Column]:
-    """D'Agostino–Pearson: z of skewness, z of kurtosis, K² and its p-value; NULL below 8 rows."""
-    n = n.cast("double")
-    y = g1 * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
-    beta2 = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
-    w2 = -1 + F.sqrt(2 * (beta2 - 1))
-    delta = 1 / F.sqrt(F.lit(0.5) * F.log(w2))
-    alpha = F.sqrt(2 / (w2 - 1))
-    z_skew = delta * F.log(y / alpha + F.sqrt(F.pow(y / alpha, 2) + 1))
-
-    spread = 24 * n * (n - 2) * (n - 3) / (F.pow(n + 1, 2) * (n + 3) * (n + 5))
-    x = (g2 + 3 - 3 * (n - 1) / (n + 1)) / F.sqrt(spread)
-    root_b1 = (
-        6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9))
-        * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
-    )
-    a = 6 + 8 / root_b1 * (2 / root_b1 + F.sqrt(1 + 4 / F.pow(root_b1, 2)))
-    base = 1 + x * F.sqrt(2 / (a - 4))
-    cube = F.signum(base) * F.pow((1 - 2 / a) / F.abs(base), F.lit(1 / 3))
-    z_kurt = (1 - 2 / (9 * a) - cube) / F.sqrt(2 / (9 * a))
-
-    k2 = z_skew * z_skew + z_kurt * z_kurt
-    enough = n >= 8
-    return {
-        "z_skew": F.when(enough, z_skew),
-        "z_kurt": F.when(enough, z_kurt),
-        "k2": F.when(enough, k2),
-        "p_value": F.when(enough, F.exp(-k2 / 2)),
+def with_k2(table: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Add D'Agostino–Pearson z of skewness and kurtosis, K², p and verdict to rows with ``n``,
+    ``skew_pop``, ``kurt_pop``; NULL below 8 rows. Step by step, so that no term is written twice."""
+    n, c = F.col("_n"), F.col
+    steps = {
+        "_n": F.when(c("n") >= 8, c("n").cast("double")),
+        "_y": c("skew_pop") * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2))),
+        "_beta2": 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)),
+        "_w2": -1 + F.sqrt(2 * (c("_beta2") - 1)),
+        "_u": c("_y") * F.sqrt((c("_w2") - 1) / 2),
+        "z_skew": F.asinh("_u") / F.sqrt(F.lit(0.5) * F.log("_w2")),
+        "_spread": 24 * n * (n - 2) * (n - 3) / (F.pow(n + 1, F.lit(2.0)) * (n + 3) * (n + 5)),
+        "_x": (c("kurt_pop") + 3 - 3 * (n - 1) / (n + 1)) / F.sqrt("_spread"),
+        "_b1": 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))),
+        "_a": 6 + 8 / c("_b1") * (2 / c("_b1") + F.sqrt(1 + 4 / (c("_b1") * c("_b1")))),
+        "_base": 1 + c("_x") * F.sqrt(2 / (c("_a") - 4)),
+        "_cube": F.signum("_base") * F.cbrt((1 - 2 / c("_a")) / F.abs("_base")),
+        "z_kurt": (1 - 2 / (9 * c("_a")) - c("_cube")) / F.sqrt(2 / (9 * c("_a"))),
+        "k2": c("z_skew") * c("z_skew") + c("z_kurt") * c("z_kurt"),
+        "p_value": F.exp(-c("k2") / 2),
+        "normal": c("p_value") >= alpha,
     }
+    for name, step in steps.items():
+        table = table.withColumn(name, step)
+    return table.drop(*[name for name in steps if name.startswith("_")])
 
 
 def normality_test(df: DataFrame, cols=None, by=None, alpha: float = 0.05) -> DataFrame:
     """D'Agostino–Pearson K² per column with the verdict at ``alpha``."""
     by, cols = as_list(by), _chosen(df, cols)
     rows = _by_column(drop_missing(df, by), cols, by, lambda c: _shape(df, c)).filter("n > 0")
-    tests = k2_columns(F.col("n"), F.col("skew_pop"), F.col("kurt_pop"))
-    return rows.select(
-        *[F.col(f"`{k}`") for k in by], "variable", "n", *[c.alias(a) for a, c in tests.items()]
-    ).withColumn("normal", F.col("p_value") >= alpha)
+    return with_k2(rows.drop("mean", "sd", "min", "max"), alpha)
 
 
 def outliers(df: DataFrame, cols=None, by=None) -> DataFrame:
