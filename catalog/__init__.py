@@ -6,7 +6,7 @@ import importlib
 
 from pyspark import cloudpickle
 
-MODULES = ("descriptive", "grouping")
+MODULES = ("descriptive", "grouping", "regression", "panels", "figures")
 
 
 def all_entries() -> list:

@@ -144,7 +144,7 @@ TYPES = {
     "l_orderkey": ("numeric", "bigint"), "l_partkey": ("numeric", "bigint"), "l_suppkey": ("numeric", "bigint"),
     "l_linenumber": ("numeric", "int"), "l_quantity": ("numeric", "double"), "l_extendedprice": ("numeric", "double"),
     "l_discount": ("numeric", "double"), "l_tax": ("numeric", "double"), "l_returnflag": ("string", "string"),
-    "l_linestatus": ("string", "string"), "l_shipdate": ("string", "timestamp"),
+    "l_linestatus": ("string", "string"), "l_shipdate": ("string", "timestamp_ntz"),
 }
 
 
@@ -358,7 +358,7 @@ def entries() -> list[Entry]:
             "data_information", lambda s, d: R.data_information(table(s, d, "orders")),
             " UNION ALL ".join(
                 f"SELECT '{c}' AS variable, '{t}' AS type, count({c}) AS non_null, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS \"unique\" FROM orders"
-                for c, t in zip(ORDER_COLUMNS, ["bigint", "bigint", "string", "double", "timestamp", "string"])
+                for c, t in zip(ORDER_COLUMNS, ["bigint", "bigint", "string", "double", "timestamp_ntz", "string"])
             ),
             plain=["variable", "type", "non_null", "nulls", "unique"],
         ),

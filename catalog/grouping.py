@@ -171,7 +171,7 @@ def partial_sql() -> str:
 
 def entries() -> list[Entry]:
     orders = lambda s, d: table(s, d, "orders")
-    grouped = dict(plain=["group", "group_size", "n"], sig=SUMMARY_COLS, digits=8)
+    grouped = dict(plain=["group", "group_size", "n"], sig=SUMMARY_COLS)
     return [
         entry(
             "bysort_quartiles", lambda s, d: G.bysort(li(s, d), "l_extendedprice", "l_quantity", "quartiles"),
@@ -251,7 +251,7 @@ def entries() -> list[Entry]:
             "aggregation_comparison",
             lambda s, d: G.aggregation_comparison(orders(s, d), G.collapse(orders(s, d), KEYS, "o_totalprice"), "o_totalprice"),
             f"SELECT statistic, original, collapsed FROM {stats_long('orders', 'o_totalprice', 'original')} JOIN {stats_long(MEANS_SQL, 'mean_o_totalprice', 'collapsed')} USING (statistic)",
-            plain=["statistic"], sig=["original", "collapsed"], digits=8,
+            plain=["statistic"], sig=["original", "collapsed"],
         ),
         entry(
             "collapsed_statistics",

@@ -66,8 +66,11 @@ def order_number(df: DataFrame, name: str) -> Column:
     col = F.col(f"`{name}`")
     if dtype == "date":
         return F.unix_date(col).cast("double")
-    if dtype in ("timestamp", "timestamp_ntz"):
-        return F.unix_micros(col.cast("timestamp")).cast("double")
+    if dtype == "timestamp":
+        return F.unix_micros(col).cast("double")
+    if dtype == "timestamp_ntz":  # wall-clock seconds, whatever the session's zone
+        clock = F.hour(col) * 3600 + F.minute(col) * 60 + F.second(col)
+        return F.unix_date(F.to_date(col)).cast("double") * 86_400 + clock
     if dtype in ("byte", "short", "integer", "long", "float", "double") or dtype.startswith("decimal"):
         return col.cast("double")
     raise TypeError(f"the first order column must be a number, date or timestamp, {name} is {dtype}")
