@@ -28,7 +28,7 @@ def bins_sql(source: str, c: str, limit: int) -> str:
     return f"least({limit}, (SELECT count(DISTINCT {c}) FROM {source}))"
 
 
-HIST = dict(plain=["bin", "n"], sig=["lower", "upper"], digits=8)
+HIST = dict(plain=["bin", "n"], sig=["lower", "upper"], digits=10)
 
 GROUPED_HIST = """
 WITH g AS (SELECT o_orderpriority AS "group", count(*) AS group_n, avg(o_totalprice) AS group_mean, stddev_samp(o_totalprice) AS group_sd,
@@ -147,7 +147,7 @@ def entries() -> list[Entry]:
         entry("histogram_price", lambda s, d: L.histogram(li(s, d), Y), histogram_sql("lineitem", Y, bins_sql("lineitem", Y, 30)), **HIST),
         entry("histogram_few_values", lambda s, d: L.histogram(li(s, d), "l_linenumber"), histogram_sql("lineitem", "l_linenumber", bins_sql("lineitem", "l_linenumber", 30)), **HIST),
         entry("histogram_by_priority", lambda s, d: L.grouped_histogram(orders(s, d), "o_orderpriority", "o_totalprice"), GROUPED_HIST,
-              plain=["group", "bin", "n", "group_n"], sig=["lower", "upper", "group_mean", "group_sd"], digits=8),
+              plain=["group", "bin", "n", "group_n"], sig=["lower", "upper", "group_mean", "group_sd"], digits=10),
         entry("histogram_group_sizes", lambda s, d: L.group_size_histogram(orders(s, d), "o_custkey"),
               histogram_sql("(SELECT count(*) AS size FROM orders GROUP BY o_custkey)", "size", bins_sql("(SELECT count(*) AS size FROM orders GROUP BY o_custkey)", "size", 30)), **HIST),
         entry("box_stats", lambda s, d: L.box_stats(table(s, d, "events"), "value"), box_sql("events", "value"), plain=["variable", "n", "n_outliers"], **BOX),

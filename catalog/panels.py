@@ -50,16 +50,20 @@ DIFFS = (
 )
 
 
-def fixed_sql() -> str:
-    base = coefficient_union(XS, "fe", const=False)
-    g = f"(SELECT count(DISTINCT o_custkey) FROM {PANEL})"
-    ratio = f"(SELECT sqrt((n - 2.0) / (n - 2 - {g})) FROM fe)"
-    dof = f"(SELECT n - 2 - {g} FROM fe)"
+def adjusted(base: str, dof: str, small: str) -> str:
+    """``base`` with errors rescaled from ``small`` to ``dof`` residual degrees of freedom."""
+    t = "(t_stat / sqrt(small / dof2))"
     return (
-        f"WITH {FE} SELECT *, std_error * {ratio} AS std_error_dfadj, t_stat / {ratio} AS t_dfadj, {t_two_sided(f't_stat / {ratio}', dof)} AS p_dfadj FROM ({base})"
+        f"SELECT *, std_error * sqrt(small / dof2) AS std_error_dfadj, {t} AS t_dfadj, {t_two_sided(t, 'dof2')} AS p_dfadj "
+        f"FROM (SELECT *, ({small})::DOUBLE AS small, ({dof})::DOUBLE AS dof2 FROM ({base}))"
     )
 
 
+def fixed_sql() -> str:
+    dof = f"(SELECT n - 2 FROM fe) - (SELECT count(DISTINCT o_custkey) FROM {PANEL})"
+    return f"WITH {FE} {adjusted(coefficient_union(XS, 'fe', const=False), dof, '(SELECT n - 2 FROM fe)')}"
+
+
 def hausman_sql() -> str:
     parts = (
         "SELECT fe.b_1 - re.b_1 AS d1, fe.b_2 - re.b_2 AS d2, "
@@ -125,13 +129,9 @@ def swept(fe) -> str:
 
 def absorb_coef_sql(fe) -> str:
     levels = " + ".join(f"(SELECT count(DISTINCT {f}) - 1 FROM lineitem)" for f in fe)
-    dof = f"(SELECT n - 2 - ({levels} + 1) FROM a)"
-    ratio = f"sqrt((SELECT n - 3.0 FROM a) / {dof})"
-    base = coefficient_union(AX, "a", dof="(n - 3)")
-    return (
-        f"WITH {ols_sql(swept(fe), AY, AX, prefix='a')} SELECT *, std_error * {ratio} AS std_error_dfadj, t_stat / {ratio} AS t_dfadj, "
-        f"{t_two_sided(f't_stat / {ratio}', dof)} AS p_dfadj FROM ({base}) WHERE variable <> '_cons'"
-    )
+    base = f"SELECT * FROM ({coefficient_union(AX, 'a', dof='(n - 3)')}) WHERE variable <> '_cons'"
+    dof = f"(SELECT n - 3 FROM a) - ({levels})"
+    return f"WITH {ols_sql(swept(fe), AY, AX, prefix='a')} {adjusted(base, dof, '(SELECT n - 3 FROM a)')}"
 
 
 def absorb_summary_sql(fe) -> str:

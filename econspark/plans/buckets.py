@@ -43,9 +43,10 @@ def bucket_count(df: DataFrame) -> int:
     return min(MAX_BUCKETS, max(MIN_BUCKETS, size // BYTES_PER_BUCKET))
 
 
-def sketch(value: Column, buckets: int) -> Column:
-    """Aggregate with the split points; its state is bounded by the accuracy."""
-    return F.percentile_approx(value, [i / buckets for i in range(1, buckets)], max(4 * buckets, 1000))
+def sketch(column: str, buckets: int) -> Column:
+    """Aggregate with the split points of a plainly named column; its state is bounded by the accuracy."""
+    probs = ", ".join(f"{i / buckets!r}D" for i in range(1, buckets))
+    return F.expr(f"percentile_approx({column}, array({probs}), {max(4 * buckets, 1000)})")
 
 
 def from_sketch(points: Sequence[float] | None) -> OrderBuckets:
@@ -56,7 +57,7 @@ def from_sketch(points: Sequence[float] | None) -> OrderBuckets:
 
 def fit_buckets(df: DataFrame, value: Column) -> OrderBuckets:
     """One small job: the split points of ``value`` (numeric)."""
-    row = df.select(value.alias("v")).agg(sketch(F.col("v"), bucket_count(df)).alias("points")).first()
+    row = df.select(value.alias("v")).agg(sketch("v", bucket_count(df)).alias("points")).first()
     return from_sketch(row["points"])
 
 

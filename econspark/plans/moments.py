@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 BUILTIN_PAIRS = 15  # up to here covar_pop per pair; its four buffers per pair get slow beyond
 CODEGEN_COLUMNS = 8  # up to here sums of products stay inside one compiled aggregate
@@ -67,34 +67,29 @@ def _pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
     return [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
 
 
-def _safe(col: Column) -> Column:
-    return F.coalesce(col, F.lit(0.0))
-
-
 def moments_frame(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """One row per group: ``by…, n, mean, comoment`` (upper triangle, row by row).
 
     ``df`` must hold complete cases with double columns. Without ``by`` the result has one row.
     """
     cols, by = list(cols), list(by)
-    grouped = df.groupBy(*[F.col(f"`{k}`") for k in by])
+    q = {c: f"`{c}`" for c in cols}
     pairs = _pairs(cols)
+    # SQL text, since there are many expressions of the same form
     if len(pairs) <= BUILTIN_PAIRS:
-        return grouped.agg(
-            F.count("*").alias("n"),
-            F.array(*[_safe(F.avg(f"`{c}`")) for c in cols]).alias("mean"),
-            F.array(
-                *[_safe(F.covar_pop(f"`{a}`", f"`{b}`")) * F.count("*") for a, b in pairs]
-            ).alias("comoment"),
-        )
-    shift = provisional_centre(df, cols)
-    off = {c: F.col(f"`{c}`") - F.lit(shift[c]) for c in cols}
-    n = F.count("*")
-    s = {c: F.sum(off[c]) for c in cols}
-    return grouped.agg(
-        n.alias("n"),
-        F.array(*[_safe(F.lit(shift[c]) + s[c] / n) for c in cols]).alias("mean"),
-        F.array(*[_safe(F.sum(off[a] * off[b]) - s[a] * s[b] / n) for a, b in pairs]).alias("comoment"),
+        mean = [f"coalesce(avg({q[c]}), 0D)" for c in cols]
+        comoment = [f"coalesce(covar_pop({q[a]}, {q[b]}), 0D) * count(*)" for a, b in pairs]
+    else:
+        shift = provisional_centre(df, cols)
+        off = {c: f"({q[c]} - {shift[c]!r}D)" for c in cols}
+        mean = [f"coalesce({shift[c]!r}D + sum({off[c]}) / count(*), 0D)" for c in cols]
+        comoment = [
+            f"coalesce(sum({off[a]} * {off[b]}) - sum({off[a]}) * sum({off[b]}) / count(*), 0D)" for a, b in pairs
+        ]
+    return df.groupBy(*[F.col(f"`{k}`") for k in by]).agg(
+        F.count("*").alias("n"),
+        F.expr(f"array({', '.join(mean)})").alias("mean"),
+        F.expr(f"array({', '.join(comoment)})").alias("comoment"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from econspark.plans.buckets import bucket_count, fit_buckets, from_sketch, order_number, sketch
 from econspark.schema import as_list, check_columns, drop_missing, number
@@ -62,24 +62,28 @@ def quantiles(
     everything = list(range(len(cols)))
     if accuracy is not None:
         return wide(everything, lambda v: F.percentile_approx(v, probs, accuracy))
-    fixed = F.array(*map(F.lit, probs))
+    fixed = ", ".join(f"{p!r}D" for p in probs)
+
+    def exact(v: str):
+        return F.expr(f"percentile({v}, array({fixed}))")
+
     if method == "percentile":
-        return wide(everything, lambda v: F.percentile(v, fixed))
+        return wide(everything, exact)
 
     buckets = bucket_count(rows)
     probe = rows.agg(
         F.approx_count_distinct(F.struct(*keys), 0.05).alias("groups") if by else F.lit(1).alias("groups"),
         *[
-            F.approx_count_distinct(F.when(F.col(v).isNotNull(), F.struct(*keys, v)), 0.05).alias(f"d{v}")
+            F.approx_count_distinct(F.when(F.col(v).isNotNull(), F.struct(*keys, v)) if by else v, 0.05).alias(f"d{v}")
             for v in names
         ],
-        *[sketch(F.col(v), buckets).alias(f"p{v}") for v in names],
+        *[sketch(v, buckets).alias(f"p{v}") for v in names],
     ).first()
     few = [i for i, v in enumerate(names) if method == "auto" and probe[f"d{v}"] <= SMALL_DISTINCT]
     many = [i for i in everything if i not in few]
     frames = []
     if few:
-        frames.append(wide(few, lambda v: F.percentile(v, fixed)))
+        frames.append(wide(few, exact))
     if many:
         placed = rows
         for i in many:
@@ -98,30 +102,22 @@ def quantiles(
 
 
 def _select_ranks(bucketed: DataFrame, group: list[str], probs: list[float], n_groups: int) -> DataFrame:
+    """Order statistics by buckets. Rank expressions are SQL text: there are several per quantile."""
+    keys = ", ".join(f"`{g}`" for g in group)
     cells_by = [*group, "bucket"]
-    over_group = Window.partitionBy(*group)
-    before = F.sum("cell_n").over(
-        over_group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ) - F.col("cell_n")
+    position = [f"({p!r}D * (n - 1))" for p in probs]
+    ranks = [r for q in position for r in (f"floor({q})", f"ceil({q})")]
     cells = (
         bucketed.groupBy(*cells_by)
         .agg(F.count("value").alias("cell_n"))
-        .select(*cells_by, "cell_n", before.alias("before"), F.sum("cell_n").over(over_group).alias("n"))
+        .selectExpr(
+            *[f"`{c}`" for c in cells_by],
+            "cell_n",
+            f"sum(cell_n) OVER (PARTITION BY {keys} ORDER BY bucket ROWS UNBOUNDED PRECEDING) - cell_n AS before",
+            f"sum(cell_n) OVER (PARTITION BY {keys}) AS n",
+        )
     )
-
-    def position(p: float) -> Column:
-        return F.lit(p) * (F.col("n") - 1)
-
-    def holds(rank: Column, lo: Column, count: Column) -> Column:
-        return (rank >= lo) & (rank < lo + count)
-
-    def rank_pair(p: float) -> tuple[Column, Column]:
-        return F.floor(position(p)), F.ceil(position(p))
-
-    wanted = F.lit(False)
-    for p in probs:
-        for rank in rank_pair(p):
-            wanted = wanted | holds(rank, F.col("before"), F.col("cell_n"))
+    wanted = " OR ".join(f"({r} >= before AND {r} < before + cell_n)" for r in ranks)
     targets = cells.filter(wanted).select(*cells_by, "before", "n")
     if n_groups * 2 * len(probs) <= SMALL_TARGETS:
         targets = F.broadcast(targets)
@@ -130,22 +126,14 @@ def _select_ranks(bucketed: DataFrame, group: list[str], probs: list[float], n_g
         .groupBy(*cells_by, "before", "n", "value")
         .agg(F.count("*").alias("value_n"))
     )
-    running = F.sum("value_n").over(
-        Window.partitionBy(*cells_by).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    ranked = counted.withColumn("lo", F.col("before") + running - F.col("value_n"))
-    picks = []
-    for i, p in enumerate(probs):
-        for side, rank in zip(("lo", "hi"), rank_pair(p)):
-            picks.append(
-                F.max(F.when(holds(rank, F.col("lo"), F.col("value_n")), F.col("value"))).alias(f"{side}{i}")
-            )
-    picked = ranked.groupBy(*group, "n").agg(*picks)
-    q = [
-        F.col(f"lo{i}") + (position(p) - F.floor(position(p))) * (F.col(f"hi{i}") - F.col(f"lo{i}"))
-        for i, p in enumerate(probs)
+    running = f"sum(value_n) OVER (PARTITION BY {keys}, bucket ORDER BY value ROWS UNBOUNDED PRECEDING)"
+    ranked = counted.withColumn("lo", F.expr(f"before + {running} - value_n"))
+    picks = [
+        F.expr(f"max(CASE WHEN {r} >= lo AND {r} < lo + value_n THEN value END) AS r{i}") for i, r in enumerate(ranks)
     ]
-    return picked.select(*group, "n", F.array(*q).alias("q"))
+    picked = ranked.groupBy(*group, "n").agg(*picks)
+    q = ", ".join(f"r{2 * i} + ({x} - floor({x})) * (r{2 * i + 1} - r{2 * i})" for i, x in enumerate(position))
+    return picked.selectExpr(*[f"`{g}`" for g in group], "n", f"array({q}) AS q")
 
 
 def quantile_row(df: DataFrame, col: str, probs: Sequence[float], **options) -> DataFrame:
