@@ -80,12 +80,13 @@ class Absorption:
         scale = np.sqrt(np.maximum(np.diag(self.total.comoment) / self.total.n, 1e-300))
 
         effects: dict[str, DataFrame] = {}
-        every = len(keys) > 2  # two effects: each step uses only the other one's table
+        # two effects: each step reads only the other one's table, so one write per sweep is enough
+        several = len(keys) > 2
         while True:
             previous = effects.get(keys[-1])
             for key in keys:
                 fitted = self._level_means(self._net(cells, effects, skip=key), key)
-                effects[key] = cut_lineage(fitted) if every or key == keys[-1] else fitted
+                effects[key] = cut_lineage(fitted) if several or key == keys[-1] else fitted
             self.sweeps += 1
             if previous is not None and self._moved(previous, effects[keys[-1]], keys[-1], scale) < self.tolerance:
                 break

@@ -54,23 +54,20 @@ def kruskal_wallis(df: DataFrame, group: str, var: str) -> DataFrame:
     first = F.col("n") / F.col("ties")  # each tied value contributes its t³ − t once in total
     per_group = ranks.groupBy("group").agg(
         F.sum("n").alias("n"),
+        F.max("total").cast("double").alias("total"),
         F.sum(F.col("n") * F.col("mid_rank")).alias("rank_sum"),
-        F.sum(first * (F.pow(F.col("ties").cast("double"), 3) - F.col("ties"))).alias("tie_part"),
+        F.sum(first * (F.pow(F.col("ties").cast("double"), F.lit(3.0)) - F.col("ties"))).alias("tie_part"),
     )
+    # centred form of Σ R²/n, which keeps its digits for many rows
+    off = F.col("rank_sum") / F.col("n") - (F.col("total") + 1) / 2
     sums = per_group.agg(
         F.count("*").alias("groups"),
         F.sum("n").alias("n"),
-        # centred form of Σ R²/n, which keeps its digits for many rows
         F.sum("tie_part").alias("tie_sum"),
-        F.collect_list(F.struct("n", "rank_sum")).alias("parts"),
+        F.sum(F.col("n") * off * off).alias("spread"),
     )
     n = F.col("n").cast("double")
-    spread = F.aggregate(
-        "parts",
-        F.lit(0.0),
-        lambda acc, g: acc + g["n"] * F.pow(g["rank_sum"] / g["n"] - (n + 1) / 2, F.lit(2.0)),
-    )
-    h = 12 / (n * (n + 1)) * spread
+    h = 12 / (n * (n + 1)) * F.col("spread")
     correction = 1 - F.col("tie_sum") / (F.pow(n, F.lit(3.0)) - n)
     out = sums.filter(F.col("groups") >= 2).select(
         "groups", "n", (F.col("groups") - 1).alias("df"), (h / correction).alias("h_stat")

@@ -193,6 +193,7 @@ def _endogeneity(t: TwoStage) -> list[dict]:
 def ivregress(df: DataFrame, y: str, x: str, z, controls=None, by=None) -> dict[str, DataFrame]:
     """All tables of a two-stage regression."""
     iv = InstrumentalVariables(df, y, x, z, controls, by)
+    iv.source.pin()
     return {
         "first_stage": iv.first_stage(),
         "coefficients": iv.coefficients(),

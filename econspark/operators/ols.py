@@ -512,6 +512,7 @@ def simple_regressions(df: DataFrame, y: str, xs, by=None) -> DataFrame:
 def regress(df: DataFrame, y: str, xs, by=None, order_by=None) -> dict[str, DataFrame]:
     """All tables of a regression; ``order_by`` adds the first twenty residuals."""
     r = Regression(df, y, xs, by, keep=order_by)
+    r.source.pin()
     tables = {
         "summary": r.summary(),
         "coefficients": r.coefficients(),
@@ -542,6 +543,7 @@ def goodness_of_fit(df: DataFrame, y: str, xs, order_by=None) -> dict[str, DataF
 
 def linktest(df: DataFrame, y: str, xs, by=None) -> dict[str, DataFrame]:
     r = Regression(df, y, xs, by)
+    r.source.pin()
     return {
         "coefficients": r.linktest(),
         "summary": r.linktest_summary(),

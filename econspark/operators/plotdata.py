@@ -26,9 +26,11 @@ DENSITY_BINS = 512
 PLOT_POINTS = 5_000
 
 
-def _bin_count(df: DataFrame, v: Column, limit: int) -> int:
-    """min(limit, distinct values), without counting beyond the limit."""
-    return max(1, df.select(v.alias("v")).filter("v is not null").distinct().limit(limit).count())
+def _bin_count(df: DataFrame, v: Column, limit: int, approximate: int) -> int:
+    """min(limit, distinct values); values are only counted exactly where the estimate is low."""
+    if approximate > 2 * limit:
+        return limit
+    return max(1, min(limit, df.agg(F.count_distinct(v)).first()[0]))
 
 
 def _bin_number(v: Column, lo: Column, hi: Column, bins: Column) -> Column:
@@ -47,8 +49,8 @@ def _edges(lo: Column, hi: Column, bins: Column, bin_no: Column) -> tuple[Column
 def histogram(df: DataFrame, col: str, bins: int | None = None) -> DataFrame:
     """``bin, lower, upper, n`` for all bins, empty ones included."""
     v = number(df, col)
-    bins = bins or _bin_count(df, v, MAX_BINS)
-    row = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi")).first()
+    row = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.approx_count_distinct(v).alias("d")).first()
+    bins = bins or _bin_count(df, v, MAX_BINS, row["d"])
     lo, hi, b = F.lit(row["lo"]).cast("double"), F.lit(row["hi"]).cast("double"), F.lit(bins)
     counts = (
         df.select(v.alias("v")).filter("v is not null").groupBy(_bin_number(F.col("v"), lo, hi, b).alias("bin"))
@@ -67,16 +69,19 @@ def grouped_histogram(df: DataFrame, group: str, col: str, limit: int = MAX_GROU
     bins; empty bins are left out. Group n, mean and sd ride along."""
     rows = drop_missing(df, [group]).select(F.col(f"`{group}`").alias("group"), number(df, col).alias("v"))
     rows = rows.filter("v is not null")
-    # distinct counts beyond the limit do not matter, so a sketch settles all but small groups
     stats = rows.groupBy("group").agg(
         F.count("v").alias("group_n"),
         F.avg("v").alias("group_mean"),
         F.stddev_samp("v").alias("group_sd"),
         F.min("v").alias("lo"),
         F.max("v").alias("hi"),
+        F.approx_count_distinct("v").alias("estimate"),
     )
-    distinct = rows.groupBy("group").agg(F.least(F.count_distinct("v"), F.lit(limit)).cast("int").alias("bins"))
-    stats = stats.join(distinct, "group")
+    # values are only counted exactly in groups with few of them, where partial aggregation keeps them few
+    low = stats.filter(F.col("estimate") <= 2 * limit).select("group")
+    exact = rows.join(low, "group").groupBy("group").agg(F.count_distinct("v").alias("distinct"))
+    bins = F.least(F.coalesce("distinct", F.lit(limit)), F.lit(limit)).cast("int")
+    stats = stats.join(exact, "group", "left").withColumn("bins", bins).drop("estimate", "distinct")
     joined = rows.join(stats, "group")
     bin_no = _bin_number(F.col("v"), F.col("lo"), F.col("hi"), F.col("bins")).alias("bin")
     counts = joined.groupBy("group", bin_no).agg(F.count("*").alias("n"))

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from econspark.session import cut_lineage
+
 BUILTIN_PAIRS = 15  # up to here covar_pop per pair; its four buffers per pair get slow beyond
 CODEGEN_COLUMNS = 8  # up to here sums of products stay inside one compiled aggregate
 MERGE_GROUPS = 64  # partial matrices are merged in this many groups before the last merge
@@ -67,10 +69,13 @@ def _pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
     return [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
 
 
-def moments_frame(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def moments_frame(
+    df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), shift: dict[str, float] | None = None
+) -> DataFrame:
     """One row per group: ``by…, n, mean, comoment`` (upper triangle, row by row).
 
     ``df`` must hold complete cases with double columns. Without ``by`` the result has one row.
+    Few columns use the built-in covariance; more use sums of products around ``shift``.
     """
     cols, by = list(cols), list(by)
     q = {c: f"`{c}`" for c in cols}
@@ -80,7 +85,7 @@ def moments_frame(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) ->
         mean = [f"coalesce(avg({q[c]}), 0D)" for c in cols]
         comoment = [f"coalesce(covar_pop({q[a]}, {q[b]}), 0D) * count(*)" for a, b in pairs]
     else:
-        shift = provisional_centre(df, cols)
+        shift = shift or provisional_centre(df, cols)
         off = {c: f"({q[c]} - {shift[c]!r}D)" for c in cols}
         mean = [f"coalesce({shift[c]!r}D + sum({off[c]}) / count(*), 0D)" for c in cols]
         comoment = [
@@ -93,6 +98,12 @@ def moments_frame(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) ->
     )
 
 
+def well_centred(m: Moments, loss: float = 1e6) -> bool:
+    """Did sums taken around zero keep enough digits, or must they be taken again around the means?"""
+    spread = np.diag(m.comoment)
+    return bool(m.n == 0 or np.all(m.n * m.mean**2 <= loss * spread))
+
+
 def provisional_centre(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
     """Means of a few first rows. Sums taken around them lose no digits; the result is exact anyway."""
     row = df.select(*[f"`{c}`" for c in cols]).limit(1000).agg(
@@ -105,8 +116,14 @@ def collect_moments(df: DataFrame, cols: Sequence[str]) -> Moments:
     """Ungrouped moments on the driver: p means and p(p+1)/2 numbers, whatever the row count."""
     cols = list(cols)
     if len(cols) <= CODEGEN_COLUMNS:
-        row = moments_frame(df, cols).first()
-        return unpack(cols, row["n"], row["mean"], row["comoment"])
+
+        def around(shift: dict[str, float]) -> Moments:
+            row = moments_frame(df, cols, shift=shift).first()
+            return unpack(cols, row["n"], row["mean"], row["comoment"])
+
+        built_in = len(_pairs(cols)) <= BUILTIN_PAIRS
+        m = around(dict.fromkeys(cols, 0.0))
+        return m if built_in or well_centred(m) else around(dict(zip(cols, m.mean.tolist())))
     schema = "slot int, n long, mean array<double>, comoment array<double>"
     partial = df.select(*[f"`{c}`" for c in cols]).mapInArrow(_partial_moments(cols), schema)
     merged = partial.groupBy("slot").applyInPandas(_merge_rows(cols), schema)
@@ -175,6 +192,12 @@ class MomentSource:
     def frame(self) -> DataFrame:
         return moments_frame(self.df, self.cols, self.by)
 
+    def pin(self) -> MomentSource:
+        """Compute grouped moments once, so that several tables can be drawn from them."""
+        if self.by:
+            self.__dict__["frame"] = cut_lineage(self.frame)
+        return self
+
     def solve(self, fn: Callable[[Moments], list[dict]], schema: str) -> DataFrame:
         spark = self.df.sparkSession
         names = T.StructType.fromDDL(schema).names

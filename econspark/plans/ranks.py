@@ -145,7 +145,7 @@ def mid_ranks(df: DataFrame, value: str, group: str) -> DataFrame:
     """Average ranks of ``value`` over the whole table, as counts per (group, value).
 
     Result: ``group, value, n`` (rows of that group with that value), ``ties`` (rows with that value
-    in any group) and ``mid_rank``.
+    in any group), ``mid_rank`` and ``total`` (all rows).
     """
     rows = drop_missing(df, [group]).select(
         F.col(f"`{group}`").alias("group"), number(df, value).alias("value")
@@ -170,6 +170,7 @@ def mid_ranks(df: DataFrame, value: str, group: str) -> DataFrame:
         "n",
         "ties",
         (F.col("before") + F.col("upto") - (F.col("ties") - 1) / 2).alias("mid_rank"),
+        "total",
     )
 
 

@@ -29,12 +29,12 @@ def countable_columns(df: DataFrame) -> list[str]:
 
 
 def categorical_columns(
-    df: DataFrame, max_levels: int = CATEGORICAL_MAX_LEVELS, approximate: bool = False
+    df: DataFrame, max_levels: int = CATEGORICAL_MAX_LEVELS, approximate: bool = True
 ) -> list[str]:
     """Text columns plus every column with at most ``max_levels`` distinct values.
 
-    One aggregate decides all columns. ``approximate`` settles clear cases with a sketch and
-    counts exactly only the columns whose estimate lies near the limit.
+    A sketch settles the clear cases in one aggregate; columns whose estimate lies near the limit
+    are counted exactly. ``approximate=False`` counts all of them exactly.
     """
     text = set(string_columns(df))
     open_cols = [c for c in countable_columns(df) if c not in text]
