@@ -205,7 +205,7 @@ class Regression:
         e = F.col("residual") / F.col("_fit.sigma")
         cols |= {"_f": f, "_f2": f * f, "_f3": f * f * f, "_e": e, "_e2": e * e}
         keys = [F.col(f"`{c}`") for c in self.by]
-        return MomentSource(rows.select(*keys, *[c.alias(a) for a, c in cols.items()]), list(cols), self.by)
+        return MomentSource(rows.select(*keys, *[c.alias(a) for a, c in cols.items()]), list(cols), self.by, centred=True)
 
     def _names(self) -> tuple[list[str], list[str]]:
         k = len(self.xs)

@@ -13,7 +13,7 @@ from econspark.operators.ols import Regression, added_variable_row, simple_regre
 from econspark.operators.rows import sample_order
 from econspark.operators.tables import top_categories
 from econspark.plans.moments import MomentSource
-from econspark.plans.ranks import even_ranks, long_values, quantiles
+from econspark.plans.ranks import long_values, quantiles, spaced_order_statistics
 from econspark.plans.solver import ols
 from econspark.schema import as_list, complete_cases, drop_missing, number
 
@@ -212,20 +212,11 @@ def qq_points(df: DataFrame, col: str, points: int = 1_000) -> DataFrame:
 
     Theoretical quantiles use Filliben's plotting positions.
     """
-    v = number(df, col)
-    n = df.agg(F.count(v)).first()[0]
-    if n == 0:
-        return df.sparkSession.createDataFrame([], "rank long, theoretical double, observed double")
-    probs = even_ranks(points, n)
-    table = quantiles(df, col, probs).select(F.posexplode("q").alias("i", "observed"))
-    rank = F.round(F.get(F.array(*map(F.lit, probs)), F.col("i")) * (n - 1)).cast("long") + 1
-    table = table.withColumn("rank", rank)
-    end = 0.5 ** (1 / n)
-    position = (
-        F.when(F.col("rank") == n, F.lit(end)).when(F.col("rank") == 1, F.lit(1 - end))
-        .otherwise((F.col("rank") - 0.3175) / (n + 0.365))
-    )
-    return table.select("rank", norm_ppf_col(position).alias("theoretical"), "observed")
+    table = spaced_order_statistics(df, col, points)
+    rank, n = F.col("rank"), F.col("total")
+    end = F.pow(F.lit(0.5), 1 / n)
+    position = F.when(rank == n, end).when(rank == 1, 1 - end).otherwise((rank - 0.3175) / (n + 0.365))
+    return table.select("rank", norm_ppf_col(position).alias("theoretical"), F.col("value").alias("observed"))
 
 
 def qq_line(points: DataFrame) -> DataFrame:

@@ -179,8 +179,9 @@ class MomentSource:
     inside tasks for groups.
     """
 
-    def __init__(self, df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()):
-        self.df, self.cols, self.by = df, list(dict.fromkeys(cols)), list(by)
+    def __init__(self, df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), centred: bool = False):
+        """``centred`` tells that the columns already vary around zero in every group."""
+        self.df, self.cols, self.by, self.centred = df, list(dict.fromkeys(cols)), list(by), centred
 
     @cached_property
     def moments(self) -> Moments:
@@ -190,7 +191,7 @@ class MomentSource:
 
     @cached_property
     def frame(self) -> DataFrame:
-        return moments_frame(self.df, self.cols, self.by)
+        return moments_frame(self.df, self.cols, self.by, dict.fromkeys(self.cols, 0.0) if self.centred else None)
 
     def pin(self) -> MomentSource:
         """Compute grouped moments once, so that several tables can be drawn from them."""

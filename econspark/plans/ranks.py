@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -253,7 +252,21 @@ def successive_changes(
     return inside.select(*kept, *changes).unionByName(border.select(*kept, *changes))
 
 
-def even_ranks(points: int, n: int) -> list[float]:
-    """Probabilities of ``min(points, n)`` evenly spaced order statistics."""
-    m = min(points, n)
-    return [0.5] if m == 1 else [math.floor(i * (n - 1) / (m - 1)) / (n - 1) for i in range(m)]
+def spaced_order_statistics(df: DataFrame, value: str, points: int) -> DataFrame:
+    """``rank, value, total`` at up to ``points`` evenly spaced ranks, the first and last included.
+
+    Every distinct value knows how many rows lie below it and hence which of the wanted ranks, if
+    any, fall on it.
+    """
+    table = value_ranks(df, value).withColumn("last", F.col("total") - 1)
+    m = F.least(F.lit(points).cast("long"), F.col("total"))
+    table = table.withColumn("steps", F.greatest(m - 1, F.lit(0)))
+    # rank i is floor(i · last / steps); whole-number arithmetic keeps it exact
+    first = F.expr("(before * steps + last - 1) DIV last")
+    after = F.expr("((before + n) * steps + last - 1) DIV last - 1")
+    hits = F.when(F.col("last") == 0, F.array(F.lit(0).cast("long"))).otherwise(
+        F.expr("CASE WHEN first <= after THEN sequence(first, after) ELSE array() END")
+    )
+    table = table.withColumns({"first": F.when(F.col("last") > 0, first), "after": F.when(F.col("last") > 0, after)})
+    rank = F.when(F.col("steps") > 0, F.expr("(i * last) DIV steps")).otherwise(F.lit(0).cast("long")) + 1
+    return table.withColumn("i", F.explode(hits)).filter("i <= steps").select(rank.alias("rank"), "value", "total")

@@ -85,3 +85,18 @@ def test_running_totals_of_large_level_tables(spark):
     for r in rows:
         total += r["n"]
         assert r["upto"] == total
+
+
+@pytest.mark.parametrize("points", [2, 7, 50, 5000])
+def test_spaced_order_statistics(spark, points):
+    pdf = frame(spark, "heavy")
+    rows = ranks.spaced_order_statistics(spark.createDataFrame(pdf).repartition(3), "v", points).orderBy("rank").collect()
+    ordered, n, m = sorted(pdf["v"]), len(pdf), min(points, len(pdf))
+    want = [i * (n - 1) // (m - 1) for i in range(m)]
+    assert [r["rank"] - 1 for r in rows] == want
+    assert [r["value"] for r in rows] == [ordered[k] for k in want]
+
+
+def test_spaced_order_statistics_of_one_row(spark):
+    rows = ranks.spaced_order_statistics(spark.createDataFrame([(4.0,)], "v double"), "v", 9).collect()
+    assert [tuple(r) for r in rows] == [(1, 4.0, 1)]
