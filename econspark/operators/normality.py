@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -64,7 +63,6 @@ def _spread_sum(lo: int, hi: int, n: int, term, antiderivative) -> float:
     return total + _integral(inner_lo, inner_hi, n, antiderivative)
 
 
-@lru_cache(maxsize=64)
 def weight_constants(n: int) -> tuple[float, float, float]:
     """(last weight, second to last weight or 0, divisor of the inner scores)."""
     if n == 3:
@@ -78,9 +76,9 @@ def weight_constants(n: int) -> tuple[float, float, float]:
     return a1, a2, math.sqrt((squares - 2 * first**2 - 2 * second**2) / (1 - 2 * a1**2 - 2 * a2**2))
 
 
-def block_weight(before: int, count: int, n: int) -> float:
+def block_weight(before: int, count: int, n: int, constants: tuple[float, float, float] | None = None) -> float:
     """Sum of the Shapiro–Wilk weights of ranks before+1 … before+count."""
-    a1, a2, divisor = weight_constants(n)
+    a1, a2, divisor = constants or weight_constants(n)
     edge = 1 if n <= 5 else 2
     lo, hi = before + 1, before + count
     total = 0.0
@@ -112,7 +110,9 @@ def shapiro_p(w: float, n: int) -> float:
 
 @F.pandas_udf(T.DoubleType())
 def _block_weight_col(before: pd.Series, count: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([block_weight(int(b), int(c), int(t)) for b, c, t in zip(before, count, n)], dtype="float64")
+    known = {int(t): weight_constants(int(t)) for t in n.unique()}
+    rows = zip(before, count, n)
+    return pd.Series([block_weight(int(b), int(c), int(t), known[int(t)]) for b, c, t in rows], dtype="float64")
 
 
 @F.pandas_udf(T.DoubleType())
