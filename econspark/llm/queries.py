@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, packing, url_filter
+from . import chat_format, packing, tokeniser_quality, url_filter
 from ._shared import send_by_value, table
 
 send_by_value(__name__)
@@ -92,6 +92,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_tokeniser_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    judged = tokeniser_quality.add_quality(docs, vocabulary("piece_bpe_32k.model"), vocabulary("word_bpe_49k.json"))
+    return judged.select("doc_id", "quality.*").drop("reasons")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), keep_ids=False)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -99,6 +105,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entries() -> list[Query]:
     return [
+        Query("op1_tokeniser_quality", op1_tokeniser_quality),
         Query("op4_packing", op4_packing),
         Query("op6_url_filter", op6_url_filter, OP6_SQL),
         Query("op7_chat_format", op7_chat_format, OP7_SQL),
