@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import sys
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from econspark.session import ensure_checkpoint_dir
 
@@ -36,6 +38,31 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def append_struct(df: DataFrame, into: str, ddl: str, judge: Callable[[], Callable], *columns: str) -> DataFrame:
+    """``df`` with a struct column made in tasks from ``columns``.
+
+    ``judge()`` is called once per task and gives a function from the columns' values of one row (texts as bytes) to the
+    values of the struct in order. The other columns pass through untouched. A column named ``into`` is replaced.
+    """
+    need(df, *columns)
+    df = df.drop(into)
+    at = [df.columns.index(c) for c in columns]
+    kind = StructType.fromDDL(ddl)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        one, arrow = judge(), to_arrow_type(kind)
+        for batch in batches:
+            given = [batch.column(i) for i in at]
+            given = [c.cast(pa.binary()) if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) else c for c in given]
+            rows = [dict(zip(kind.names, one(*(v.as_py() for v in values)), strict=True)) for values in zip(*given, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, arrow)], [*batch.schema.names, into])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(into, kind)]))
+
+
 def ascii_lower(column: Column) -> Column:
     return F.translate(column, ASCII_UPPER, ASCII_LOWER)
 

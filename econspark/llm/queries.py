@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, packing, tokeniser_quality, url_filter
+from . import chat_format, license_scan, packing, secret_scan, tokeniser_quality, url_filter
 from ._shared import send_by_value, table
 
 send_by_value(__name__)
@@ -32,6 +32,14 @@ URL_RULES = (
 )
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.col("secrets.spans").alias("s"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("s", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("s", lambda s: s["kind"].isin(*secret_scan.BASE_KINDS))
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in secret_scan.BASE_KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("s")).alias("spans"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return judged.select("page_id", "host", "path", F.when(F.col("tier") == 1, F.col("rule")).alias("rule"), "verdict")
@@ -98,6 +106,23 @@ def op1_tokeniser_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "quality.*").drop("reasons")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    exact = F.filter("licenses.matches", lambda m: m["exact"])
+    start = F.transform(exact, lambda m: m["start"])
+    labels = lambda ms: F.array_join(F.array_sort(F.array_distinct(F.transform(ms, lambda m: m["label"]))), ",")
+    return found.select(
+        "doc_id",
+        "licenses.n_words",
+        F.size(exact).cast("long").alias("n_base"),
+        F.array_min(start).alias("first_word"),
+        F.array_max(start).alias("last_word"),
+        labels(exact).alias("base_labels"),
+        labels(F.col("licenses.matches")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("licenses.matches", lambda m: m["score"])), F.lit(0.0)).alias("score"),
+    )
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), keep_ids=False)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -106,6 +131,8 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entries() -> list[Query]:
     return [
         Query("op1_tokeniser_quality", op1_tokeniser_quality),
+        Query("op3_license_scan", op3_license_scan),
+        Query("op8_secret_scan", op8_secret_scan),
         Query("op4_packing", op4_packing),
         Query("op6_url_filter", op6_url_filter, OP6_SQL),
         Query("op7_chat_format", op7_chat_format, OP7_SQL),
