@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, license_scan, packing, secret_scan, tokeniser_quality, url_filter
+from . import chat_format, license_scan, packing, secret_scan, tokeniser_quality, topk_search, url_filter
 from ._shared import send_by_value, table
 
 send_by_value(__name__)
@@ -128,6 +128,19 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s QUALIFY rank <= 20
+"""
+
+
 def entries() -> list[Query]:
     return [
         Query("op1_tokeniser_quality", op1_tokeniser_quality),
@@ -136,4 +149,5 @@ def entries() -> list[Query]:
         Query("op4_packing", op4_packing),
         Query("op6_url_filter", op6_url_filter, OP6_SQL),
         Query("op7_chat_format", op7_chat_format, OP7_SQL),
+        Query("op10_topk_search", op10_topk_search, OP10_SQL),
     ]
