@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, license_scan, packing, secret_scan, tokeniser_quality, topk_search, url_filter
+from . import chat_format, license_scan, near_dedup, packing, secret_scan, tokeniser_quality, topk_search, url_filter
 from ._shared import send_by_value, table
 
 send_by_value(__name__)
@@ -106,6 +106,10 @@ def op1_tokeniser_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "quality.*").drop("reasons")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
     exact = F.filter("licenses.matches", lambda m: m["exact"])
@@ -144,6 +148,7 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 def entries() -> list[Query]:
     return [
         Query("op1_tokeniser_quality", op1_tokeniser_quality),
+        Query("op2_near_dedup", op2_near_dedup),
         Query("op3_license_scan", op3_license_scan),
         Query("op8_secret_scan", op8_secret_scan),
         Query("op4_packing", op4_packing),
