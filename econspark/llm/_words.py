@@ -22,7 +22,7 @@ SPACE = b"\x20\t\n\x0b\x0c\r"
 CONTINUATION = bytes(range(0x80, 0xC0))
 #: Texts are taken together up to about this many bytes, and longer ones cut at white space to look their words up.
 CHUNK = 1 << 20
-TABLE_WORDS = 1 << 19
+TABLE_WORDS = 1 << 21
 
 
 def worker_cache(key: tuple, make: Callable):
@@ -46,12 +46,15 @@ def chunked(rows: Iterable[tuple[object, bytes | None]], size: int = CHUNK) -> I
         yield held
 
 
-def spans(data: bytes, size: int = CHUNK) -> Iterator[bytes]:
-    """``data`` in pieces of about ``size`` bytes, cut at white space."""
+_ANY_SPACE = re.compile(rb"[\x20\t-\r]")
+
+
+def spans(data: bytes, size: int = CHUNK, space: re.Pattern = _ANY_SPACE) -> Iterator[bytes]:
+    """``data`` in pieces of about ``size`` bytes, cut before white space."""
     if len(data) <= size:
         yield data
         return
-    at, space = 0, re.compile(rb"[\x20\t-\r]")
+    at = 0
     while at < len(data):
         cut = space.search(data, at + size)
         end = cut.start() if cut else len(data)
@@ -63,54 +66,201 @@ def code_points(data: bytes) -> int:
     return len(data.translate(None, CONTINUATION))
 
 
+_U = np.uint64
+_PRIME = 0x100000001B3
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """Spreads the bits of 64-bit numbers."""
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, _U)
+    steps[0] = 1
+    return np.cumprod(steps)
+
+
+class WordHasher:
+    """White-space words and 64-bit hashes of all words of a text at once, from differences of a running polynomial over its bytes."""
+
+    cut_at = _ANY_SPACE
+
+    def __init__(self, marks: bytes = b"") -> None:
+        """``marks``: a last byte of these is a word of its own when an ASCII letter or digit stands before it."""
+        self.mark, self.plain = np.zeros(256, bool), np.zeros(256, bool)
+        self.mark[list(marks)] = True
+        self.plain[[c for c in range(128) if chr(c).isalnum()]] = True
+        self.byte = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
+        self.space = np.zeros(256, bool)
+        self.space[list(SPACE)] = True
+        self._reach(2 * CHUNK + 4096)
+
+    def _reach(self, n: int) -> None:
+        self.power, self.inverse = _powers(_PRIME, n), _powers(pow(_PRIME, -1, 1 << 64), n)
+
+    def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First byte and end of each word; the last byte is white space."""
+        blank = self.space[codes]
+        edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+        if len(blank) and not blank[0]:
+            edge = np.concatenate((np.zeros(1, edge.dtype), edge))
+        start, end = edge[::2], edge[1::2]
+        if self.mark.any() and len(end):
+            cut = np.flatnonzero(self.mark[codes[end - 1]] & self.plain[codes[end - 2]] & (end - start > 1))
+            start, end = np.insert(start, cut + 1, end[cut] - 1), np.insert(end, cut, end[cut] - 1)
+        return start, end
+
+    def words(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, first byte and end of each word."""
+        codes = np.frombuffer(data, np.uint8)
+        if len(codes) >= len(self.power):
+            self._reach(len(codes) + 1)
+        start, end = self.edges(codes)
+        total = np.empty(len(codes) + 1, _U)
+        total[0] = 0
+        np.cumsum(self.byte[codes] * self.power[: len(codes)], out=total[1:])
+        return mix((total[end] - total[start]) * self.inverse[start] + (end - start).astype(_U)), start, end
+
+    def of_texts(self, texts: list[bytes]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Bytes, hashes, starts, ends and the word bounds of each text, for short texts together and long ones in pieces;
+        of the pieces of a long text all but the last have no bounds."""
+        group: list[bytes] = []
+        for text in texts:
+            if len(text) <= CHUNK:
+                group.append(text)
+                continue
+            if group:
+                yield self._together(group)
+                group = []
+            pieces = list(spans(text, space=self.cut_at))
+            for i, piece in enumerate(pieces):
+                data, hashes, start, end, _ = self._together([piece])
+                yield data, hashes, start, end, np.array([len(hashes)] if i + 1 == len(pieces) else [], np.int64)
+        if group:
+            yield self._together(group)
+
+    def _together(self, texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        data = b"\n".join([*texts, b""])
+        hashes, start, end = self.words(data)
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        return data, hashes, start, end, np.searchsorted(start, ends)
+
+    def split(self, texts: list[bytes], of_words: Callable) -> list[np.ndarray]:
+        """``of_words(data, hashes, starts, ends)`` gives a number per word; returns each text's numbers."""
+        found: list[np.ndarray] = []
+        held: list[np.ndarray] = []
+        for data, hashes, start, end, bounds in self.of_texts(texts):
+            values = of_words(data, hashes, start, end)
+            at = 0
+            for bound in bounds.tolist():
+                part = values[at:bound]
+                found.append(np.concatenate([*held, part]) if held else part)
+                held, at = [], bound
+            if not len(bounds):
+                held.append(values)
+        return found
+
+
+class UnitHasher(WordHasher):
+    """Units instead of words: a blank with what follows up to the next blank or line feed, or one of these alone. They
+    make up the whole text, behind one leading blank."""
+
+    cut_at = re.compile(rb" ")
+
+    def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        feed = codes == 10
+        begins = feed | (codes == 32)
+        begins[:1] = True
+        begins[1:] |= feed[:-1]
+        start = np.flatnonzero(begins)
+        return start, np.append(start[1:], len(codes))
+
+    def of_texts(self, texts: list[bytes]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        return super().of_texts([b" " + t if t else t for t in texts])
+
+    def _together(self, texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        data, hashes, start, end, _ = super()._together(texts)
+        breaks = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1  # the line feeds put between texts
+        own = ~np.isin(start, breaks)
+        hashes, start, end = hashes[own], start[own], end[own]
+        return data, hashes, start, end, np.searchsorted(start, breaks)
+
+
 class WordTable:
-    """Distinct words with their ids, in one flat array."""
+    """Distinct words with their ids under one or more encoders, the ids of each encoder in one flat array.
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> None:
-        """``encode``: the ids of all given words in one array, and each word's number of ids."""
-        self.encode = encode
+    Words are known by 64-bit hash (two of a table's words share one with a probability below 1e-7).
+    """
+
+    def __init__(self, *encoders: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], hasher: WordHasher | None = None) -> None:
+        """An encoder gives the ids of all given words in one array, and each word's number of ids."""
+        self.encoders = encoders
+        self.hasher = hasher or worker_cache(("hasher",), WordHasher)
         self._clear()
 
     def _clear(self) -> None:
-        self.row: dict[bytes, int] = {}
-        self.ids, self.start, self.count = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
-        self.used = 0
+        self.size = 0
+        #: Sorted hashes with their rows: a large table and a small one of recent words.
+        self.known = [(np.zeros(0, _U), np.zeros(0, np.int64)) for _ in range(2)]
+        self.codes = [[np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0] for _ in self.encoders]
 
-    def begin(self) -> None:
-        """Call between documents: rows given out before may change after it."""
-        if len(self.row) > TABLE_WORDS:
+    def rows(self, texts: list[bytes]) -> list[np.ndarray]:
+        """For each text the table rows of its words. They hold until the next call."""
+        if self.size > TABLE_WORDS:
             self._clear()
+        return self.hasher.split(texts, self._rows)
+
+    def _rows(self, data: bytes, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        order = np.argsort(hashes)
+        ordered = hashes[order]
+        first = np.ones(len(ordered), bool)
+        first[1:] = ordered[1:] != ordered[:-1]
+        distinct, where = ordered[first], order[first]
+        rows = np.full(len(distinct), -1, np.int64)
+        for keys, at in self.known:
+            if len(keys):
+                spot = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
+                hit = keys[spot] == distinct
+                rows[hit] = at[spot[hit]]
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            a, b = start[where[missing]].tolist(), end[where[missing]].tolist()
+            rows[missing] = self._add([data[i:j] for i, j in zip(a, b, strict=True)], distinct[missing])
+        out = np.empty(len(hashes), np.int64)
+        out[order] = rows[np.cumsum(first) - 1]
+        return out
 
-    def rows(self, data: bytes) -> np.ndarray:
-        """The table row of each word of ``data``."""
-        found = [self._rows(piece.split()) for piece in spans(data)]
-        return found[0] if len(found) == 1 else np.concatenate(found)
-
-    def _rows(self, words: list[bytes]) -> np.ndarray:
-        get = self.row.get
-        try:
-            return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            self._add(list({w: None for w in words if get(w) is None}))
-        return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
-
-    def _add(self, new: list[bytes]) -> None:
-        ids, count = self.encode(new)
-        at = len(self.row)
-        self.ids = _room(self.ids, self.used, len(ids))
-        self.start, self.count = _room(self.start, at, len(new)), _room(self.count, at, len(new))
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.count[at : at + len(new)] = count
-        self.start[at : at + len(new)] = self.used + np.cumsum(count) - count
-        self.used += len(ids)
-        self.row.update(zip(new, range(at, at + len(new)), strict=True))
-
-    def gather(self, rows: np.ndarray) -> np.ndarray:
+    def _add(self, new: list[bytes], keys: np.ndarray) -> np.ndarray:
+        at, self.size = self.size, self.size + len(new)
+        for code, encode in zip(self.codes, self.encoders, strict=True):
+            ids, count = encode(new)
+            flat, start, counts, used = code
+            flat, start, counts = _room(flat, used, len(ids)), _room(start, at, len(new)), _room(counts, at, len(new))
+            flat[used : used + len(ids)] = ids
+            counts[at : self.size] = count
+            start[at : self.size] = used + np.cumsum(count) - count
+            code[:] = flat, start, counts, used + len(ids)
+        rows = np.arange(at, self.size)
+        self.known[1] = _merged(self.known[1], (keys, rows))
+        if len(self.known[1][0]) > 1 << 15:
+            self.known = [_merged(*self.known), (np.zeros(0, _U), np.zeros(0, np.int64))]
+        return rows
+
+    def gather(self, rows: np.ndarray, encoder: int = 0) -> np.ndarray:
         """The ids of the words at ``rows``, end to end."""
-        count = self.count[rows].astype(np.int64)
+        flat, start, counts, _ = self.codes[encoder]
+        count = counts[rows].astype(np.int64)
         ends = np.cumsum(count)
         total = int(ends[-1]) if len(ends) else 0
-        return self.ids[np.repeat(self.start[rows] - ends + count, count) + np.arange(total)]
+        return flat[np.repeat(start[rows] - ends + count, count) + np.arange(total)]
+
+
+def _merged(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    at = np.searchsorted(one[0], two[0])
+    return np.insert(one[0], at, two[0]), np.insert(one[1], at, two[1])
 
 
 def _room(array: np.ndarray, used: int, more: int) -> np.ndarray:

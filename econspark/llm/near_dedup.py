@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import need, send_by_value, written
-from ._words import CHUNK, SPACE, chunked, spans, worker_cache
+from ._words import CHUNK, WordHasher, chunked, mix, worker_cache
 
 send_by_value(__name__)
 
@@ -40,72 +40,36 @@ COUNT_BITS, COUNT_SLICE = 18, 4096
 
 _U = np.uint64
 _M1, _M2, _M3 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
-_PRIME, _INVERSE = 0x100000001B3, pow(0x100000001B3, -1, 1 << 64)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _M2
-    x = (x ^ (x >> _U(27))) * _M3
-    return x ^ (x >> _U(31))
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    steps = np.full(n, base, _U)
-    steps[0] = 1
-    return np.cumprod(steps)
 
 
 class Kernel:
     """Tables that tasks need; made once per Python worker."""
 
     def __init__(self) -> None:
-        self.byte = _mix(np.arange(1, 257, dtype=_U) * _M1)
-        self.space = np.zeros(256, bool)
-        self.space[list(SPACE)] = True
-        n = 2 * CHUNK + 4096
-        self.power, self.inverse = _powers(_PRIME, n), _powers(_INVERSE, n)
+        self.hasher = worker_cache(("hasher",), WordHasher)
         # Quantiles of Gamma(2, 1), whose distribution function is 1 - (1 + x) exp(-x).
         x = np.concatenate((np.linspace(0, 1, 200_000)[1:], np.geomspace(1, 60, 200_000)))
         gamma = np.interp((np.arange(1 << 16) + 0.5) / (1 << 16), 1 - (1 + x) * np.exp(-x), x)
         self.r, self.ln_c = gamma.astype(np.float32), np.log(gamma).astype(np.float32)
-        self.seeds = _mix(np.arange(1, SAMPLES + 1, dtype=_U) * _M3)
-
-    def words(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and first byte of each white-space word; ``data`` ends with white space."""
-        codes = np.frombuffer(data, np.uint8)
-        blank = self.space[codes]
-        edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
-        if not blank[0]:
-            edge = np.concatenate(([0], edge))
-        start, end = edge[::2], edge[1::2]
-        if len(codes) > len(self.power):
-            power, inverse = _powers(_PRIME, len(codes) + 1), _powers(_INVERSE, len(codes) + 1)
-        else:
-            power, inverse = self.power, self.inverse
-        total = np.concatenate((np.zeros(1, _U), np.cumsum(self.byte[codes] * power[: len(codes)])))
-        return _mix((total[end] - total[start]) * inverse[start]), start
+        self.seeds = mix(np.arange(1, SAMPLES + 1, dtype=_U) * _M3)
 
     def shingles(self, texts: list[bytes]) -> list[np.ndarray]:
         """Sorted shingle hashes of each text, with repeats."""
-        if len(texts) > 1 or len(texts[0]) <= CHUNK:
-            lengths = np.array([len(t) + 1 for t in texts])
-            words, at = self.words(b"\n".join([*texts, b""]))
-            bounds = np.searchsorted(at, np.concatenate(([0], np.cumsum(lengths))))
-        else:
-            words = np.concatenate([self.words(piece + b"\n")[0] for piece in spans(texts[0])])
-            bounds = np.array([0, len(words)])
+        each = self.hasher.split(texts, lambda data, hashes, start, end: hashes)
+        words = np.concatenate(each) if each else np.zeros(0, _U)
+        bounds = np.cumsum([0, *map(len, each)])
         n = max(0, len(words) - SHINGLE + 1)
         whole = np.zeros(n, _U)
         for i in range(SHINGLE):
             whole += words[i : n + i] * (_M1 + _U(2 * i))
-        whole = _mix(whole)
+        whole = mix(whole)
         found = []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             if b - a >= SHINGLE:
                 found.append(np.sort(whole[a : b - SHINGLE + 1]))
             elif b > a:
                 few = words[a:b] * (_M2 + _U(2) * np.arange(b - a, dtype=_U))
-                found.append(_mix(few.sum(keepdims=True)))
+                found.append(mix(few.sum(keepdims=True)))
             else:
                 found.append(np.zeros(0, _U))
         return found
@@ -131,7 +95,7 @@ class Kernel:
             if len(at) > runs:  # ties: the smaller hash, which stands first
                 at = at[np.unique(run_of[at], return_index=True)[1]]
             least[k] = low
-            keys[k] = _mix((hashes[at] + t[at].astype(np.int64).astype(_U) * _M3) ^ self.seeds[k])
+            keys[k] = mix((hashes[at] + t[at].astype(np.int64).astype(_U) * _M3) ^ self.seeds[k])
         return least, keys
 
 
@@ -249,9 +213,9 @@ def _sign(common: tuple[np.ndarray, np.ndarray]) -> Callable:
                     better = low[:, j] < least[:, i]
                     least[better, i], best[better, i] = low[better, j], key[better, j]
             grid = best.reshape(BANDS, ROWS, -1)
-            bands = _mix(np.arange(1, BANDS + 1, dtype=_U) * _M1)[:, None]
+            bands = mix(np.arange(1, BANDS + 1, dtype=_U) * _M1)[:, None]
             for row in range(ROWS):
-                bands = _mix(bands * _M2 + grid[:, row])
+                bands = mix(bands * _M2 + grid[:, row])
             bands = bands.view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [

@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import need, send_by_value, written
-from ._words import WordTable, chunked, worker_cache
+from ._words import WordHasher, WordTable, chunked, worker_cache
 
 send_by_value(__name__)
 
@@ -30,26 +31,45 @@ SCHEMA = (
 )
 
 
-def word_encoder(path: str) -> Callable[[], WordTable]:
-    """Word table of a tokenizer file whose pieces never span white space; many words are encoded in one call."""
+#: After a letter or digit at the end of a word these stand alone.
+MARKS = b".,;:!?"
+
+
+def word_encoder(path: str) -> Callable[[], Callable]:
+    """Makes a word encoder from a tokenizer file that lower-cases, splits letters from marks, maps bytes to characters and never lets a
+    piece span white space. Words of letters up to U+00FF only want lower case and go straight to its merges; other words are encoded together."""
 
     def make() -> WordTable:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         tokenizer = Tokenizer.from_file(path)
+        merge = tokenizer.model.tokenize
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        mapped = {i: as_bytes.pre_tokenize_str(chr(i))[0][0] for i in range(0x80, 0x100)}
+        def together(words: list[str]) -> list[list[int]]:
+            coded = tokenizer.encode(" ".join(words), add_special_tokens=False)
+            starts = np.cumsum([0, *[len(w) + 1 for w in words]])
+            at = np.searchsorted(starts, np.fromiter((a for a, _ in coded.offsets), np.int64, len(coded)), "right") - 1
+            return [ids.tolist() for ids in np.split(np.array(coded.ids), np.searchsorted(at, np.arange(1, len(words))))]
 
         def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-            ids, counts = [], []
-            for i in range(0, len(words), 4096):
-                part = [w.decode() for w in words[i : i + 4096]]
-                coded = tokenizer.encode(" ".join(part), add_special_tokens=False)
-                starts = np.cumsum([0, *[len(w) + 1 for w in part]])
-                at = np.fromiter((a for a, _ in coded.offsets), np.int64, len(coded))
-                ids.append(np.array(coded.ids, np.int32))
-                counts.append(np.bincount(np.searchsorted(starts, at, "right") - 1, minlength=len(part))[: len(part)])
-            return np.concatenate(ids), np.concatenate(counts)
-
-        return WordTable(encode)
+            coded: list[list[int]] = []
+            other: dict[int, str] = {}
+            for i, word in enumerate(b"\n".join(words).decode().split("\n")):
+                if word.isalpha() and (word.isascii() or max(word) <= "ÿ"):
+                    low = word.lower()
+                    coded.append([t.id for t in merge(low if low.isascii() else low.translate(mapped))])
+                else:
+                    other[i] = word
+                    coded.append([])
+            places = list(other)
+            for i in range(0, len(places), 256):
+                for place, ids in zip(places[i : i + 256], together([other[p] for p in places[i : i + 256]]), strict=True):
+                    coded[place] = ids
+            count = np.fromiter(map(len, coded), np.int32, len(coded))
+            return np.fromiter(chain.from_iterable(coded), np.int32, int(count.sum())), count
+
+        return encode
 
     return make
 
@@ -111,20 +131,19 @@ def _batch(rows: list[tuple]):
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
-def _pack_partition(make_table: Callable, key: tuple, end_id: int, length: int, most: int, keep_ids: bool) -> Callable:
+def _pack_partition(make_encoder: Callable, key: tuple, end_id: int, length: int, most: int, keep_ids: bool) -> Callable:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        table, windows = worker_cache(key, make_table), _Windows(part << 32, length, most, keep_ids)
+        table, windows = worker_cache(key, lambda: WordTable(make_encoder(), hasher=WordHasher(MARKS))), _Windows(part << 32, length, most, keep_ids)
         for batch in batches:
             docs = zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True)
             for chunk in chunked(docs):
                 rows: list[tuple] = []
-                for doc, text in chunk:
-                    table.begin()
-                    rows += windows.add(doc, np.append(table.gather(table.rows(text or b"")), np.int32(end_id)))
+                for (doc, _), words in zip(chunk, table.rows([text or b"" for _, text in chunk]), strict=True):
+                    rows += windows.add(doc, np.append(table.gather(words), np.int32(end_id)))
                 yield _batch(rows)
         yield _batch(windows.leftovers(part // GROUP))
 

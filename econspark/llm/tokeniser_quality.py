@@ -31,7 +31,7 @@ class Band:
 
     chars_per_token: tuple[float, float] = (1.4, 7.0)
     byte_share: float = 0.10
-    entropy: tuple[float, float] = (5.2, 13.0)
+    entropy: tuple[float, float] = (5.4, 13.0)
 
 
 #: By language code, else by script. Space-poor scripts have few characters per token and many fallback bytes.
@@ -93,7 +93,7 @@ def entropy(ids: np.ndarray) -> float:
     return float(-(share * np.log2(share)).sum()) + 0.0
 
 
-def piece_encoder(path: str) -> Callable[[], WordTable]:
+def piece_encoder(path: str) -> Callable[[], Callable]:
     """Words as encoded with a blank before them."""
 
     def make() -> WordTable:
@@ -108,25 +108,21 @@ def piece_encoder(path: str) -> Callable[[], WordTable]:
             count = np.fromiter(map(len, coded), np.int32, len(coded))
             return np.fromiter(chain.from_iterable(coded), np.int32, int(count.sum())), count
 
-        return WordTable(encode)
+        return encode
 
     return make
 
 
-def _measure(data: bytes, tables: list[tuple[WordTable, bool]], lang: str | None, bands: Mapping[str, Band]) -> dict:
-    first = None
+def _measure(data: bytes, lang: str | None, table: WordTable, rows: np.ndarray, bands: Mapping[str, Band]) -> dict:
     per_token, bits, share = [], [], 0.0
     word_chars = code_points(data) - (len(data) - len(data.translate(None, SPACE)))
-    for table, has_bytes in tables:
-        table.begin()
-        rows = table.rows(data)
-        first = rows if first is None else first
-        ids = table.gather(rows)
+    for i in range(len(table.encoders)):
+        ids = table.gather(rows, i)
         per_token.append(word_chars / len(ids) if len(ids) else 0.0)
         bits.append(entropy(ids))
-        if has_bytes and len(ids):
+        if i == 0 and len(ids):
             share = float(((ids >= 3) & (ids < 259)).mean())  # <0x00> to <0xFF>
-    n, repeats = len(first), repeated_words(first)
+    n, repeats = len(rows), repeated_words(rows)
     failed = n < 50 or 100 * repeats > 50 * n
     band = bands.get(lang or "") or bands[main_script(data.decode())]
     reasons = [
@@ -151,15 +147,16 @@ def _task(piece_model: str, word_vocabulary: str | None, bands: Mapping[str, Ban
 
         kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}
         fields = [pa.field(*(lambda n, k: (n, kinds[k]))(*m.split())) for m in MEASURES.split(", ")]
-        tables = [(worker_cache(("pieces", piece_model), piece_encoder(piece_model)), True)]
-        if word_vocabulary:
-            tables.append((worker_cache(("words", word_vocabulary), word_encoder(word_vocabulary)), False))
+        encoders = [piece_encoder(piece_model), *([word_encoder(word_vocabulary)] if word_vocabulary else [])]
+        table = worker_cache(("quality", piece_model, word_vocabulary), lambda: WordTable(*[make() for make in encoders]))
         for batch in batches:
             texts = batch.column(at_text).cast(pa.binary())
             langs = batch.column(at_lang).to_pylist() if at_lang is not None else [None] * batch.num_rows
             done: list[dict] = []
             for chunk in chunked((lang, text.as_py()) for lang, text in zip(langs, texts, strict=True)):
-                done += [_measure(text or b"", tables, lang, bands) for lang, text in chunk]
+                plain = [text or b"" for _, text in chunk]
+                for (lang, _), data, rows in zip(chunk, plain, table.rows(plain), strict=True):
+                    done.append(_measure(data, lang, table, rows, bands))
             column = pa.StructArray.from_arrays([pa.array([d[f.name] for d in done], f.type) for f in fields], fields=fields)
             yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, into])
 
