@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, license_scan, near_dedup, packing, secret_scan, tokeniser_quality, topk_search, url_filter
+from . import chat_format, html_extract, license_scan, near_dedup, packing, piece_codec, secret_scan, tokeniser_quality, topk_search, url_filter
 from ._shared import send_by_value, table
 
 send_by_value(__name__)
@@ -40,6 +40,24 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in secret_scan.BASE_KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("s")).alias("spans"))
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = html_extract.extract_text(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return seen.select("page_id", "rendered.title", "rendered.text", F.length("rendered.text").cast("long").alias("n_chars"))
+
+
+def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = vocabulary("piece_bpe_32k.model")
+    coded = piece_codec.decode_pieces(piece_codec.encode_pieces(docs, model), model)
+    return coded.select(
+        "doc_id",
+        F.size(F.coalesce("pieces", F.array().cast("array<int>"))).cast("long").alias("n_pieces"),
+        piece_codec.byte_tokens("pieces").cast("long").alias("n_bytes"),
+        F.xxhash64("pieces").alias("pieces_hash"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
+    )
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return judged.select("page_id", "host", "path", F.when(F.col("tier") == 1, F.col("rule")).alias("rule"), "verdict")
@@ -152,6 +170,8 @@ def entries() -> list[Query]:
         Query("op3_license_scan", op3_license_scan),
         Query("op8_secret_scan", op8_secret_scan),
         Query("op4_packing", op4_packing),
+        Query("op5_html_extract", op5_html_extract),
+        Query("op9_piece_codec", op9_piece_codec),
         Query("op6_url_filter", op6_url_filter, OP6_SQL),
         Query("op7_chat_format", op7_chat_format, OP7_SQL),
         Query("op10_topk_search", op10_topk_search, OP10_SQL),
