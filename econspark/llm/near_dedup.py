@@ -308,12 +308,8 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("node", "comp")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``doc``, ``class_id`` (smallest id of its class) and ``text_key`` (MD5 of the text).
-
-    Equal texts are one class whatever they hold. A null text is alone in its class (its own id); texts without words have only
-    exact copies. Repeated rows and ids keep a row each; null ids never name a class unless a class has no other.
-    """
+def _classes(docs: DataFrame, threshold: float, doc: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc, tk: MD5 of the text) and, for each text, (tk, root: its component)."""
     need(docs, doc, text)
     rows = docs.select(F.col(doc).cast("long").alias("doc"), F.unhex(F.md5(F.col(text).cast("string"))).alias("tk"), F.col(text).cast("string").alias("text"))
     common = common_shingles(rows, "text")
@@ -354,8 +350,34 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, doc: str = "d
         up = joined.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
         comps = written(every.join(up, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")), "comps")
 
-    smallest = signed.where("tk is not null").groupBy("tk").agg(F.min("doc").alias("least"))
-    placed = smallest.join(comps.select(F.col("node").alias("tk"), "comp"), "tk", "left").select("tk", "least", F.coalesce("comp", "tk").alias("root"))
-    named = placed.groupBy("root").agg(F.min("least").alias("class_id"))
-    of_text = placed.select("tk", "root").join(named, "root").select("tk", "class_id")
-    return signed.select("doc", "tk").join(of_text, "tk", "left").select(F.col("doc").alias(doc), F.when(F.col("tk").isNull(), F.col("doc")).otherwise(F.col("class_id")).alias("class_id"), F.col("tk").alias("text_key"))
+    texts = signed.where("tk is not null").select("tk").distinct()
+    return signed.select("doc", "tk"), texts.join(comps.select(F.col("node").alias("tk"), "comp"), "tk", "left").select("tk", F.coalesce("comp", "tk").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: ``doc`` and ``class_id`` (smallest id of its class).
+
+    Equal texts are one class whatever they hold. A null text is alone in its class (its own id); texts without words have only
+    exact copies. Repeated rows and ids keep a row each; null ids never name a class unless a class has no other.
+    """
+    rows, roots = _classes(docs, threshold, doc, text)
+    smallest = rows.where("tk is not null").groupBy("tk").agg(F.min("doc").alias("least")).join(roots, "tk")
+    named = smallest.groupBy("root").agg(F.min("least").alias("class_id"))
+    of_text = roots.join(named, "root").select("tk", "class_id")
+    return rows.join(of_text, "tk", "left").select(F.col("doc").alias(doc), F.when(F.col("tk").isNull(), F.col("doc")).otherwise(F.col("class_id")).alias("class_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each class: the one with the smallest id (null ids last), of equal ids with the smallest text MD5.
+
+    Rows with null text are all kept. Of rows that repeat id and text one is kept.
+    """
+    rows, roots = _classes(docs, threshold, doc, text)
+    each = rows.where("tk is not null").groupBy("tk", "doc").agg(F.count("*").alias("n")).join(roots, "tk")
+    first = F.min(F.struct(F.col("doc").isNull().alias("last"), F.col("doc").alias("__d"), F.col("tk").alias("__k"), F.col("n").alias("__n")))
+    won = each.groupBy("root").agg(first.alias("w")).select("w.__d", "w.__k", "w.__n")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(*names, F.unhex(F.md5(F.col(text).cast("string"))).alias("__key"), F.col(doc).cast("long").alias("__doc"))
+    kept = keyed.join(won, F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")))
+    more = kept.where("__n > 1").dropDuplicates(["__doc", "__key"])
+    return kept.where("__n = 1").select(*names).unionByName(more.select(*names)).unionByName(docs.where(F.col(text).isNull()))
