@@ -104,7 +104,7 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
         tag = m[2].lower()
         if m[1]:
             for i in range(len(opened) - 1, -1, -1):
-                if opened[i] == tag:
+                if opened[i] == tag or tag in HEADINGS and opened[i] in HEADINGS:
                     yield from close_to(i)
                     break
                 if opened[i] in BARRIER and tag not in TABLE_PARTS:
