@@ -7,11 +7,11 @@
   mean number of shingles per document, whatever the size of the corpus.
 * Improved consistent weighted sampling draws SAMPLES samples per text in numpy. ROWS of them make a band; texts that share a band are
   candidates. At similarity 0.8 a pair shares one of the 16 bands with probability 0.9998.
-* In each bucket every text is compared with the bucket's pivot. Links verified there make components. In buckets whose texts are
-  not yet one component, the remaining texts are compared with each other in blocks by their signatures, and only
-  pairs whose signatures agree (38 of 64 at least; a similar pair fails that once in 20 000) go on to be verified. So no link between candidates is
-  lost and a bucket of copies costs one comparison per text.
-* Verification computes the weighted Jaccard similarity of the whole texts. Classes are the connected components of the links.
+* In each bucket every text is compared with the bucket's pivot: first by signature (38 of 64 samples must agree; a similar pair
+  fails that once in 20 000), then by the weighted Jaccard similarity of the whole texts. These links make components, and a bucket of
+  copies costs one comparison per text. Where the texts of a bucket are not one component then, blocks of them are compared
+  in full by matrix products inside tasks, which emit one link per text at most. So no link between candidates is lost, and no list of pairs is made.
+* Classes are the connected components of the links.
 """
 
 from __future__ import annotations
@@ -35,7 +35,8 @@ TAU = 100
 #: Signatures of two texts with similarity 0.8 agree in fewer places with probability below 5e-5.
 LEAST_AGREE = 38
 #: Members of unresolved buckets are compared in blocks of about so many.
-BLOCK = 512
+BLOCK, BLOCK_BYTES = 512, 1 << 24
+FEATURES = 4096
 COUNT_BITS, COUNT_SLICE = 18, 4096
 
 _U = np.uint64
@@ -223,8 +224,9 @@ def _sign(common: tuple[np.ndarray, np.ndarray]) -> Callable:
                     pa.array([k[1] for k in keys], pa.binary()),
                     pa.array([bands[:, i].tolist() if len(s[0]) else [] for i, s in enumerate(sets)], pa.list_(pa.int64())),
                     pa.array([best[:, i].astype(np.uint8).tobytes() for i in range(len(sets))], pa.binary()),
+                    pa.array([len(t) for t in texts], pa.int64()),
                 ],
-                ["doc", "tk", "bands", "sig"],
+                ["doc", "tk", "bands", "sig", "size"],
             )
 
     return run
@@ -256,21 +258,75 @@ def _agreeing(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
 
-def _block_pairs(key, table):
-    """Agreeing pairs of two blocks of a bucket (or within one) that lie in different components."""
-    import pyarrow as pa
+def _similarities(sets: list[tuple[np.ndarray, np.ndarray]], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarity of every text of ``rows`` with every other text of ``columns`` (positions in ``sets``).
+
+    A weight is a count times the shingle's factor, so a minimum is the number of count levels that both reach times that
+    factor: sums of minima are products of 0/1 matrices, taken some features at a time.
+    """
+    texts = np.unique(np.concatenate((rows, columns)))
+    owner = np.concatenate([np.full(len(sets[t][0]), t) for t in texts.tolist()])
+    shingle = np.concatenate([sets[t][0] for t in texts.tolist()])
+    weight = np.concatenate([sets[t][1] for t in texts.tolist()])
+    order = np.argsort(shingle, kind="stable")
+    owner, shingle, weight = owner[order], shingle[order], weight[order]
+    first = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1])))
+    size = np.diff(np.append(first, len(shingle)))
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    shared = np.repeat(size > 1, size)
+    owner, weight, size = owner[shared], weight[shared], size[size > 1]
+    if len(size):
+        # One column for each weight that some text has for a shingle, worth the step up to it from the weight below.
+        feature = np.repeat(np.arange(len(size)), size)
+        order = np.lexsort((weight, feature))
+        owner, weight, feature = owner[order], weight[order], feature[order]
+        fresh = np.concatenate(([True], (feature[1:] != feature[:-1]) | (weight[1:] != weight[:-1])))
+        column_of, top = feature[fresh], weight[fresh]
+        below = np.concatenate(([0.0], top[:-1]))
+        below[np.concatenate(([True], column_of[1:] != column_of[:-1]))] = 0.0
+        own = np.cumsum(fresh) - 1  # the column of each entry's own weight; it reaches all its shingle's columns up to there
+        lowest = np.searchsorted(column_of, feature)
+        for a in range(0, len(top), FEATURES):
+            b = min(a + FEATURES, len(top))
+            held = np.zeros((len(sets), b - a), np.float32)
+            some = np.flatnonzero((lowest < b) & (own >= a))
+            for up in range(int((own[some] - lowest[some]).max(initial=0)) + 1):
+                column = lowest[some] + up
+                ok = (column <= own[some]) & (column >= a) & (column < b)
+                held[owner[some[ok]], column[ok] - a] = 1.0
+            both += (held * (top - below)[a:b].astype(np.float32)) @ held.T
+    total = np.array([w.sum() for _, w in sets])
+    grid = both[np.ix_(rows, columns)].astype(np.float64)
+    union = total[rows][:, None] + total[columns][None, :] - grid
+    return np.divide(grid, union, out=np.zeros_like(grid), where=union > 0)
+
+
+def _block_links(common: tuple[np.ndarray, np.ndarray], threshold: float) -> Callable:
+    """Links of two blocks of a bucket (or within one) between different components: one per text at most, each
+    to the first text that it is connected with."""
+
+    def run(key, table):
+        import pyarrow as pa
 
-    i, j = key[1].as_py(), key[2].as_py()
-    block = np.array(table.column("block").to_pylist())
-    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, SAMPLES)
-    tk, comp = np.array(table.column("tk").to_pylist(), object), np.array(table.column("comp").to_pylist(), object)
-    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    pairs = []
-    for x in left.tolist():
-        others = right[right > x] if i == j else right
-        agree = others[(sig[others] == sig[x]).sum(axis=1) >= LEAST_AGREE]
-        pairs += [(min(tk[x], tk[y]), max(tk[x], tk[y])) for y in agree.tolist() if comp[x] != comp[y]]
-    return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
+        i, j = key[1].as_py(), key[2].as_py()
+        block = np.array(table.column("block").to_pylist())
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        tk = table.column("tk").to_pylist()
+        names: dict = {}
+        comp = np.array([names.setdefault(c, len(names)) for c in table.column("comp").to_pylist()])
+        found = []
+        if len(left) and len(right) and len(names) > 1:
+            kernel = _kernel()
+            sets = [weighted(kernel.shingles([t])[0], common) for t in table.column("text").cast(pa.binary()).to_pylist()]
+            alike = _similarities(sets, left, right)
+            for x, y in np.argwhere(alike >= threshold - 1e-6).tolist():
+                a, b = int(left[x]), int(right[y])
+                if comp[a] != comp[b] and (1e-6 < alike[x, y] - threshold or jaccard(sets[a], sets[b]) >= threshold - 1e-9):
+                    found.append((tk[a], tk[b]))
+                    comp[comp == comp[b]] = comp[a]
+        return pa.table({"a": pa.array([p[0] for p in found], pa.binary()), "b": pa.array([p[1] for p in found], pa.binary())})
+
+    return run
 
 
 def _verify(common: tuple[np.ndarray, np.ndarray], threshold: float) -> Callable:
@@ -313,35 +369,36 @@ def _classes(docs: DataFrame, threshold: float, doc: str, text: str) -> tuple[Da
     need(docs, doc, text)
     rows = docs.select(F.col(doc).cast("long").alias("doc"), F.unhex(F.md5(F.col(text).cast("string"))).alias("tk"), F.col(text).cast("string").alias("text"))
     common = common_shingles(rows, "text")
-    signed = written(rows.mapInArrow(_sign(common), "doc long, tk binary, bands array<long>, sig binary"), "signed")
-    distinct = signed.where("tk is not null and size(bands) > 0").select("tk", "bands", "sig").dropDuplicates(["tk"])
-    banded = distinct.select("tk", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("tk").alias("pivot")).where("n > 1")
-    members = written(banded.join(shared, "key").where("tk <> pivot"), "members")  # key, tk, n, pivot
+    signed = written(rows.mapInArrow(_sign(common), "doc long, tk binary, bands array<long>, sig binary, size long"), "signed")
+    distinct = signed.where("tk is not null and size(bands) > 0").select("tk", "bands", "sig", "size").dropDuplicates(["tk"])
+    banded = distinct.select("tk", "size", F.explode("bands").alias("key"))
+    shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    placed = written(banded.join(shared, "key").select("key", "tk", "size", "n"), "placed")
+    # The pivot of a bucket is the text with most company in all its buckets: in a family of copies that is the original.
+    company = placed.groupBy("tk").agg(F.sum("n").alias("company"))
+    pivots = placed.join(company, "tk").groupBy("key").agg(F.max(F.struct("company", "tk"))["tk"].alias("pivot"))
+    members = written(placed.join(pivots, "key").where("tk <> pivot"), "members")  # key, tk, size, n, pivot
+    texts = rows.select("tk", "text").join(placed.select("tk").distinct().hint("merge"), "tk", "left_semi")
+    texts = written(texts.dropDuplicates(["tk"]), "texts")
 
     sigs = distinct.select("tk", "sig")
     stars = members.select(F.col("tk").alias("a"), F.col("pivot").alias("b")).distinct()
     stars = stars.join(sigs.select(F.col("tk").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("tk").alias("b"), F.col("sig").alias("sb")), "b")
-    candidates = written(stars.select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a binary, b binary"), "stars")
-
-    def verified(pairs: DataFrame, label: str) -> DataFrame:
-        used = pairs.select(F.col("a").alias("tk")).union(pairs.select("b")).distinct()
-        texts = written(rows.select("tk", "text").join(used, "tk", "left_semi").dropDuplicates(["tk"]), "texts")
-        both = pairs.join(texts.select(F.col("tk").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("tk").alias("b"), F.col("text").alias("tb")), "b")
-        return written(both.select("a", "b", "ta", "tb").mapInArrow(_verify(common, threshold), "a binary, b binary"), label)
-
-    comps = components(verified(candidates, "links"))
-
-    # Buckets that are not one component yet: what is left in them is compared in blocks.
-    known = members.join(comps.select(F.col("node").alias("tk"), "comp"), "tk", "left").join(comps.select(F.col("node").alias("pivot"), F.col("comp").alias("pc")), "pivot", "left")
-    known = known.select("key", "tk", "n", F.coalesce("comp", "tk").alias("comp"), F.coalesce("pc", "pivot").alias("pc"))
-    mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("n").alias("m")).where("lo <> hi").select("key", F.ceil(F.col("m") / BLOCK).alias("blocks"))
-    left = known.join(mixed, "key").join(sigs, "tk").withColumn("block", F.pmod(F.xxhash64("tk"), F.col("blocks")))
-    left = left.select("key", "tk", "comp", "sig", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    left = left.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "tk", "comp", "sig", "block")
-    more = written(left.groupBy("key", "i", "j").applyInArrow(_block_pairs, "a binary, b binary").distinct(), "pairs")
-    if not more.isEmpty():
-        extra = verified(more, "more-links")
+    candidates = stars.select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a binary, b binary")
+    both = candidates.join(texts.select(F.col("tk").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("tk").alias("b"), F.col("text").alias("tb")), "b")
+    comps = components(both.select("a", "b", "ta", "tb").mapInArrow(_verify(common, threshold), "a binary, b binary"))
+
+    # Buckets whose texts (the pivot is done) are not one component yet are compared in blocks, each set of texts once.
+    known = members.join(comps.select(F.col("node").alias("tk"), "comp"), "tk", "left").select("key", "tk", "size", F.coalesce("comp", "tk").alias("comp"))
+    known = written(known, "known")
+    same = [F.count("*").alias("m"), F.sum("size").alias("bytes"), F.bit_xor(F.xxhash64("tk")).alias("x"), F.bit_xor(F.xxhash64("tk", F.lit(1))).alias("y")]
+    mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *same).where("lo <> hi").groupBy("m", "bytes", "x", "y").agg(F.min("key").alias("key"))
+    mixed = mixed.select("key", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("bytes") / BLOCK_BYTES)).alias("blocks"))
+    left = known.join(mixed, "key").join(texts, "tk").withColumn("block", F.pmod(F.xxhash64("tk"), F.col("blocks")))
+    left = left.select("key", "tk", "comp", "text", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    left = left.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "tk", "comp", "text", "block")
+    extra = written(left.groupBy("key", "i", "j").applyInArrow(_block_links(common, threshold), "a binary, b binary").distinct(), "more-links")
+    if not extra.isEmpty():
         to = comps.withColumnRenamed("comp", "c")
         ends = extra.join(to.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a", "left").join(to.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b", "left")
         ends = ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
