@@ -52,8 +52,8 @@ def messy_part(spark: SparkSession, d: str) -> DataFrame:
     """Part with every cell as padded text and some empty cells."""
     p = table(spark, d, "part")
     return p.select(
-        F.concat(F.lit(" "), F.col("p_retailprice").cast("string"), F.lit("  ")).alias("price"),
-        F.when(F.col("p_partkey") % 4 == 0, "  ").otherwise(F.col("p_size").cast("string")).alias("size"),
+        F.concat(F.lit(" \t"), F.col("p_retailprice").cast("string"), F.lit(" \u00a0\r\n")).alias("price"),
+        F.when(F.col("p_partkey") % 4 == 0, " \t\n").otherwise(F.col("p_size").cast("string")).alias("size"),
         F.when(F.col("p_partkey") % 9 == 0, "n/a").otherwise(F.col("p_size").cast("string")).alias("mixed"),
         F.col("p_brand").alias("brand"),
     )
@@ -428,5 +428,5 @@ def entries() -> list[Entry]:
 
 
 def _langs(s: SparkSession, d: str) -> list[str]:
-    rows = TB.value_counts(table(s, d, "documents"), "lang").orderBy("value").limit(1000).collect()
+    rows = TB.value_counts(table(s, d, "documents"), "lang").orderBy("value").collect()
     return [r["value"] for r in rows]

@@ -35,7 +35,7 @@ WITH g AS (SELECT o_orderpriority AS "group", count(*) AS group_n, avg(o_totalpr
                   min(o_totalprice) AS lo, max(o_totalprice) AS hi, least(20, count(DISTINCT o_totalprice)) AS k FROM orders GROUP BY 1),
 c AS (SELECT g."group", least(k, floor((o_totalprice - lo) / ((hi - lo) / k)) + 1) AS bin, count(*) AS n FROM orders JOIN g ON o_orderpriority = g."group" GROUP BY 1, 2)
 SELECT "group", bin::INT AS bin, lo + (bin - 1) * (hi - lo) / k AS lower, CASE WHEN bin = k THEN hi ELSE lo + bin * (hi - lo) / k END AS upper,
-       n, group_n, group_mean, group_sd FROM c JOIN g USING ("group")
+       coalesce(n, 0) AS n, group_n, group_mean, group_sd FROM (SELECT *, unnest(range(1, k::INT + 1)) AS bin FROM g) LEFT JOIN c USING ("group", bin)
 """
 
 
@@ -128,13 +128,25 @@ def streamed_summary(s: SparkSession, d: str) -> DataFrame:
 
 
 def streamed_windows(s: SparkSession, d: str) -> DataFrame:
-    """Append-mode windows; the last ones stay open until the watermark passes them."""
+    """Append-mode windows: those that the watermark has closed."""
     out = _folder(s, "stream-windows")
     result = windowed_summarize(events_stream(s, d), "value", "ts", "1 day", by="event_type", watermark="10 minutes")
     write_available(result, "append", _folder(s, "stream-state")).format("parquet").option("path", out).start().awaitTermination()
     return s.read.schema(result.schema).parquet(out)
 
 
+def streamed_open_windows(s: SparkSession, d: str) -> DataFrame:
+    """Complete-mode windows: closed and open ones."""
+    out = _folder(s, "stream-all-windows")
+    result = windowed_summarize(events_stream(s, d), "value", "ts", "1 day", by="event_type", watermark="10 minutes")
+
+    def store(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    write_available(result, "complete", _folder(s, "stream-state")).foreachBatch(store).start().awaitTermination()
+    return s.read.parquet(out)
+
+
 WINDOW_SQL = (
     "SELECT * FROM (SELECT date_trunc('day', ts) AS day, event_type, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS sd, min(value) AS min, max(value) AS max "
     "FROM events GROUP BY 1, 2) WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
@@ -180,4 +192,7 @@ def entries() -> list[Entry]:
         entry("stream_windows", lambda s, d: streamed_windows(s, d).withColumn("day", F.date_format("window_start", "yyyy-MM-dd")),
               f"SELECT strftime(day, '%Y-%m-%d') AS day, event_type, n, mean, sd, min, max FROM ({WINDOW_SQL})",
               plain=["day", "event_type", "n"], sig=["mean", "sd", "min", "max"]),
+        entry("stream_all_windows", lambda s, d: streamed_open_windows(s, d).withColumn("day", F.date_format("window_start", "yyyy-MM-dd")),
+              "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS sd, min(value) AS min, max(value) AS max FROM events GROUP BY 1, 2",
+              plain=["day", "event_type", "n"], sig=["mean", "sd", "min", "max"]),
     ]

@@ -349,15 +349,16 @@ def entries() -> list[Entry]:
 
 
 def _dense(s: SparkSession, d: str) -> DataFrame:
-    """Collapse with empty combinations kept: sizes of one brand only in the first bin."""
-    part = table(s, d, "part").filter((F.col("p_brand") != "Brand#1") | (F.col("p_size") <= 12))
-    rows = G.quantile_bins(part, "p_size", 4, "size_bin").select("size_bin", F.col("p_brand").alias("brand"), "p_retailprice")
+    """Collapse with empty combinations kept: one brand has small sizes only."""
+    part = table(s, d, "part")
+    brand = F.when((F.col("p_brand") == "Brand#1") & (F.col("p_size") > 12), "larger sizes").otherwise(F.col("p_brand"))
+    rows = G.quantile_bins(part, "p_size", 4, "size_bin").select("size_bin", brand.alias("brand"), "p_retailprice")
     out = G.collapse(rows, ["size_bin", "brand"], "p_retailprice", ["mean", "count"])
     levels = {"size_bin": out.select("size_bin").distinct(), "brand": out.select("brand").distinct()}
     return G.dense_groups(out, levels, ["count_p_retailprice"])
 
 
-_DENSE_ROWS = "(SELECT * FROM part WHERE p_brand <> 'Brand#1' OR p_size <= 12)"
+_DENSE_ROWS = "(SELECT * REPLACE (CASE WHEN p_brand = 'Brand#1' AND p_size > 12 THEN 'larger sizes' ELSE p_brand END AS p_brand) FROM part)"
 _DENSE_BINS = qcut_sql(_DENSE_ROWS, "p_size", 4)
 DENSE_SQL = (
     f"WITH r AS (SELECT bin AS size_bin, p_brand AS brand, p_retailprice FROM {_DENSE_BINS}) "

@@ -62,6 +62,15 @@ def _by_column(df: DataFrame, cols: Sequence[str], by: Sequence[str], stats) ->
 NUMBER_TEXT = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[nN][aA][nN]|[iI][nN][fF]([iI][nN][iI][tT][yY])?)$"
 
 
+# White space as Python's str.strip takes it.
+_SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
+def strip(cell: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(cell, rf"^{_SPACE}|{_SPACE}\z", "")
+
+
 def text_number(cell: Column) -> Column:
     """The number a trimmed text cell stands for, NULL if it is none."""
     return F.when(cell.rlike(NUMBER_TEXT), cell.try_cast("double"))
@@ -80,7 +89,7 @@ def summarize(df: DataFrame, cols=None, by=None) -> DataFrame:
     for c, i in place.items():
         dtype, col = df.schema[c].dataType, F.col(f"`{c}`")
         if isinstance(dtype, T.StringType):
-            cells.append(F.nullif(F.trim(col), F.lit("")).alias(f"_c{i}"))
+            cells.append(F.nullif(strip(col), F.lit("")).alias(f"_c{i}"))
         elif is_numeric(dtype):
             cells.append(number(df, c).alias(f"_c{i}"))
         else:

@@ -14,7 +14,6 @@ from econspark.schema import as_list, check_columns, drop_missing, number
 BINS_OF_METHOD = {"quartiles": 4, "quintiles": 5, "deciles": 10}
 TERCILE_LABELS = ("Low", "Medium", "High")
 AGGREGATES = ("mean", "sum", "count", "std", "min", "max", "median")
-MAX_DENSE_LEVELS = 10_000
 
 
 def quantile_edges(df: DataFrame, col: str, q: int) -> list[float]:
@@ -164,18 +163,13 @@ def _sum_or_zero(agg: Column, fn: str) -> Column:
 def dense_groups(collapsed: DataFrame, levels: dict[str, DataFrame], counts: Sequence[str] = ()) -> DataFrame:
     """Keep every combination of the key levels; absent ones get NULL aggregates and zero counts.
 
-    ``levels`` gives the level rows of each key, which must be few (bins, categories; at most
-    MAX_DENSE_LEVELS, counted first): they are gathered into one array per key and exploded.
+    ``levels`` gives the level rows of each key. The grid of all combinations is the result itself, so it is built as a
+    join of the level tables and spread over tasks, whatever their number.
     """
     grid = None
     for key, frame in levels.items():
-        if frame.select(f"`{key}`").distinct().limit(MAX_DENSE_LEVELS + 1).count() > MAX_DENSE_LEVELS:
-            raise ValueError(f"{key} has more than {MAX_DENSE_LEVELS} levels, too many to keep empty combinations")
-        packed = frame.select(F.col(f"`{key}`").alias(key)).agg(F.collect_set(key)).scalar()
-        if grid is None:
-            grid = frame.sparkSession.range(1).select(F.explode(packed).alias(key))
-        else:
-            grid = grid.select("*", F.explode(packed).alias(key))
+        rows = frame.select(F.col(f"`{key}`").alias(key)).distinct()
+        grid = rows if grid is None else grid.join(rows, F.lit(True))
     out = grid.join(collapsed, list(levels), "left")
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast("long")) for c in counts})
 

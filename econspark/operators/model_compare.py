@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from econspark.operators.ols import MIN_ROWS
-from econspark.plans.moments import MomentSource, provisional_centre
+from econspark.plans.moments import MomentSource
 from econspark.plans.solver import ols
 from econspark.schema import as_list, complete_cases
 
@@ -19,15 +19,20 @@ def information_criteria(df: DataFrame, y: str, xs, by=None, max_degree: int = 3
     """AIC, BIC and fit of the base model, polynomials up to ``max_degree`` and pairwise interactions.
 
     All candidate models are sub-matrices of one cross-product matrix, so the data are read once.
-    Columns are shifted and scaled first: every model spans the same space either way.
+    Columns are standardised first, within each group: every model spans the same space either way.
     """
     xs, by = as_list(xs), as_list(by)
     rows = complete_cases(df, [y, *xs], by)
-    centre = provisional_centre(rows, xs)
-    size = rows.select(*[f"`{x}`" for x in xs]).limit(1000).agg(
-        *[F.stddev_samp(f"`{x}`").alias(f"s{i}") for i, x in enumerate(xs)]
-    ).first()
-    z = {x: (F.col(f"`{x}`") - F.lit(centre[x])) / F.lit(size[f"s{i}"] or 1.0) for i, x in enumerate(xs)}
+    keys = [F.col(f"`{k}`") for k in by]
+    stats = [f(f"`{x}`").alias(f"_{n}{i}") for i, x in enumerate(xs) for n, f in (("m", F.avg), ("s", F.stddev_samp))]
+    if by:
+        rows = rows.join(rows.groupBy(*keys).agg(*stats), by)
+        at = lambda name: F.col(name)
+    else:
+        exact = rows.agg(*stats).first()
+        at = lambda name: F.lit(exact[name])
+    one = F.lit(1.0)
+    z = {x: (F.col(f"`{x}`") - F.coalesce(at(f"_m{i}"), F.lit(0.0))) / F.when(at(f"_s{i}") > 0, at(f"_s{i}")).otherwise(one) for i, x in enumerate(xs)}
     cols = {f"_x{i}": z[x] for i, x in enumerate(xs)}
     powers: dict[int, list[str]] = {}
     for d in range(2, max_degree + 1):
@@ -43,7 +48,6 @@ def information_criteria(df: DataFrame, y: str, xs, by=None, max_degree: int = 3
     if crosses:
         designs["With Interactions"] = base + list(crosses)
 
-    keys = [F.col(f"`{k}`") for k in by]
     wide = rows.select(*keys, F.col(f"`{y}`").alias("_y"), *[c.alias(a) for a, c in cols.items()])
 
     def criteria(m) -> list[dict]:

@@ -66,7 +66,7 @@ def histogram(df: DataFrame, col: str, bins: int | None = None) -> DataFrame:
 
 def grouped_histogram(df: DataFrame, group: str, col: str, limit: int = MAX_GROUP_BINS) -> DataFrame:
     """Histogram of ``col`` inside each group on the group's own range with min(limit, distinct)
-    bins; empty bins are left out. Group n, mean and sd ride along."""
+    bins; empty bins have n = 0. Group n, mean and sd ride along."""
     rows = drop_missing(df, [group]).select(F.col(f"`{group}`").alias("group"), number(df, col).alias("v"))
     rows = rows.filter("v is not null")
     stats = rows.groupBy("group").agg(
@@ -86,7 +86,9 @@ def grouped_histogram(df: DataFrame, group: str, col: str, limit: int = MAX_GROU
     bin_no = _bin_number(F.col("v"), F.col("lo"), F.col("hi"), F.col("bins")).alias("bin")
     counts = joined.groupBy("group", bin_no).agg(F.count("*").alias("n"))
     lower, upper = _edges(F.col("lo"), F.col("hi"), F.col("bins"), F.col("bin"))
-    return counts.join(stats, "group").select(
+    every = stats.withColumn("bin", F.explode(F.sequence(F.lit(1), F.col("bins"))))
+    filled = every.join(counts, ["group", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    return filled.select(
         "group", "bin", lower.alias("lower"), upper.alias("upper"), "n", "group_n", "group_mean", "group_sd"
     )
 

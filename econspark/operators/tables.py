@@ -125,9 +125,9 @@ def crosstab(df: DataFrame, row: str, col: str) -> DataFrame:
         )
         .withColumnsRenamed({row: "row_value", col: "col_value"})
     )
-    in_row = Window.partitionBy("row_total", "row_value")
-    row_sum = F.sum(F.when(F.col("col_total") == 1, F.col("n"))).over(in_row)
-    return cube.withColumn("row_percent", 100 * F.col("n") / row_sum)
+    sums = cube.filter("col_total = 1").select(F.col("row_total").alias("_t"), F.col("row_value").alias("_v"), F.col("n").alias("_n"))
+    joined = cube.join(sums, (F.col("row_total") == F.col("_t")) & F.col("row_value").eqNullSafe(F.col("_v")))
+    return joined.withColumn("row_percent", 100 * F.col("n") / F.col("_n")).drop("_t", "_v", "_n")
 
 
 def crosstab_wide(df: DataFrame, row: str, col: str, levels: list | None = None, percent: bool = False) -> DataFrame:

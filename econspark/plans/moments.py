@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from econspark.session import cut_lineage
 
-BUILTIN_PAIRS = 15  # up to here covar_pop per pair; its four buffers per pair get slow beyond
+BUILTIN_PAIRS = 15  # beyond, sums of products around a known shift are faster than covar_pop's four buffers per pair
 CODEGEN_COLUMNS = 8  # up to here sums of products stay inside one compiled aggregate
 MERGE_GROUPS = 64  # partial matrices are merged in this many groups before the last merge
 
@@ -75,17 +75,17 @@ def moments_frame(
     """One row per group: ``by…, n, mean, comoment`` (upper triangle, row by row).
 
     ``df`` must hold complete cases with double columns. Without ``by`` the result has one row.
-    Few columns use the built-in covariance; more use sums of products around ``shift``.
+    The built-in covariance keeps its digits at any level of the columns and in any group. Sums of products around
+    ``shift`` are cheaper for many columns, and only taken where the caller knows a shift that is close to the means.
     """
     cols, by = list(cols), list(by)
     q = {c: f"`{c}`" for c in cols}
     pairs = _pairs(cols)
     # SQL text, since there are many expressions of the same form
-    if len(pairs) <= BUILTIN_PAIRS:
+    if shift is None or len(pairs) <= BUILTIN_PAIRS:
         mean = [f"coalesce(avg({q[c]}), 0D)" for c in cols]
         comoment = [f"coalesce(covar_pop({q[a]}, {q[b]}), 0D) * count(*)" for a, b in pairs]
     else:
-        shift = shift or provisional_centre(df, cols)
         off = {c: f"({q[c]} - {shift[c]!r}D)" for c in cols}
         mean = [f"coalesce({shift[c]!r}D + sum({off[c]}) / count(*), 0D)" for c in cols]
         comoment = [
@@ -104,14 +104,6 @@ def well_centred(m: Moments, loss: float = 1e6) -> bool:
     return bool(m.n == 0 or np.all(m.n * m.mean**2 <= loss * spread))
 
 
-def provisional_centre(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
-    """Means of a few first rows. Sums taken around them lose no digits; the result is exact anyway."""
-    row = df.select(*[f"`{c}`" for c in cols]).limit(1000).agg(
-        *[F.avg(f"`{c}`").alias(f"m{i}") for i, c in enumerate(cols)]
-    ).first()
-    return {c: float(row[f"m{i}"] or 0.0) for i, c in enumerate(cols)}
-
-
 def collect_moments(df: DataFrame, cols: Sequence[str]) -> Moments:
     """Ungrouped moments on the driver: p means and p(p+1)/2 numbers, whatever the row count."""
     cols = list(cols)

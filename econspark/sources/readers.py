@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from econspark.operators.describe import text_number
+from econspark.operators.describe import strip, text_number
 from econspark.schema import normalise
 
 
@@ -18,7 +18,7 @@ def read_csv(spark: SparkSession, path, schema: T.StructType | str | None = None
 def read_text_csv(spark: SparkSession, path, **options) -> DataFrame:
     """CSV with every cell as trimmed text; empty cells become NULL."""
     raw = spark.read.option("header", True).option("inferSchema", False).options(**options).csv(path)
-    return raw.select(*[F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c) for c in raw.columns])
+    return raw.select(*[F.nullif(strip(F.col(f"`{c}`")), F.lit("")).alias(c) for c in raw.columns])
 
 
 def parse_numbers(df: DataFrame, cols=None) -> DataFrame:
@@ -29,7 +29,7 @@ def parse_numbers(df: DataFrame, cols=None) -> DataFrame:
     text = cols or [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     if not text:
         return df
-    cells = {c: F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")) for c in text}
+    cells = {c: F.nullif(strip(F.col(f"`{c}`")), F.lit("")) for c in text}
     row = df.agg(
         *[
             ((F.count(cells[c]) > 0) & (F.count(cells[c]) == F.count(text_number(cells[c])))).alias(f"ok{i}")
