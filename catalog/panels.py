@@ -8,6 +8,7 @@ from catalog.descriptive import li
 from catalog.sqlgen import Entry, chi2_sf, coefficient_union, entry, f_sf, norm_sf, ols_sql, t_two_sided, table
 from econspark.operators import panel as P
 from econspark.operators.absorb import Absorption
+from econspark.operators.ols import Regression
 
 Y, XS = "o_totalprice", ["qty", "disc"]
 PANEL = (
@@ -106,6 +107,48 @@ STRUCTURE_SQL = (
     "FROM (SELECT count(*) AS k FROM orders GROUP BY o_custkey)"
 )
 
+# --- six regressors, two of them far from zero: levels of 1e8 and of the entity times 1e6 ---------
+
+YW, XW = "l_extendedprice", ["l_quantity", "l_discount", "l_tax", "l_linenumber", "far", "level"]
+WIDE = (
+    "(SELECT l_returnflag, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_linenumber::DOUBLE AS l_linenumber, "
+    "1e8 + (l_partkey * 7 % 101)::DOUBLE AS far, 1e6 * l_suppkey + (l_orderkey * 3 % 17)::DOUBLE AS level FROM lineitem)"
+)
+
+
+def wide_lines(s: SparkSession, d: str) -> DataFrame:
+    rows = li(s, d).withColumns({
+        "l_linenumber": F.col("l_linenumber").cast("double"),
+        "far": F.lit(1e8) + F.expr("l_partkey * 7 % 101").cast("double"),
+        "level": F.lit(1e6) * F.col("l_suppkey") + F.expr("l_orderkey * 3 % 17").cast("double"),
+    })
+    return rows.select("l_returnflag", "l_suppkey", "l_orderkey", "l_shipdate", YW, *XW)
+
+
+def wide_panel(s: SparkSession, d: str) -> P.Panel:
+    return P.Panel(wide_lines(s, d), YW, XW, "l_suppkey", ["l_shipdate", "l_orderkey", "l_linenumber"])
+
+
+def slopes(df: DataFrame, *keys: str) -> DataFrame:
+    return df.filter(F.col("variable").isin(*XW)).select(*keys, "variable", "coefficient", "std_error")
+
+
+def slopes_sql(ctes: str, prefix: str, const: bool = False, by=()) -> str:
+    keys = "".join(f"{k}, " for k in by)
+    names = ", ".join(f"'{x}'" for x in XW)
+    return f"WITH {ctes} SELECT {keys}variable, coefficient, std_error FROM ({coefficient_union(XW, prefix, const=const, by=by)}) WHERE variable IN ({names})"
+
+
+FEW = ols_sql(within(WIDE, [YW, *XW], "l_suppkey"), YW, XW, const=False, prefix="fe")
+THETAW = (
+    ols_sql(means(WIDE, [YW, *XW], "l_suppkey"), YW, XW, const=False, prefix="bw")
+    + f", th AS (SELECT 1 - sqrt(se / (se + t * su)) AS theta FROM (SELECT ssr / (n - 6) AS su FROM bw), "
+    f"(SELECT avg(pow(v, 2)) AS se FROM (SELECT {YW} - avg({YW}) OVER (PARTITION BY l_suppkey) AS v FROM {WIDE})), "
+    f"(SELECT count(*) * 1.0 / count(DISTINCT l_suppkey) AS t FROM {WIDE}))"
+)
+QUASIW = "SELECT " + ", ".join(f"{c} - theta * avg({c}) OVER (PARTITION BY l_suppkey) AS {c}" for c in [YW, *XW]) + f" FROM {WIDE}, th"
+SLOPES = dict(plain=["variable"], sig=["coefficient", "std_error"], digits=5)
+
 # --- absorption on lineitem ---------------------------------------------------------------------
 
 AY, AX = "l_extendedprice", ["l_quantity", "l_discount"]
@@ -210,4 +253,12 @@ def entries() -> list[Entry]:
         ),
         entry("areg_comparison", lambda s, d: absorb(s, d, ONE).comparison(), absorb_comparison_sql(), plain=["variable"],
               sig=["ols", "fixed_effects", "difference", "percent_change"], digits=5),
+        entry("xtreg_fixed_wide", lambda s, d: slopes(wide_panel(s, d).coefficients("fixed")), slopes_sql(FEW, "fe"), **SLOPES),
+        entry("xtreg_random_wide", lambda s, d: slopes(wide_panel(s, d).coefficients("random")).drop("std_error"),
+              f"SELECT variable, coefficient FROM ({slopes_sql(THETAW + ', ' + ols_sql(QUASIW, YW, XW, const=False, prefix='re'), 're')})", plain=["variable"], sig=["coefficient"], digits=4),
+        entry("areg_one_way_wide", lambda s, d: slopes(Absorption(wide_lines(s, d), YW, XW, ["l_suppkey"]).coefficients()).drop("std_error"),
+              f"SELECT variable, coefficient FROM ({slopes_sql(FEW, 'fe')})", plain=["variable"], sig=["coefficient"], digits=5),
+        entry("regress_by_wide", lambda s, d: slopes(Regression(wide_lines(s, d), YW, XW, by="l_returnflag").coefficients(), "l_returnflag"),
+              slopes_sql(ols_sql(f"SELECT * FROM {WIDE}", YW, XW, by=["l_returnflag"], prefix="o"), "o", True, ["l_returnflag"]),
+              plain=["l_returnflag", "variable"], sig=["coefficient", "std_error"], digits=5),
     ]

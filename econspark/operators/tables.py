@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from econspark.plans.buckets import fit_buckets
+from econspark.plans.buckets import ordered_parts, part_offsets
 from econspark.schema import as_list, check_columns, drop_missing
 
 TOP_BARS = 20  # categories kept by the bar chart
 TOP_VALUES = 49  # values kept by the unique-value table
 OTHER = "Other"
 TOTAL = "Total"
-# Level tables up to this size are ordered in one window; larger ones in buckets of the count.
-SMALL_TABLE = 1_000_000
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
@@ -21,45 +19,21 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 
 def frequency(df: DataFrame, col: str) -> DataFrame:
-    """Count, percent, running count and running percent, most frequent first, ties by value."""
-    counts = value_counts(df, col)
-    everything = Window.partitionBy()
-    by_count = Window.orderBy(F.desc("n"), "value")
-    levels = drop_missing(df, [col]).agg(F.approx_count_distinct(f"`{col}`")).first()[0]
-    if levels <= SMALL_TABLE:
-        running = F.sum("n").over(by_count.rowsBetween(Window.unboundedPreceding, 0))
-        ranked = counts.select("value", "n", F.sum("n").over(everything).alias("total"), running.alias("upto"))
-    else:
-        ranked = _running_in_buckets(counts)
+    """Count, percent, running count and running percent, most frequent first, ties by value.
+
+    Levels lie in range partitions of (count, value), so equal counts spread over tasks like any others.
+    """
+    order = (F.desc("n"), F.asc("value"))
+    parts = ordered_parts(value_counts(df, col), *order)
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = parts.withColumn("upto", upto).join(F.broadcast(part_offsets(parts, F.sum("n"))), "part")
+    cum = F.col("before") + F.col("upto")
     return ranked.select(
         "value",
         "n",
         (100 * F.col("n") / F.col("total")).alias("percent"),
-        F.col("upto").alias("cum_n"),
-        (100 * F.col("upto") / F.col("total")).alias("cum_percent"),
-    )
-
-
-def _running_in_buckets(counts: DataFrame) -> DataFrame:
-    """Running totals of a large level table.
-
-    Buckets follow (count, hash of value): levels with equal counts, however many, spread over
-    tasks. Inside a run of equal counts the order is by hash, then value.
-    """
-    keyed = counts.withColumn("tie", F.xxhash64("value"))
-    order = -F.col("n").cast("double") + (F.col("tie") / F.lit(2.0**64) + 0.5) * 0.999
-    keyed = keyed.withColumn("order", order)
-    buckets = fit_buckets(keyed, F.col("order"))
-    bucketed = buckets.assign(keyed, "order")
-    cells = bucketed.groupBy("bucket").agg(F.sum("n").alias("cell"))
-    before = F.sum("cell").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("cell")
-    total = F.sum("cell").over(Window.partitionBy())
-    offsets = cells.select("bucket", before.alias("before"), total.alias("total"))
-    within = Window.partitionBy("bucket").orderBy("order", "value")
-    return (
-        bucketed.withColumn("upto", F.sum("n").over(within.rowsBetween(Window.unboundedPreceding, 0)))
-        .join(F.broadcast(offsets), "bucket")
-        .select("value", "n", "total", (F.col("before") + F.col("upto")).alias("upto"))
+        cum.alias("cum_n"),
+        (100 * cum / F.col("total")).alias("cum_percent"),
     )
 
 

@@ -13,11 +13,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from econspark.session import cut_lineage
 
 MIN_BUCKETS = 32
-MAX_BUCKETS = 4096
-BYTES_PER_BUCKET = 64 * 1024 * 1024
+MAX_BUCKETS = 65_536  # split points in one row of the driver; a bucket of 100 TB is then 1.6 GB
 
 
 @dataclass(frozen=True)
@@ -38,9 +39,8 @@ class OrderBuckets:
 
 
 def bucket_count(df: DataFrame) -> int:
-    """Buckets for a table of this size, by the optimizer's size estimate; runs no job."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(MAX_BUCKETS, max(MIN_BUCKETS, size // BYTES_PER_BUCKET))
+    """Buckets for a table: a few per shuffle partition, which is what the cluster sets by the size of its data."""
+    return min(MAX_BUCKETS, max(MIN_BUCKETS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def sketch(column: str, buckets: int) -> Column:
@@ -61,17 +61,19 @@ def fit_buckets(df: DataFrame, value: Column) -> OrderBuckets:
     return from_sketch(row["points"])
 
 
-def order_number(df: DataFrame, name: str) -> Column:
-    """The first sort key as a double, for numbers, dates and timestamps."""
-    dtype = df.schema[name].dataType.typeName()
-    col = F.col(f"`{name}`")
-    if dtype == "date":
-        return F.unix_date(col).cast("double")
-    if dtype == "timestamp":
-        return F.unix_micros(col).cast("double")
-    if dtype == "timestamp_ntz":  # wall-clock seconds, whatever the session's zone
-        clock = F.hour(col) * 3600 + F.minute(col) * 60 + F.second(col)
-        return F.unix_date(F.to_date(col)).cast("double") * 86_400 + clock
-    if dtype in ("byte", "short", "integer", "long", "float", "double") or dtype.startswith("decimal"):
-        return col.cast("double")
-    raise TypeError(f"the first order column must be a number, date or timestamp, {name} is {dtype}")
+def ordered_parts(df: DataFrame, *order: Column | str, part: str = "part", tie: str = "tie") -> DataFrame:
+    """``df`` in range partitions of the whole order, numbered by ``part``; ``tie`` tells equal rows apart.
+
+    Every order column takes part in the split, of whatever type, and equal rows can be split by ``tie``: a
+    value that most rows share, or a column of text, is spread like any other. The table is written once, since the
+    split points are drawn from a sample.
+    """
+    numbered = df.withColumn(tie, F.monotonically_increasing_id())
+    return cut_lineage(numbered.repartitionByRange(*order, F.col(tie)).withColumn(part, F.spark_partition_id()))
+
+
+def part_offsets(parts: DataFrame, amount: Column, part: str = "part") -> DataFrame:
+    """``part``, ``before`` (amount in earlier parts) and ``total``: as many rows as there are partitions."""
+    cells = parts.groupBy(part).agg(amount.alias("cell"))
+    upto = F.sum("cell").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, 0))
+    return cells.select(part, (upto - F.col("cell")).alias("before"), F.sum("cell").over(Window.partitionBy()).alias("total"))

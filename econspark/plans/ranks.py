@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from econspark.plans.buckets import bucket_count, fit_buckets, from_sketch, order_number, sketch
+from econspark.plans.buckets import bucket_count, fit_buckets, from_sketch, ordered_parts, part_offsets, sketch
 from econspark.schema import as_list, check_columns, drop_missing, number
 
 # A hash map of at most this many distinct (group, column, value) entries may sit in one task.
@@ -203,15 +203,14 @@ def row_numbers(df: DataFrame, order_by: str | Sequence[str], out: str = "row_in
     """0-based position of each row in the order of ``order_by`` plus ``total``, the row count."""
     order_by = as_list(order_by)
     check_columns(df, order_by)
-    first = order_number(df, order_by[0])
-    buckets = fit_buckets(df, first)
-    bucketed = buckets.assign(df.withColumn("bucket_key", first), "bucket_key")
-    within = F.row_number().over(Window.partitionBy("bucket").orderBy(*[f"`{c}`" for c in order_by]))
+    order = [f"`{c}`" for c in order_by]
+    parts = ordered_parts(df, *order, part="_part", tie="_tie")
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order, "_tie"))
     return (
-        bucketed.withColumn("within", within)
-        .join(F.broadcast(_bucket_offsets(bucketed)), "bucket")
-        .withColumn(out, F.col("before") + F.col("within") - 1)
-        .drop("bucket", "bucket_key", "within", "before")
+        parts.withColumn("_within", within)
+        .join(F.broadcast(part_offsets(parts, F.count("*"), "_part")), "_part")
+        .withColumn(out, F.col("before") + F.col("_within") - 1)
+        .drop("_part", "_tie", "_within", "before")
     )
 
 
@@ -223,32 +222,29 @@ def successive_changes(
 ) -> DataFrame:
     """Change of ``values`` from one row to the next in order: ``partition_by…, values…``.
 
-    Each partition is cut into buckets of the first order column. Changes inside a bucket come from
-    ``lag``; the change across a bucket border comes from the last and first row of the buckets,
-    a table with at most MAX_BUCKETS rows per partition key. A key that holds a large share of
-    the rows is therefore spread over as many tasks as its share of the buckets.
+    Rows lie in range partitions of the keys and the whole order. Changes inside a partition come from ``lag``; the change
+    across a border comes from the last and first row of the partitions, a table with one row per key and
+    partition that holds it. A key with a large share of the rows is spread over its share of the partitions.
     """
     order_by, keys = as_list(order_by), as_list(partition_by)
     check_columns(df, [*order_by, *keys, *values])
-    first = order_number(df, order_by[0])
-    buckets = fit_buckets(df, first)
-    rows = buckets.assign(df.withColumn("bucket_key", first), "bucket_key")
     point = F.struct(*[F.col(f"`{v}`").cast("double").alias(f"v{i}") for i, v in enumerate(values)])
-    order = F.struct(*[F.col(f"`{c}`") for c in order_by])
-    rows = rows.select(*[F.col(f"`{k}`") for k in keys], "bucket", order.alias("pos"), point.alias("point"))
+    kept = [F.col(f"`{k}`") for k in keys]
+    rows = df.select(*kept, F.struct(*[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(order_by)]).alias("order"), point.alias("point"))
+    rows = ordered_parts(rows, *kept, "order", part="_part", tie="_tie")
+    rows = rows.select(*kept, "_part", F.struct("order", "_tie").alias("pos"), "point")
 
-    previous = F.lag("point").over(Window.partitionBy(*keys, "bucket").orderBy("pos"))
+    previous = F.lag("point").over(Window.partitionBy(*keys, "_part").orderBy("pos"))
     inside = rows.withColumn("prev", previous).filter(F.col("prev").isNotNull())
-    edges = rows.groupBy(*keys, "bucket").agg(
+    edges = rows.groupBy(*keys, "_part").agg(
         F.min_by("point", "pos").alias("point"), F.max_by("point", "pos").alias("last")
     )
-    before = F.lag("last").over(Window.partitionBy(*keys).orderBy("bucket"))
+    before = F.lag("last").over(Window.partitionBy(*keys).orderBy("_part"))
     border = edges.withColumn("prev", before).filter(F.col("prev").isNotNull())
 
     changes = [
         (F.col(f"point.v{i}") - F.col(f"prev.v{i}")).alias(v) for i, v in enumerate(values)
     ]
-    kept = [F.col(f"`{k}`") for k in keys]
     return inside.select(*kept, *changes).unionByName(border.select(*kept, *changes))
 
 

@@ -4,6 +4,11 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
+from econspark.operators.absorb import Absorption
+from econspark.operators.ols import Regression
+from econspark.operators.panel import Panel
 from econspark.plans.moments import collect_moments, merge, moments_frame, unpack
 from econspark.plans.solver import ols
 
@@ -46,3 +51,31 @@ def test_ols_matches_numpy(spark):
     assert fit.ssr == pytest.approx(ssr[0], rel=1e-9)
     cov = np.linalg.inv(design.T @ design) * ssr[0] / 196
     assert fit.se() == pytest.approx(np.sqrt(np.diag(cov)), rel=1e-5)
+
+
+@pytest.mark.parametrize("k", [2, 5, 7])
+def test_keyed_moments_keep_their_digits_at_any_level(spark, k):
+    """Entity levels of 1e8 times the spread inside an entity, few and many columns."""
+    rng = np.random.default_rng(k)
+    entity = np.repeat(np.arange(30), 40)
+    x = rng.normal(size=(1200, k)) + 1e8 * (entity[:, None] + 1) * (np.arange(k) % 2)
+    y = x @ np.arange(1, k + 1) + 1e8 * entity + rng.normal(size=1200) * 1e-3
+    cols = [f"x{i}" for i in range(k)]
+    df = spark.createDataFrame(pd.DataFrame(np.column_stack([entity, y, x]), columns=["id", "y", *cols])).repartition(5)
+    for table in (Absorption(df, "y", cols, ["id"]).coefficients(), Panel(df, "y", cols, "id", "y").coefficients("fixed")):
+        got = {r["variable"]: r["coefficient"] for r in table.collect()}
+        assert [got[c] for c in cols] == pytest.approx(range(1, k + 1), abs=2e-3)
+    assert df.count() == 1200
+
+
+def test_regression_by_group_far_from_zero(spark):
+    rng = np.random.default_rng(4)
+    g = np.repeat([0, 1], 300)
+    x = rng.normal(size=(600, 6)) + np.where(g == 1, 1e7, 0.0)[:, None]
+    y = x @ np.arange(1, 7) + rng.normal(size=600) * 1e-3
+    cols = [f"x{i}" for i in range(6)]
+    df = spark.createDataFrame(pd.DataFrame(np.column_stack([g, y, x]), columns=["g", "y", *cols]))
+    for group in (0, 1):
+        rows = Regression(df, "y", cols, by="g").coefficients().filter(F.col("g") == group).collect()
+        got = {r["variable"]: r["coefficient"] for r in rows}
+        assert [got[c] for c in cols] == pytest.approx(range(1, 7), abs=2e-3)

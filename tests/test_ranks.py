@@ -5,8 +5,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from econspark.operators.tables import _running_in_buckets
+from econspark.operators.tables import frequency
 from econspark.plans import ranks
+from econspark.plans.buckets import ordered_parts
 
 PROBS = [0.0, 0.01, 0.25, 0.5, 0.77, 1.0]
 
@@ -70,21 +71,27 @@ def test_row_numbers_and_changes(spark):
     assert sorted(ranks.successive_changes(df, ["v"], "k").toPandas()["v"]) == pytest.approx(sorted(whole), rel=1e-9)
 
 
-def test_order_column_must_be_orderable_as_number(spark):
-    df = spark.createDataFrame([("a", 1.0)], "s string, x double")
-    with pytest.raises(TypeError):
-        ranks.row_numbers(df, "s")
-
-
-def test_running_totals_of_large_level_tables(spark):
-    counts = spark.range(500).select(F.col("id").alias("value"), (F.col("id") % 3 + 1).alias("n"))
-    rows = sorted(_running_in_buckets(counts).collect(), key=lambda r: r["upto"])
-    assert [r["n"] for r in rows] == sorted((r["n"] for r in rows), reverse=True)
-    assert rows[-1]["upto"] == rows[0]["total"] == sum(i % 3 + 1 for i in range(500))
-    total = 0
-    for r in rows:
-        total += r["n"]
-        assert r["upto"] == total
+def test_text_periods_and_a_hot_first_key(spark):
+    n = 6000
+    pdf = pd.DataFrame({"day": ["2020Q1" if i % 10 else f"2021Q{i % 4}" for i in range(n)], "k": np.arange(n)[::-1], "v": np.arange(n) ** 1.5})
+    df = spark.createDataFrame(pdf).repartition(6)
+    ordered = pdf.sort_values(["day", "k"]).reset_index(drop=True)
+    got = {r["k"]: r["row_index"] for r in ranks.row_numbers(df, ["day", "k"]).collect()}
+    assert got == {int(k): i for i, k in enumerate(ordered["k"])}
+    changes = sorted(ranks.successive_changes(df, ["v"], ["day", "k"]).toPandas()["v"])
+    assert changes == pytest.approx(sorted(ordered["v"].diff().dropna()), rel=1e-9)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions are merged otherwise
+    spread = ordered_parts(df.filter("day = '2020Q1'"), "day").groupBy("part").count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(spread) > 1 and max(r["count"] for r in spread) < 0.6 * n  # the one value lies in several parts
+
+
+@pytest.mark.parametrize("levels", [6, 5000])
+def test_running_frequencies_with_many_ties(spark, levels):
+    df = spark.range(3 * levels).select((F.col("id") % levels).alias("level"))
+    rows = sorted(frequency(df, "level").collect(), key=lambda r: r["cum_n"])
+    assert [r["value"] for r in rows] == list(range(levels))
+    assert [r["cum_n"] for r in rows] == [3 * (i + 1) for i in range(levels)]
 
 
 @pytest.mark.parametrize("points", [2, 7, 50, 5000])
