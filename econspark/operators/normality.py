@@ -6,9 +6,9 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from econspark.functions.dist import norm_ppf, norm_sf
+from econspark.functions.dist import norm_ppf, norm_sf, normal_quantile_sql
 from econspark.plans.ranks import value_ranks
 from econspark.schema import number
 
@@ -108,11 +108,41 @@ def shapiro_p(w: float, n: int) -> float:
     return norm_sf((y - mean) / scale)
 
 
-@F.pandas_udf(T.DoubleType())
-def _block_weight_col(before: pd.Series, count: pd.Series, n: pd.Series) -> pd.Series:
-    known = {int(t): weight_constants(int(t)) for t in n.unique()}
-    rows = zip(before, count, n)
-    return pd.Series([block_weight(int(b), int(c), int(t), known[int(t)]) for b, c, t in rows], dtype="float64")
+FEW_RANKS = 16  # shorter runs of ranks are summed one by one
+
+
+def block_weight_column(n: int) -> Column:
+    """``block_weight`` of the columns ``before`` and ``n`` for a table of ``n`` rows, in built-in functions.
+
+    The constants of the table are literals. Runs of equal values are summed one by one near the ends and where they are short,
+    in closed form between.
+    """
+    a1, a2, divisor = weight_constants(n)
+    edge = 1 if n <= 5 else 2
+
+    def score(i: str) -> str:
+        return normal_quantile_sql(f"(({i} - 0.375D) / {n + 0.25!r}D)")
+
+    def one_by_one(lo: str, hi: str) -> str:
+        return f"CASE WHEN {lo} <= {hi} THEN aggregate(sequence({lo}, {hi}), 0D, (s, i) -> s + {score('i')}) ELSE 0D END"
+
+    def density(z: str) -> str:
+        return f"exp(-0.5D * pow({z}, 2)) / {math.sqrt(2 * math.pi)!r}D"
+
+    def closed(lo: str, hi: str) -> str:
+        return f"{n + 0.25!r}D * ({density(score(f'({lo} - 0.5D)'))} - {density(score(f'({hi} + 0.5D)'))})"
+
+    lo, hi = f"greatest(before + 1, {edge + 1}L)", f"least(before + n, {n - edge}L)"
+    left, right = f"least({hi}, {EXPLICIT_TAIL}L)", f"greatest({lo}, {n - EXPLICIT_TAIL + 1}L)"
+    inner_lo, inner_hi = f"greatest({lo}, {EXPLICIT_TAIL + 1}L)", f"least({hi}, {n - EXPLICIT_TAIL}L)"
+    if n <= 2 * EXPLICIT_TAIL:
+        inner = one_by_one(lo, hi)
+    else:
+        middle = f"CASE WHEN {inner_hi} - {inner_lo} < {FEW_RANKS} THEN {one_by_one(inner_lo, inner_hi)} ELSE {closed(inner_lo, inner_hi)} END"
+        inner = f"{one_by_one(lo, left)} + {middle} + {one_by_one(right, hi)}"
+    ends = {1: -a1, n: a1} if edge == 1 else {1: -a1, 2: -a2, n - 1: a2, n: a1}
+    at_ends = " + ".join(f"CASE WHEN {rank}L BETWEEN before + 1 AND before + n THEN {weight!r}D ELSE 0D END" for rank, weight in ends.items())
+    return F.expr(at_ends if n == 3 else f"{at_ends} + ({inner}) / {divisor!r}D")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -123,15 +153,15 @@ def _shapiro_p_col(w: pd.Series, n: pd.Series) -> pd.Series:
 def shapiro_wilk(df: DataFrame, col: str, alpha: float = 0.05) -> DataFrame:
     """W, p and verdict over all rows; empty below 3 rows or without variation.
 
-    Ranks come as counts per distinct value, so a value shared by many rows is one row here. The p
-    approximation was fitted for up to 5000 rows; beyond that W is right and p is extrapolated.
+    Ranks come as counts per distinct value, so a value shared by many rows is one row here. One job counts the
+    rows when called. The p approximation was fitted for up to 5000 rows; beyond that W is right and p is extrapolated.
     """
+    size = df.agg(F.count(number(df, col)).alias("n"), F.avg(number(df, col)).alias("mean")).first()
     ranks = value_ranks(df, col).filter(F.col("total") >= 3)
-    centre = df.agg(F.avg(number(df, col))).scalar()
-    x = F.col("value") - centre
+    weight = block_weight_column(size["n"]) if size["n"] >= 3 else F.lit(0.0)
     sums = (
-        ranks.withColumn("x", x)
-        .withColumn("weight", _block_weight_col("before", "n", "total"))
+        ranks.withColumn("x", F.col("value") - F.lit(size["mean"]))
+        .withColumn("weight", weight)
         .agg(
             F.max("total").alias("n"),
             F.sum(F.col("weight") * F.col("x")).alias("wx"),

@@ -16,7 +16,6 @@ from econspark.plans import moments
 @pytest.mark.parametrize(
     "fn",
     [
-        normality._block_weight_col.func,
         normality._shapiro_p_col.func,
         dist.t_two_sided_col.func,
         dist.f_sf_col.func,
