@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from catalog.sqlgen import Entry, entry, t_crit_95, table
+from catalog.sqlgen import Entry, entry, sample_key, shapiro_sql, t_crit_95, table
 from econspark.operators import describe as D, normality, rows as R, tables as TB
 from econspark.session import ensure_checkpoint_dir
 from econspark.sources.readers import parse_numbers, read_csv, read_text_csv
@@ -422,8 +422,10 @@ def entries() -> list[Entry]:
             "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 10",
             plain=["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"], sig=["o_totalprice"],
         ),
-        entry("list_sample", lambda s, d: R.sample_rows(table(s, d, "orders"), "o_orderkey").select(*ORDER_COLUMNS)),
-        entry("shapiro_wilk_balance", lambda s, d: normality.shapiro_wilk(table(s, d, "customer"), "c_acctbal")),
+        entry("list_sample", lambda s, d: R.sample_rows(table(s, d, "orders"), "o_orderkey").select(*ORDER_COLUMNS),
+              f"SELECT {', '.join(ORDER_COLUMNS)} FROM orders ORDER BY {sample_key('o_orderkey')}, o_orderkey LIMIT 10", plain=[c for c in ORDER_COLUMNS if c != "o_totalprice"], sig=["o_totalprice"]),
+        entry("shapiro_wilk_balance", lambda s, d: normality.shapiro_wilk(table(s, d, "customer"), "c_acctbal"), shapiro_sql("SELECT * FROM customer", "c_acctbal"),
+              plain=["n", "normal"], sig=["w_stat"], prob=["p_value"], digits=6, places=5),
     ]
 
 

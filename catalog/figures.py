@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from catalog.descriptive import MEASURES, TOP_CATEGORIES, li
 from catalog.grouping import CORR_SQL
 from catalog.regression import LINES, XS, Y, reg, with_fit
-from catalog.sqlgen import Entry, entry, ols_sql, t_two_sided, table
+from catalog.sqlgen import Entry, entry, ols_sql, sample_key, t_two_sided, table
+from econspark.functions.dist import normal_quantile_sql
 from econspark.operators import plotdata as L
 from econspark.session import ensure_checkpoint_dir
 from econspark.streaming.summaries import stream_summarize, windowed_summarize, write_available
@@ -81,6 +82,28 @@ SELECT rank, observed FROM r WHERE rank IN (SELECT floor(i * (m.n - 1) / (least(
 """
 
 
+QQ_POINTS_SQL = (
+    "SELECT rank, observed, " + normal_quantile_sql("p") + " AS theoretical FROM (SELECT *, CASE WHEN rank = n THEN pow(0.5, 1.0 / n) WHEN rank = 1 THEN 1 - pow(0.5, 1.0 / n) "
+    f"ELSE (rank - 0.3175) / (n + 0.365) END AS p FROM ({QQ_SQL}), (SELECT count(*)::DOUBLE AS n FROM customer))"
+)
+LINE_KEY = "l_orderkey, l_linenumber, l_partkey"
+LINE_DIGEST = sample_key("l_orderkey", "l_linenumber", "l_partkey")
+
+
+def residual_points_sql() -> str:
+    ctes, fit = with_fit("SELECT p_partkey, p_size, p_retailprice FROM part", "p_retailprice", ["p_size"])
+    return f"WITH {ctes} SELECT p_partkey, p_size, fitted, residual FROM ({fit}) ORDER BY {sample_key('p_partkey')}, p_partkey LIMIT 500"
+
+
+def avplot_points_sql() -> str:
+    a = ols_sql(f"SELECT l_quantity, l_discount, {Y} FROM lineitem", "l_quantity", ["l_discount"], prefix="a")
+    b = ols_sql(f"SELECT l_quantity, l_discount, {Y} FROM lineitem", Y, ["l_discount"], prefix="b")
+    return (
+        f"WITH {a}, {b} SELECT {LINE_KEY}, l_quantity - (SELECT b_0 FROM a) - (SELECT b_1 FROM a) * l_discount AS x_residual, "
+        f"{Y} - (SELECT b_0 FROM b) - (SELECT b_1 FROM b) * l_discount AS y_residual FROM lineitem ORDER BY {LINE_DIGEST}, {LINE_KEY} LIMIT 500"
+    )
+
+
 def residual_histogram_sql() -> str:
     ctes, fit = with_fit(f"SELECT l_quantity, {Y} FROM lineitem", Y, ["l_quantity"])
     return (
@@ -169,20 +192,25 @@ def entries() -> list[Entry]:
         entry("mean_bars", lambda s, d: L.mean_bars(orders(s, d), "o_orderpriority", "o_totalprice"),
               "SELECT o_orderpriority AS \"group\", count(*) AS n, avg(o_totalprice) AS mean, stddev_samp(o_totalprice) / sqrt(count(*)) AS std_error FROM orders GROUP BY 1",
               plain=["group", "n"], sig=["mean", "std_error"]),
-        entry("scatter_points", lambda s, d: L.scatter(orders(s, d), "o_totalprice", "o_custkey", "o_orderkey", 1000)["points"]),
+        entry("scatter_points", lambda s, d: L.scatter(orders(s, d), "o_totalprice", "o_custkey", "o_orderkey", 1000)["points"],
+              f"SELECT o_orderkey, o_totalprice, o_custkey FROM orders ORDER BY {sample_key('o_orderkey')}, o_orderkey LIMIT 1000", plain=["o_orderkey", "o_custkey"], sig=["o_totalprice"]),
         entry("scatter_statistics", lambda s, d: L.scatter_statistics(li(s, d), Y, XS), scatter_sql(), plain=["variable", "n", "significant"],
               sig=["slope", "intercept"], prob=["r", "p_value"], digits=6),
         entry("correlation_heat_map", lambda s, d: L.heat_map(li(s, d), MEASURES), f"SELECT var2 AS var1, var1 AS var2, r FROM ({CORR_SQL})", plain=["var1", "var2"], prob=["r"], places=8),
         entry("density_balance", lambda s, d: L.density(table(s, d, "customer"), "c_acctbal"), DENSITY_SQL, plain=["point"], sig=["x", "density"], digits=6),
-        entry("pair_grid_points", lambda s, d: L.pair_grid(li(s, d), ["l_quantity", "l_discount", "l_tax"], ["l_orderkey", "l_linenumber", "l_partkey"], 1000)["points"]),
-        entry("residual_points", lambda s, d: L.residual_points(table(s, d, "part"), "p_retailprice", "p_size", "p_partkey", 500)),
+        entry("pair_grid_points", lambda s, d: L.pair_grid(li(s, d), ["l_quantity", "l_discount", "l_tax"], ["l_orderkey", "l_linenumber", "l_partkey"], 1000)["points"],
+              f"SELECT {LINE_KEY}, l_quantity, l_discount, l_tax FROM lineitem ORDER BY {LINE_DIGEST}, {LINE_KEY} LIMIT 1000", plain=["l_orderkey", "l_linenumber", "l_partkey"], sig=["l_quantity", "l_discount", "l_tax"]),
+        entry("residual_points", lambda s, d: L.residual_points(table(s, d, "part"), "p_retailprice", "p_size", "p_partkey", 500), residual_points_sql(), plain=["p_partkey", "p_size"], sig=["fitted"], prob=["residual"], digits=7, places=5),
         entry("residual_histogram", lambda s, d: L.residual_histogram(li(s, d), Y, "l_quantity"), residual_histogram_sql(), plain=["bin", "n"], sig=["lower", "upper"], digits=6),
         entry("qq_observed", qq, QQ_SQL, plain=["rank"], sig=["observed"]),
-        entry("qq_line", lambda s, d: L.qq_line(qq(s, d))),
+        entry("qq_theoretical", qq, QQ_POINTS_SQL, plain=["rank"], sig=["observed"], prob=["theoretical"], places=8),
+        entry("qq_line", lambda s, d: L.qq_line(qq(s, d)), f"SELECT regr_slope(observed, theoretical) AS slope, regr_intercept(observed, theoretical) AS intercept, corr(observed, theoretical) AS r FROM ({QQ_POINTS_SQL})",
+              sig=["slope", "intercept"], prob=["r"], digits=7),
         entry("group_heat_map", lambda s, d: L.heat_cells(orders(s, d), "o_orderpriority", "o_orderstatus", "o_totalprice"),
               "SELECT o_orderpriority AS row_value, o_orderstatus AS col_value, avg(o_totalprice) AS mean, count(*) AS n FROM orders GROUP BY 1, 2",
               plain=["row_value", "col_value", "n"], sig=["mean"]),
-        entry("avplot_points", lambda s, d: L.added_variable_points(li(s, d), Y, "l_quantity", ["l_discount"], ["l_orderkey", "l_linenumber", "l_partkey"], 500)),
+        entry("avplot_points", lambda s, d: L.added_variable_points(li(s, d), Y, "l_quantity", ["l_discount"], ["l_orderkey", "l_linenumber", "l_partkey"], 500), avplot_points_sql(),
+              plain=["l_orderkey", "l_linenumber", "l_partkey"], prob=["x_residual", "y_residual"], places=4),
         entry("avplot_line", lambda s, d: L.added_variable_line(li(s, d), Y, "l_quantity", ["l_discount"]), avplot_line_sql(), plain=["point"], sig=["x"], prob=["fitted"], digits=6, places=4),
         entry("predictions_total", lambda s, d: reg(s, d).predictions.agg(F.count("*").alias("n"), F.sum("fitted").alias("fitted"), F.sum(F.col("residual") * F.col("residual")).alias("ssr")),
               f"WITH {ols_sql(LINES, Y, XS)} SELECT n, n * mean_y AS fitted, ssr FROM o", plain=["n"], sig=["fitted", "ssr"], digits=8),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from catalog.descriptive import HOLED, MEASURES, holed_orders, li
-from catalog.sqlgen import Entry, chi2_sf, entry, f_sf, norm_sf, ols_sql, t_two_sided, table
+from catalog.sqlgen import Entry, chi2_sf, entry, f_sf, norm_sf, ols_sql, sample_key, t_two_sided, table
 from econspark.operators import corr as C, group_tests as GT, groups as G, panel as P
 from econspark.plans import ranks
 
@@ -318,7 +318,13 @@ def entries() -> list[Entry]:
             "(SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS r, (count(*) OVER ()) // 7 AS len FROM orders)",
             plain=["o_orderkey", "entity_id", "time_id"],
         ),
-        entry("hash_groups", lambda s, d: P.with_hash_group(orders(s, d), "o_orderkey", 8).groupBy("group_id").agg(F.count("*").alias("n"))),
+        entry("hash_groups", lambda s, d: P.with_hash_group(orders(s, d), "o_orderkey", 8).groupBy("group_id").agg(F.count("*").alias("n")),
+              f"SELECT (('0x' || substr({sample_key('o_orderkey')}, 1, 8))::BIGINT % 8)::INT AS group_id, count(*) AS n FROM orders GROUP BY 1", plain=["group_id", "n"]),
+        entry(
+            "row_index_text_key", lambda s, d: ranks.row_numbers(orders(s, d), ["o_orderpriority", "o_orderkey"]).select("o_orderkey", "row_index", "total"),
+            "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_orderkey) - 1 AS row_index, count(*) OVER () AS total FROM orders",
+            plain=["o_orderkey", "row_index", "total"],
+        ),
         entry(
             "mid_ranks_quantity",
             lambda s, d: ranks.mid_ranks(li(s, d), "l_quantity", "l_returnflag"),
@@ -341,9 +347,9 @@ def entries() -> list[Entry]:
         ),
         entry(
             "quantiles_approximate",
-            lambda s, d: ranks.quantiles(li(s, d), ["l_extendedprice"], [0.25, 0.5, 0.75], accuracy=10_000).select(
-                "variable", "n", *[F.col("q")[i].alias(f"q{i}") for i in range(3)]
-            ),
+            lambda s, d: _within_accuracy(s, d),
+            "SELECT 'l_extendedprice' AS variable, count(*) AS n, true AS within_0, true AS within_1, true AS within_2 FROM lineitem",
+            plain=["variable", "n", "within_0", "within_1", "within_2"],
         ),
     ]
 
@@ -366,3 +372,15 @@ DENSE_SQL = (
     "FROM (SELECT DISTINCT size_bin FROM r) AS a CROSS JOIN (SELECT DISTINCT brand FROM r) AS b "
     "LEFT JOIN r ON r.size_bin = a.size_bin AND r.brand = b.brand GROUP BY a.size_bin, b.brand"
 )
+
+
+def _within_accuracy(s: SparkSession, d: str) -> DataFrame:
+    """Do the approximate quantiles lie within one part in the accuracy of their ranks?"""
+    probs, accuracy = [0.25, 0.5, 0.75], 10_000
+    found = ranks.quantiles(li(s, d), ["l_extendedprice"], probs, accuracy=accuracy).first()
+    x, n = F.col("l_extendedprice"), F.count("l_extendedprice")
+    within = [
+        ((F.count(F.when(x < q, 1)) <= n * (p + 1 / accuracy)) & (F.count(F.when(x <= q, 1)) >= n * (p - 1 / accuracy))).alias(f"within_{i}")
+        for i, (p, q) in enumerate(zip(probs, found["q"]))
+    ]
+    return li(s, d).agg(F.lit(found["variable"]).alias("variable"), n.alias("n"), *within)

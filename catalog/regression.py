@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from catalog.descriptive import li
-from catalog.sqlgen import Entry, chi2_sf, coefficient_union, const_variance, entry, f_sf, ols_sql, t_crit_95, t_two_sided, table
+from catalog.sqlgen import Entry, chi2_sf, coefficient_union, const_variance, entry, f_sf, ols_sql, shapiro_sql, t_crit_95, t_two_sided, table
 from econspark.operators import margins as M, model_compare as MC, plotdata as L
 from econspark.operators.iv import InstrumentalVariables
 from econspark.operators.ols import Regression, error_metrics, simple_regressions
@@ -435,7 +435,7 @@ def entries() -> list[Entry]:
             lambda s, d: Regression(events_x(s, d), "value", "x", keep=["user_id", "ts", "event_id"]).direction_accuracy(["ts", "event_id"], "user_id"),
             direction_events_sql(), plain=["changes"], prob=["direction_accuracy_pct"],
         ),
-        entry("shapiro_wilk_residuals", lambda s, d: _shapiro(s, d)),
+        entry("shapiro_wilk_residuals", lambda s, d: _shapiro(s, d), _shapiro_residuals_sql(), plain=["n", "normal"], sig=["w_stat"], prob=["p_value"], digits=6, places=5),
         entry("simple_regressions", lambda s, d: simple_regressions(li(s, d), Y, ["l_quantity", "l_tax"]), " UNION ALL ".join(simple_sql(x) for x in ("l_quantity", "l_tax")),
               plain=["variable", "n"], sig=SIMPLE_NAMES, prob=["r2", "adj_r2", "f_stat", "f_p_value", "intercept_p", "slope_p"], digits=6),
         entry("added_variables", lambda s, d: reg(s, d).added_variables(), added_all_sql(XS), **ADDED),
@@ -493,3 +493,8 @@ def _shapiro(s: SparkSession, d: str) -> DataFrame:
     from econspark.operators.normality import shapiro_wilk
 
     return shapiro_wilk(reg(s, d).predictions, "residual")
+
+
+def _shapiro_residuals_sql() -> str:
+    ctes, fit = with_fit(LINES, Y, XS)
+    return shapiro_sql(f"WITH {ctes} {fit}", "residual")

@@ -7,6 +7,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from econspark.functions.dist import normal_quantile_sql
+from econspark.operators import normality
+
 SIMPSON_STEPS = 2000
 
 
@@ -78,6 +81,28 @@ def norm_sf(z: str) -> str:
     return f"greatest(0.0, 0.5 - {_simpson('exp(-{u} * {u} / 2) / sqrt(2 * pi())', f'least({z}, 40.0)')})"
 
 
+def sample_key(*keys: str, seed: int = 42) -> str:
+    """The digest by which rows are sampled and grouped."""
+    return f"md5(concat_ws('|', {', '.join(f'CAST({k} AS VARCHAR)' for k in keys)}, '{seed}'))"
+
+
+def shapiro_sql(rows: str, x: str) -> str:
+    """W and its p-value from the scores of all ranks; 12 rows at least."""
+    poly = lambda cs, v: " + ".join(f"({c!r} * pow({v}, {i}))" for i, c in enumerate(cs))
+    z = normal_quantile_sql("((i - 0.375) / (n + 0.25))")
+    p = norm_sf("abs(s)")
+    return (
+        f"WITH v AS (SELECT {x}::DOUBLE AS x, row_number() OVER (ORDER BY {x}) AS i, (count(*) OVER ())::DOUBLE AS n FROM ({rows}) WHERE {x} IS NOT NULL), "
+        f"m AS (SELECT *, {z} AS z FROM v), "
+        "c AS (SELECT any_value(n) AS n, sum(z * z) AS sq, min(z) AS z1, max(CASE WHEN i = 2 THEN z END) AS z2, avg(x) AS mean, var_pop(x) * count(*) AS ss FROM m), "
+        f"k AS (SELECT *, {poly(normality.LAST_WEIGHT, '(1 / sqrt(n))')} - z1 / sqrt(sq) AS a1, {poly(normality.NEXT_WEIGHT, '(1 / sqrt(n))')} - z2 / sqrt(sq) AS a2 FROM c), "
+        "d AS (SELECT *, sqrt((sq - 2 * z1 * z1 - 2 * z2 * z2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) AS div FROM k), "
+        "w AS (SELECT any_value(d.n) AS n, pow(sum((x - mean) * CASE WHEN i = 1 THEN -a1 WHEN i = m.n THEN a1 WHEN i = 2 THEN -a2 WHEN i = m.n - 1 THEN a2 ELSE z / div END), 2) / any_value(ss) AS w FROM m, d), "
+        f"t AS (SELECT n::BIGINT AS n, w, (ln(1 - w) - ({poly(normality.LARGE_MEAN, 'ln(n)')})) / exp({poly(normality.LARGE_SCALE, 'ln(n)')}) AS s FROM w) "
+        f"SELECT n, w AS w_stat, CASE WHEN s >= 0 THEN {p} ELSE 1 - {p} END AS p_value, CASE WHEN s >= 0 THEN {p} ELSE 1 - {p} END > 0.05 AS normal FROM t"
+    )
+
+
 def t_two_sided(t: str, df: str) -> str:
     const = f"exp(lgamma((({df}) + 1) / 2.0) - lgamma(({df}) / 2.0)) / sqrt(({df}) * pi())"
     body = f"exp(-((({df}) + 1) / 2.0) * ln(1 + {{u}} * {{u}} / ({df})))"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from econspark.functions.dist import norm_ppf_col
+from econspark.functions.dist import normal_quantile_sql
 from econspark.operators.corr import correlation_matrix, correlation_tests
 from econspark.operators.describe import OUTLIER_REACH
 from econspark.operators.groups import group_cells, group_means, group_sizes
@@ -218,7 +218,7 @@ def qq_points(df: DataFrame, col: str, points: int = 1_000) -> DataFrame:
     rank, n = F.col("rank"), F.col("total")
     end = F.pow(F.lit(0.5), 1 / n)
     position = F.when(rank == n, end).when(rank == 1, 1 - end).otherwise((rank - 0.3175) / (n + 0.365))
-    return table.select("rank", norm_ppf_col(position).alias("theoretical"), F.col("value").alias("observed"))
+    return table.withColumn("position", position).select("rank", F.expr(normal_quantile_sql("position")).alias("theoretical"), F.col("value").alias("observed"))
 
 
 def qq_line(points: DataFrame) -> DataFrame:

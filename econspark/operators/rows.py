@@ -22,8 +22,13 @@ def tail(df: DataFrame, order_by, k: int = 10) -> DataFrame:
     return df.orderBy(*[F.col(f"`{c}`").desc() for c in order_by]).limit(k)
 
 
+def key_digest(keys: list[str], seed: int) -> Column:
+    """MD5 of the keys as text and the seed, joined by ``|``: the same digest in any engine."""
+    return F.md5(F.concat_ws("|", *[F.col(f"`{k}`").cast("string") for k in keys], F.lit(str(seed))))
+
+
 def sample_order(keys: list[str], seed: int) -> Column:
-    return F.xxhash64(*[F.col(f"`{k}`") for k in keys], F.lit(seed))
+    return key_digest(keys, seed)
 
 
 def sample_rows(df: DataFrame, key, k: int = 10, seed: int = 42) -> DataFrame:
