@@ -354,15 +354,26 @@ def type_label(dtype: T.DataType) -> str:
 
 
 def distinct_counts(df: DataFrame, cols: Sequence[str], approximate: bool = False) -> DataFrame:
-    """``variable, unique``. Exact counts take one narrow scan per column: a joint distinct count
-    would multiply every full row by the number of columns."""
+    """``variable, unique``. One scan: each value becomes a (column, text) pair, equal pairs meet in each task and then once
+    more, so what is shuffled is the distinct values of all columns."""
     if approximate:
         return _by_column(
             df, cols, [], lambda c: [F.approx_count_distinct(_cell(df, c), 0.02).alias("unique")]
         )
-    return _union(
-        [df.agg(F.lit(c).alias("variable"), F.count_distinct(_cell(df, c)).alias("unique")) for c in cols]
-    )
+
+    def text(name: str) -> Column:
+        kind, cell = df.schema[name].dataType, _cell(df, name)
+        if isinstance(kind, T.BinaryType):
+            return F.hex(cell)
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
+            return (cell + F.lit(0.0)).cast("string")  # one zero
+        return cell.cast("string")
+
+    named = [F.struct(F.lit(i).alias("v"), F.lit(c).alias("variable")) for i, c in enumerate(cols)]
+    pairs = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("v"), text(c).alias("x")) for i, c in enumerate(cols)])))
+    counts = pairs.filter("x is not null").distinct().groupBy("v").agg(F.count("*").alias("unique"))
+    names = df.sparkSession.range(1).select(F.inline(F.array(*named)))
+    return names.join(counts, "v", "left").select("variable", F.coalesce("unique", F.lit(0).cast("long")).alias("unique"))
 
 
 def _cell(df: DataFrame, name: str) -> Column:
