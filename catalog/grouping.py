@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from catalog.descriptive import HOLED, MEASURES, holed_orders, li
+from catalog.regression import FLAG, per_flag
 from catalog.sqlgen import Entry, chi2_sf, entry, f_sf, norm_sf, ols_sql, sample_key, t_two_sided, table
 from econspark.operators import corr as C, group_tests as GT, groups as G, panel as P
 from econspark.plans import ranks
@@ -311,6 +312,8 @@ def entries() -> list[Entry]:
               plain=["var1", "var2", "n", "significant"], prob=["r", "t_stat", "p_value"]),
         entry("partial_correlations", lambda s, d: C.partial_correlations(li(s, d), "l_extendedprice", "l_quantity", ["l_discount", "l_tax"]), partial_sql(),
               plain=["variable", "type", "given", "n", "significant"], prob=["correlation", "p_value"]),
+        entry("partial_correlations_by_flag", lambda s, d: C.partial_correlations(li(s, d), "l_extendedprice", "l_quantity", ["l_discount", "l_tax"], by=FLAG), per_flag(partial_sql()),
+              plain=[FLAG, "variable", "type", "given", "n", "significant"], prob=["correlation", "p_value"]),
         entry(
             "row_index_entities",
             lambda s, d: P.with_panel_ids(orders(s, d), ["o_orderdate", "o_orderkey"], 7).select("o_orderkey", "entity_id", "time_id"),

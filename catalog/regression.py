@@ -486,6 +486,16 @@ def entries() -> list[Entry]:
             lambda s, d: InstrumentalVariables(li(s, d), Y, "l_quantity", "l_linenumber").coefficients().filter("variable = 'l_quantity'"),
             IV1_SQL, plain=["variable"], sig=["coefficient"], digits=6,
         ),
+        entry("iv_coefficients_by_flag", lambda s, d: InstrumentalVariables(li(s, d), IV_Y, IV_X, IV_Z, IV_C, by=FLAG).coefficients(), per_flag(iv_coef_sql()), plain=[FLAG, "position", "variable"],
+              sig=["coefficient", "std_error", "t_stat"], prob=["p_value"], digits=4, places=4),
+        entry("regress_vif_by_flag", lambda s, d: reg(s, d, FLAG).vif(), per_flag(vif_sql()), plain=[FLAG, "variable", "high"], sig=["vif_uncentered", "vif"], digits=6),
+        entry("regress_heteroskedasticity_by_flag", lambda s, d: reg(s, d, FLAG).heteroskedasticity(), per_flag(heteroskedasticity_sql()),
+              plain=[FLAG, "test", "n", "lm_df", "heteroskedastic"], sig=["lm_stat", "f_stat", "r2"], prob=["lm_p_value", "f_p_value"], digits=5),
+        entry("regress_reset_by_flag", lambda s, d: reg(s, d, FLAG).reset(), per_flag(reset_sql()), plain=[FLAG, "df_num", "df_den", "misspecified"], sig=["f_stat"], prob=["p_value"], digits=5),
+        entry("linktest_by_flag", lambda s, d: reg(s, d, FLAG).linktest(), per_flag(link_sql(False)),
+              plain=[FLAG, "variable"], sig=["coefficient", "std_error", "t_stat"], prob=["p_value"], digits=4, places=5),
+        entry("regress_minimum_rows", lambda s, d: Regression(table(s, d, "orders"), "o_totalprice", "o_orderkey", by="o_orderdate").summary().withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd")),
+              "SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS n, CASE WHEN count(*) < 10 THEN 'insufficient' ELSE 'ok' END AS status FROM orders GROUP BY 1", plain=["day", "n", "status"]),
     ]
 
 
@@ -498,3 +508,11 @@ def _shapiro(s: SparkSession, d: str) -> DataFrame:
 def _shapiro_residuals_sql() -> str:
     ctes, fit = with_fit(LINES, Y, XS)
     return shapiro_sql(f"WITH {ctes} {fit}", "residual")
+
+
+FLAG = "l_returnflag"
+
+
+def per_flag(sql: str) -> str:
+    """The same SQL for the lines of each flag."""
+    return " UNION ALL ".join(f"SELECT '{f}' AS {FLAG}, * FROM ({sql.replace('lineitem', one)})" for f in ("A", "N", "R") for one in [f"(SELECT * FROM lineitem WHERE {FLAG} = '{f}')"])
