@@ -21,14 +21,17 @@ send_by_value(__name__)
 SPACE = b"\x20\t\n\x0b\x0c\r"
 CONTINUATION = bytes(range(0x80, 0xC0))
 #: Texts are taken together up to about this many bytes, and longer ones cut at white space to look their words up.
-CHUNK = 1 << 20
-TABLE_WORDS = 1 << 21
+CHUNK = 1 << 19
+TABLE_WORDS = 1 << 19
 
 
 def worker_cache(key: tuple, make: Callable):
-    """One object per Python worker and key (code sent by value has no globals that last)."""
+    """One object per Python worker and key (code sent by value has no globals that last). A worker that goes on to another
+    operator drops what the last one kept, but for hashers."""
     kept = sys.modules.setdefault("_econspark_worker", types.ModuleType("_econspark_worker")).__dict__.setdefault("kept", {})
     if key not in kept:
+        for other in [k for k in kept if k[0] not in (key[0], "hasher", "codec")]:
+            del kept[other]
         kept[key] = make()
     return kept[key]
 
@@ -195,21 +198,22 @@ class WordTable:
     Words are known by 64-bit hash (two of a table's words share one with a probability below 1e-7).
     """
 
-    def __init__(self, *encoders: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], hasher: WordHasher | None = None) -> None:
+    def __init__(self, *encoders: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], hasher: WordHasher | None = None, most: int | None = None) -> None:
         """An encoder gives the ids of all given words in one array, and each word's number of ids."""
         self.encoders = encoders
+        self.most = most or TABLE_WORDS
         self.hasher = hasher or worker_cache(("hasher",), WordHasher)
         self._clear()
 
     def _clear(self) -> None:
         self.size = 0
         #: Sorted hashes with their rows: a large table and a small one of recent words.
-        self.known = [(np.zeros(0, _U), np.zeros(0, np.int64)) for _ in range(2)]
-        self.codes = [[np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0] for _ in self.encoders]
+        self.known = [(np.zeros(0, _U), np.zeros(0, np.int32)) for _ in range(2)]
+        self.codes = [[np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), 0] for _ in self.encoders]
 
     def rows(self, texts: list[bytes]) -> list[np.ndarray]:
         """For each text the table rows of its words. They hold until the next call."""
-        if self.size > TABLE_WORDS:
+        if self.size > self.most:
             self._clear()
         return self.hasher.split(texts, self._rows)
 
@@ -243,10 +247,10 @@ class WordTable:
             counts[at : self.size] = count
             start[at : self.size] = used + np.cumsum(count) - count
             code[:] = flat, start, counts, used + len(ids)
-        rows = np.arange(at, self.size)
+        rows = np.arange(at, self.size, dtype=np.int32)
         self.known[1] = _merged(self.known[1], (keys, rows))
         if len(self.known[1][0]) > 1 << 15:
-            self.known = [_merged(*self.known), (np.zeros(0, _U), np.zeros(0, np.int64))]
+            self.known = [_merged(*self.known), (np.zeros(0, _U), np.zeros(0, np.int32))]
         return rows
 
     def gather(self, rows: np.ndarray, encoder: int = 0) -> np.ndarray:

@@ -161,15 +161,14 @@ def encode_pieces(docs: DataFrame, model: str, text: str = "text", into: str = "
 
         table = worker_cache(("pieces", model), lambda: WordTable(worker_cache(("codec", model), lambda: Codec(model)).encode, hasher=UnitHasher()))
         for batch in batches:
-            done: list[np.ndarray] = []
-            texts = batch.column(at).cast(pa.binary())
-            for chunk in chunked((None, v.as_py()) for v in texts):
-                done += [table.gather(rows) for rows in table.rows([t or b"" for _, t in chunk])]
-            count = np.fromiter(map(len, done), np.int64, len(done))
-            null = texts.is_null().to_numpy(zero_copy_only=False)
-            ends = pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32), mask=np.append(null, False)) if null.any() else pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32))
-            column = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(done) if done else np.zeros(0, np.int32), pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, into])
+            at_row = 0
+            for chunk in chunked((None, v.as_py()) for v in batch.column(at).cast(pa.binary())):
+                part, at_row = batch.slice(at_row, len(chunk)), at_row + len(chunk)
+                coded = [table.gather(rows) for rows in table.rows([t or b"" for _, t in chunk])]
+                ends = np.cumsum([0, *map(len, coded)]).astype(np.int32)
+                null = np.array([*(t is None for _, t in chunk), False])
+                column = pa.ListArray.from_arrays(pa.array(ends, mask=null if null.any() else None), pa.array(np.concatenate(coded), pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns, column], [*batch.schema.names, into])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(into, ArrayType(IntegerType()))]))
 
@@ -183,8 +182,10 @@ def decode_pieces(docs: DataFrame, model: str, pieces: str = "pieces", into: str
 
         codec = worker_cache(("codec", model), lambda: Codec(model))
         for batch in batches:
-            texts = [None if v is None else codec.decode([i for i in v if i is not None]) for v in (x.as_py() for x in batch.column(at))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, into])
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                texts = [None if v is None else codec.decode([i for i in v if i is not None]) for v in (x.as_py() for x in part.column(at))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*batch.schema.names, into])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(into, StringType())]))
 
