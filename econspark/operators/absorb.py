@@ -18,7 +18,7 @@ from econspark.session import cut_lineage
 MIN_ROWS = 20
 HIGH_DIMENSION = 50
 TOLERANCE = 1e-9
-MAX_SWEEPS = 500
+STALLED = 200  # steps without halving the step
 BROADCAST_LEVELS = 200_000  # effect tables up to this many levels are shipped to every executor
 
 
@@ -26,7 +26,7 @@ class Absorption:
     """y on xs net of the fixed effects of every column in ``fe``.
 
     Rows collapse to cells, one per combination of effect levels: count, means and co-moments
-    inside the cell. Within-cell co-moments are final at once; only the cell means need sweeping.
+    inside the cell. Within-cell co-moments are final at once; only the cell means need solving.
     One effect needs no sweep at all, since its cells are its levels.
     """
 
@@ -65,60 +65,86 @@ class Absorption:
         return self._sweep()
 
     def _sweep(self) -> Moments:
-        """Fit level effects in turn (Gauss–Seidel) until they stand still.
+        """Solve for the level effects by conjugate gradients.
 
-        The cells are written once and never change; what moves is one small table of effects per
-        fixed effect, written to the checkpoint folder so that plans do not pile up.
+        The first effect is eliminated exactly (means of its levels), the others are the unknowns, each scaled by its level's
+        weight. A step needs one pass over the cells, which are written once, and one small table per effect with
+        the solution, the remainder and the direction; the number of steps follows the square root of what plain sweeps need.
         """
-        p = len(self.cols)
+        p = range(len(self.cols))
         keys = [f"_g{i}" for i in range(len(self.fe))]
-        pairs = [(i, j) for i in range(p) for j in range(i, p)]
+        pairs = [(i, j) for i in p for j in range(i, len(self.cols))]
         mean = self.total.mean
         start = moments_frame(self.rows, self.cols, self.fe).withColumnsRenamed(dict(zip(self.fe, keys)))
-        deviations = [(F.col("mean")[i] - F.lit(float(mean[i]))).alias(f"r{i}") for i in range(p)]
+        deviations = [(F.col("mean")[i] - F.lit(float(mean[i]))).alias(f"r{i}") for i in p]
         cells = cut_lineage(start.select(*keys, "n", "comoment", *deviations))
         scale = np.sqrt(np.maximum(np.diag(self.total.comoment) / self.total.n, 1e-300))
 
-        effects: dict[str, DataFrame] = {}
-        # two effects: each step reads only the other one's table, so one write per sweep is enough
-        several = len(keys) > 2
+        def zero(name: str) -> list:
+            return [F.lit(0.0).alias(f"{name}{i}") for i in p]
+
+        state = {}
+        for key in keys[1:]:
+            level = self._level_sums(self._net_of_first(cells, keys[0]), key).withColumnsRenamed({f"q{i}": f"s{i}" for i in p})
+            state[key] = level.select(key, "n", *zero("z"), *[f"s{i}" for i in p], *[(F.col(f"s{i}") / F.col("n")).alias(f"p{i}") for i in p])
+        best, since = math.inf, 0
         while True:
-            previous = effects.get(keys[-1])
-            for key in keys:
-                fitted = self._level_means(self._net(cells, effects, skip=key), key)
-                effects[key] = cut_lineage(fitted) if several or key == keys[-1] else fitted
             self.sweeps += 1
-            if previous is not None and self._moved(previous, effects[keys[-1]], keys[-1], scale) < self.tolerance:
+            directed = self._combined(cells, state, "p").select(*keys, "n", *[F.col(f"e{i}").alias(f"r{i}") for i in p])
+            moved = self._net_of_first(directed, keys[0])
+            sums = np.zeros((4, len(self.cols)))
+            longest = np.zeros(len(self.cols))
+            for key in keys[1:]:
+                state[key] = cut_lineage(state[key].join(self._level_sums(moved, key).drop("n"), key))
+                s, q, d = ([F.col(f"{c}{i}") for i in p] for c in "sqp")
+                terms = {"pq": lambda i: d[i] * q[i], "ss": lambda i: s[i] * s[i] / F.col("n"), "sq": lambda i: s[i] * q[i] / F.col("n"), "qq": lambda i: q[i] * q[i] / F.col("n")}
+                row = state[key].agg(*[F.sum(f(i)).alias(f"{t}{i}") for t, f in terms.items() for i in p], *[F.max(F.abs(d[i])).alias(f"most{i}") for i in p]).first()
+                sums += np.array([[row[f"{t}{i}"] for i in p] for t in terms])
+                longest = np.maximum(longest, [row[f"most{i}"] for i in p])
+            pq, ss, sq, qq = sums
+            live = pq > 1e-300
+            step = np.where(live, ss / np.where(live, pq, 1.0), 0.0)
+            left = np.maximum(ss - 2 * step * sq + step * step * qq, 0.0)
+            turn = np.where(live & (ss > 0), left / np.where(ss > 0, ss, 1.0), 0.0)
+            for key in keys[1:]:
+                s = [F.col(f"s{i}") - F.lit(float(step[i])) * F.col(f"q{i}") for i in p]
+                z = [(F.col(f"z{i}") + F.lit(float(step[i])) * F.col(f"p{i}")).alias(f"z{i}") for i in p]
+                d = [(s[i] / F.col("n") + F.lit(float(turn[i])) * F.col(f"p{i}")).alias(f"p{i}") for i in p]
+                state[key] = state[key].select(key, "n", *z, *[x.alias(f"s{i}") for i, x in enumerate(s)], *d)
+            size = float(np.max(step * longest / scale))
+            if size < self.tolerance:
                 break
-            if self.sweeps >= MAX_SWEEPS:
-                raise RuntimeError(f"absorption did not converge in {MAX_SWEEPS} sweeps")
+            best, since = (size, 0) if size < 0.5 * best else (best, since + 1)
+            if since >= STALLED:
+                raise RuntimeError(f"absorption stands at steps of {size:.3g} of a standard deviation after {self.sweeps} steps")
 
+        solved = self._combined(cells, state, "z").select(*keys, "n", "comoment", *[(F.col(f"r{i}") - F.col(f"e{i}")).alias(f"r{i}") for i in p])
         inside = [F.sum(F.col("comoment")[k]) for k in range(len(pairs))]
         across = [F.sum(F.col("n") * F.col(f"r{i}") * F.col(f"r{j}")) for i, j in pairs]
-        row = self._net(cells, effects).agg(F.array(*[u + v for u, v in zip(inside, across)]).alias("c")).first()
-        return unpack(self.cols, self.total.n, np.zeros(p), row["c"])
-
-    def _net(self, cells: DataFrame, effects: dict[str, DataFrame], skip: str | None = None) -> DataFrame:
-        """Cell means less the current effects of all keys but ``skip``."""
-        for key, table in effects.items():
-            if key == skip:
-                continue
-            if self.levels[self.fe[int(key[2:])]] <= BROADCAST_LEVELS:
-                table = F.broadcast(table)
-            cells = cells.join(table, key)
-            net = {f"r{i}": F.col(f"r{i}") - F.col(f"m{i}") for i in range(len(self.cols))}
-            cells = cells.withColumns(net).drop(*[f"m{i}" for i in range(len(self.cols))])
-        return cells
-
-    def _level_means(self, cells: DataFrame, key: str) -> DataFrame:
-        weighted = [(F.sum(F.col("n") * F.col(f"r{i}")) / F.sum("n")).alias(f"m{i}") for i in range(len(self.cols))]
-        return cells.groupBy(key).agg(*weighted)
-
-    def _moved(self, old: DataFrame, new: DataFrame, key: str, scale: np.ndarray) -> float:
-        """Largest change of an effect in units of the variable's standard deviation."""
-        old = old.withColumnsRenamed({f"m{i}": f"o{i}" for i in range(len(scale))})
-        steps = [F.max(F.abs(F.col(f"m{i}") - F.col(f"o{i}"))) / float(v) for i, v in enumerate(scale)]
-        return new.join(old, key).agg(F.greatest(*steps).alias("d") if len(steps) > 1 else steps[0].alias("d")).first()["d"]
+        row = self._net_of_first(solved, keys[0]).agg(F.array(*[u + v for u, v in zip(inside, across)]).alias("c")).first()
+        return unpack(self.cols, self.total.n, np.zeros(len(self.cols)), row["c"])
+
+    def _small(self, table: DataFrame, key: str) -> DataFrame:
+        return F.broadcast(table) if self.levels[self.fe[int(key[2:])]] <= BROADCAST_LEVELS else table
+
+    def _combined(self, cells: DataFrame, state: dict[str, DataFrame], name: str) -> DataFrame:
+        """Cells with the sum over all effects of ``name`` (``e0``, ``e1``, …)."""
+        total = {i: F.lit(0.0) for i in range(len(self.cols))}
+        for key, table in state.items():
+            named = table.select(key, *[F.col(f"{name}{i}").alias(f"{key}_{i}") for i in total])
+            cells = cells.join(self._small(named, key), key)
+            total = {i: t + F.col(f"{key}_{i}") for i, t in total.items()}
+        return cells.withColumns({f"e{i}": t for i, t in total.items()})
+
+    def _net_of_first(self, cells: DataFrame, key: str) -> DataFrame:
+        """Cell values less the means of their level of the first effect."""
+        cols = range(len(self.cols))
+        means = cells.groupBy(key).agg(*[(F.sum(F.col("n") * F.col(f"r{i}")) / F.sum("n")).alias(f"m{i}") for i in cols])
+        joined = cells.join(self._small(means, key), key)
+        return joined.withColumns({f"r{i}": F.col(f"r{i}") - F.col(f"m{i}") for i in cols}).drop(*[f"m{i}" for i in cols])
+
+    def _level_sums(self, cells: DataFrame, key: str) -> DataFrame:
+        return cells.groupBy(key).agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col(f"r{i}")).alias(f"q{i}") for i in range(len(self.cols))])
 
     @cached_property
     def fit(self) -> Fit:

@@ -45,12 +45,12 @@ def orders(spark):
 
 @pytest.fixture(scope="session")
 def sample(spark):
-    """A balanced 5 × 4 panel whose columns are exact linear functions of id and time."""
+    """A balanced 6 × 5 panel whose columns are exact linear functions of id and time."""
     rows = []
-    for i in range(1, 6):
-        for t in range(1, 5):
-            x1, x2 = i + t, 10 - i / 2 - t
-            rows.append((i, t, "A" if i < 3 else "B" if i < 5 else "C", -4.6 + 2.46 * x1 + 0.16 * x2, x1, x2, 1.3 * i + 0.5 * t, i + 0.5 * t))
+    for i in range(1, 7):
+        for t in range(1, 6):
+            x1, x2 = 2 * i - t, 1.5 + i + 3 * t
+            rows.append((i, t, "north" if i % 2 else "south", 1.75 + 0.8 * x1 - 0.35 * x2, x1, x2, 0.6 * i + t, 2.0 * i - 0.25 * t))
     return spark.createDataFrame(rows, 'id int, time int, `group` string, y double, x1 int, x2 double, endog double, instr double')
 
 
