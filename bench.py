@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import json
 import os
+import re
 import sys
 import time
 from pathlib import Path
@@ -41,6 +44,8 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     entries = {e.name: e for e in all_entries()}
     times: dict[str, float] = {}
+    scans: dict[str, int] = {}  # table scans in the plan of the result; jobs that a query runs when called come on top
+    exchanges: dict[str, int] = {}
     for name in HEADLINE:
         if only and name not in only:
             continue
@@ -49,10 +54,15 @@ def main() -> None:
             start = time.perf_counter()
             entries[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - start)
+        plan = io.StringIO()
+        with contextlib.redirect_stdout(plan):
+            entries[name].run(spark, sf_dir).explain()
+        scans[name] = len(re.findall(r"FileScan|Scan ExistingRDD", plan.getvalue()))
+        exchanges[name] = len(re.findall(r"- Exchange", plan.getvalue()))
         times[name] = round(sorted(runs[1:])[len(runs[1:]) // 2] if repeats else runs[0], 3)
         print(name, [round(r, 2) for r in runs], file=sys.stderr, flush=True)
     total = round(sum(times.values()), 3)
-    print(json.dumps({"metric": "total_seconds_headline_queries", "value": total, "unit": "sec", "queries": times, "sf": Path(sf_dir).name}))
+    print(json.dumps({"metric": "total_seconds_headline_queries", "value": total, "unit": "sec", "queries": times, "scans": scans, "exchanges": exchanges, "sf": Path(sf_dir).name}))
     spark.stop()
 
 

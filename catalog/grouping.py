@@ -378,12 +378,12 @@ DENSE_SQL = (
 
 
 def _within_accuracy(s: SparkSession, d: str) -> DataFrame:
-    """Do the approximate quantiles lie within one part in the accuracy of their ranks?"""
+    """Do the approximate quantiles lie within one part in the accuracy of their ranks, to the next row?"""
     probs, accuracy = [0.25, 0.5, 0.75], 10_000
     found = ranks.quantiles(li(s, d), ["l_extendedprice"], probs, accuracy=accuracy).first()
     x, n = F.col("l_extendedprice"), F.count("l_extendedprice")
     within = [
-        ((F.count(F.when(x < q, 1)) <= n * (p + 1 / accuracy)) & (F.count(F.when(x <= q, 1)) >= n * (p - 1 / accuracy))).alias(f"within_{i}")
+        ((F.count(F.when(x < q, 1)) <= n * (p + 1 / accuracy) + 1) & (F.count(F.when(x <= q, 1)) >= n * (p - 1 / accuracy) - 1)).alias(f"within_{i}")
         for i, (p, q) in enumerate(zip(probs, found["q"]))
     ]
     return li(s, d).agg(F.lit(found["variable"]).alias("variable"), n.alias("n"), *within)
