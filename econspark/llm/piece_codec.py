@@ -27,6 +27,8 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Pieces with lower scores are never built from text; an unknown character costs this much more than the worst piece.
 LEAST_SCORE, UNKNOWN_PENALTY = -1e8, 10.0
+#: Most substrings are no piece: a table over the first bits of the keys tells without a search.
+SIEVE_BITS = 21
 #: Equal-length groups up to here; longer units share padded groups.
 EQUAL_UP_TO = 64
 
@@ -63,6 +65,9 @@ class Codec:
         keys = np.array([self._key(pieces[i].replace(BLANK, " ")) for i in use], _U)
         order = np.argsort(keys)
         self.keys, self.ids, self.scores = keys[order], np.array(use, np.int32)[order], scores[use][order]
+        self.shift = _U(64 - SIEVE_BITS)
+        self.sieve = np.zeros(1 << SIEVE_BITS, bool)
+        self.sieve[(self.keys >> self.shift).astype(np.intp)] = True
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces share a key")
 
@@ -111,9 +116,14 @@ class Codec:
             start = max(0, end - self.longest)
             size = np.arange(end - start, 0, -1).astype(_U)
             keys = mix((running[:, end, None] - running[:, start:end]) * self.inverse[start:end] + size)
-            spot = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            hit = self.keys[spot] == keys
-            score = np.where(hit, self.scores[spot], -np.inf)
+            spot, score = np.zeros(keys.shape, np.int64), np.full(keys.shape, -np.inf)
+            maybe = np.nonzero(self.sieve[(keys >> self.shift).astype(np.intp)])
+            sought = keys[maybe]
+            at = np.minimum(np.searchsorted(self.keys, sought), len(self.keys) - 1)
+            found = self.keys[at] == sought
+            maybe, at = (maybe[0][found], maybe[1][found]), at[found]
+            spot[maybe], score[maybe] = at, self.scores[at]
+            hit = score > -np.inf
             score[:, -1] = np.where(hit[:, -1], score[:, -1], self.unknown)
             score += best[:, start:end]
             top = score.argmax(axis=1)
@@ -130,15 +140,12 @@ class Codec:
             out[live, longest - used[live]] = token[live, at[live]]
             begins[live, longest - used[live]] = back[live, at[live]]
             at[live] = back[live, at[live]]
-        found = []
-        for i in range(n):
-            ids = out[i, longest - used[i] :]
-            if (ids < 0).any():
-                starts = begins[i, longest - used[i] :].tolist()
-                parts = [[t] if t >= 0 else self.byte_id[list(texts[i][s].encode())].tolist() for t, s in zip(ids.tolist(), starts, strict=True)]
-                ids = np.array([t for part in parts for t in part], np.int32)
-            found.append(ids)
-        return found
+        ids = np.split(out[np.arange(longest) >= (longest - used)[:, None]], np.cumsum(used)[:-1])
+        for i in np.flatnonzero(((out < 0) & (np.arange(longest) >= (longest - used)[:, None])).any(axis=1)).tolist():
+            starts = begins[i, longest - used[i] :].tolist()
+            parts = [[t] if t >= 0 else self.byte_id[list(texts[i][s].encode())].tolist() for t, s in zip(ids[i].tolist(), starts, strict=True)]
+            ids[i] = np.array([t for part in parts for t in part], np.int32)
+        return ids
 
     def decode(self, ids: list[int]) -> str:
         """The text of encoded ids; bytes that are not UTF-8 (ids from elsewhere) become replacement characters."""
@@ -159,7 +166,7 @@ def encode_pieces(docs: DataFrame, model: str, text: str = "text", into: str = "
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        table = worker_cache(("pieces", model), lambda: WordTable(worker_cache(("codec", model), lambda: Codec(model)).encode, hasher=UnitHasher()))
+        table = worker_cache(("pieces", model), lambda: WordTable(worker_cache(("codec", model), lambda: Codec(model)).encode, hasher=UnitHasher(), most=1 << 20))
         for batch in batches:
             at_row = 0
             for chunk in chunked((None, v.as_py()) for v in batch.column(at).cast(pa.binary())):
