@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from catalog.descriptive import MEASURES, TOP_CATEGORIES, li
 from catalog.grouping import CORR_SQL
 from catalog.regression import LINES, XS, Y, reg, with_fit
-from catalog.sqlgen import Entry, entry, ols_sql, sample_key, t_two_sided, table
+from catalog.sqlgen import Entry, entry, ols_sql, sample_key, t_crit, t_two_sided, table
 from econspark.functions.dist import normal_quantile_sql
 from econspark.operators import plotdata as L
 from econspark.session import ensure_checkpoint_dir
@@ -120,8 +120,10 @@ def avplot_line_sql() -> str:
         f"SELECT l_quantity - (SELECT b_0 FROM a) - (SELECT b_1 FROM a) * l_discount AS ex, {Y} - (SELECT b_0 FROM b) - (SELECT b_1 FROM b) * l_discount AS ey FROM lineitem"
     )
     return (
-        f"WITH {a}, {b}, p AS ({rows}), l AS (SELECT min(ex) AS lo, max(ex) AS hi, regr_slope(ey, ex) AS s FROM p) "
-        "SELECT i::INT AS point, lo + i * (hi - lo) / 99.0 AS x, s * (lo + i * (hi - lo) / 99.0) AS fitted FROM l, range(0, 100) AS g(i)"
+        f"WITH {a}, {b}, p AS ({rows}), l AS (SELECT min(ex) AS lo, max(ex) AS hi, regr_slope(ey, ex) AS s, count(*) AS n, regr_sxx(ey, ex) AS sxx, regr_syy(ey, ex) AS syy FROM p), "
+        "grid AS (SELECT *, i::INT AS point, lo + i * (hi - lo) / 99.0 AS x FROM l, range(0, 100) AS g(i)), "
+        f"band AS (SELECT *, s * x AS fitted, {t_crit('n - 2', 0.95)} * sqrt((syy - s * s * sxx) / (n - 2) * (1.0 / n + x * x / sxx)) AS reach FROM grid) "
+        "SELECT point, x, fitted, fitted - reach AS lower_95, fitted + reach AS upper_95 FROM band"
     )
 
 
@@ -211,7 +213,7 @@ def entries() -> list[Entry]:
               plain=["row_value", "col_value", "n"], sig=["mean"]),
         entry("avplot_points", lambda s, d: L.added_variable_points(li(s, d), Y, "l_quantity", ["l_discount"], ["l_orderkey", "l_linenumber", "l_partkey"], 500), avplot_points_sql(),
               plain=["l_orderkey", "l_linenumber", "l_partkey"], prob=["x_residual", "y_residual"], places=4),
-        entry("avplot_line", lambda s, d: L.added_variable_line(li(s, d), Y, "l_quantity", ["l_discount"]), avplot_line_sql(), plain=["point"], sig=["x"], prob=["fitted"], digits=6, places=4),
+        entry("avplot_line", lambda s, d: L.added_variable_line(li(s, d), Y, "l_quantity", ["l_discount"]), avplot_line_sql(), plain=["point"], sig=["x"], prob=["fitted", "lower_95", "upper_95"], digits=6, places=4),
         entry("predictions_total", lambda s, d: reg(s, d).predictions.agg(F.count("*").alias("n"), F.sum("fitted").alias("fitted"), F.sum(F.col("residual") * F.col("residual")).alias("ssr")),
               f"WITH {ols_sql(LINES, Y, XS)} SELECT n, n * mean_y AS fitted, ssr FROM o", plain=["n"], sig=["fitted", "ssr"], digits=8),
         entry("stream_summarize", streamed_summary,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from catalog.descriptive import li
-from catalog.sqlgen import Entry, chi2_sf, coefficient_union, const_variance, entry, f_sf, ols_sql, shapiro_sql, t_crit_95, t_two_sided, table
+from catalog.sqlgen import Entry, chi2_sf, coefficient_union, const_variance, entry, f_sf, ols_sql, shapiro_sql, t_crit, t_crit_95, t_two_sided, table
 from econspark.operators import margins as M, model_compare as MC, plotdata as L
 from econspark.operators.iv import InstrumentalVariables
 from econspark.operators.ols import Regression, error_metrics, simple_regressions
@@ -263,7 +263,8 @@ def lines_sql(kind: str) -> str:
     fit = f"(b_0 + b_1 * {x})"
     return (
         f"WITH {ols_sql(f'SELECT l_quantity, {Y} FROM lineitem', Y, ['l_quantity'])} SELECT 'l_quantity' AS variable, i::INT AS point, {x} AS x, {fit} AS fitted, "
-        f"{fit} - {t_crit_95('n - 2')} * {se} AS lower_95, {fit} + {t_crit_95('n - 2')} * {se} AS upper_95 "
+        + ", ".join(f"{fit} {sign} {t_crit('n - 2', level / 100)} * {se} AS {side}_{level}" for level in (95, 68) for side, sign in (("lower", "-"), ("upper", "+"))) +
+        " "
         "FROM o, (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem), range(0, 100) AS g(i)"
     )
 
@@ -465,10 +466,10 @@ def entries() -> list[Entry]:
         ),
         entry("interaction_curves", lambda s, d: M.interaction_curves(li(s, d), Y, "l_quantity", "l_discount"), interaction_curves_sql(),
               plain=["level", "point"], sig=["x2", "x1", "fitted"], digits=8),
-        entry("fitted_line_mean", lambda s, d: M.fitted_lines(li(s, d), Y, "l_quantity", levels=(0.95,)), lines_sql("mean"),
-              plain=["variable", "point"], sig=["x", "fitted", "lower_95", "upper_95"], digits=6),
-        entry("fitted_line_prediction", lambda s, d: M.fitted_lines(li(s, d), Y, "l_quantity", levels=(0.95,), kind="obs"), lines_sql("obs"),
-              plain=["variable", "point"], sig=["x", "fitted", "lower_95", "upper_95"], digits=6),
+        entry("fitted_line_mean", lambda s, d: M.fitted_lines(li(s, d), Y, "l_quantity"), lines_sql("mean"),
+              plain=["variable", "point"], sig=["x", "fitted", "lower_95", "upper_95", "lower_68", "upper_68"], digits=6),
+        entry("fitted_line_prediction", lambda s, d: M.fitted_lines(li(s, d), Y, "l_quantity", kind="obs"), lines_sql("obs"),
+              plain=["variable", "point"], sig=["x", "fitted", "lower_95", "upper_95", "lower_68", "upper_68"], digits=6),
         entry("iv_first_stage", lambda s, d: iv(s, d).first_stage(), iv_first_sql(), plain=["n"], prob=["r2", "adj_r2", "f_stat", "f_p_value"]),
         entry("iv_coefficients", lambda s, d: iv(s, d).coefficients(), iv_coef_sql(), plain=["position", "variable"],
               sig=["coefficient", "std_error", "t_stat", "ci_lower", "ci_upper", "se_naive", "t_naive"], prob=["p_value", "p_naive"], digits=5, places=5),

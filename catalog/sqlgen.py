@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from econspark.functions.dist import normal_quantile_sql
+from econspark.functions.dist import norm_ppf, normal_quantile_sql
 from econspark.operators import normality
 
 SIMPSON_STEPS = 2000
@@ -125,8 +125,13 @@ def chi2_sf(x: str, k: str) -> str:
 
 
 def t_crit_95(df: str) -> str:
-    """97.5 % point of Student's t by its expansion around the normal point, for large df."""
-    z = 1.959963984540054
+    """97.5 % point of Student's t."""
+    return t_crit(df, 0.95)
+
+
+def t_crit(df: str, level: float) -> str:
+    """Two-sided point of Student's t by its expansion around the normal point, for large df."""
+    z = norm_ppf((1 + level) / 2)
     a, b = (z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96
     c = (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384
     return f"({z} + {a} / ({df}) + {b} / pow({df}, 2) + {c} / pow({df}, 3))"
