@@ -28,6 +28,8 @@ SHAPE_LIMIT = 0.5
 MISSING_GOOD, MISSING_FAIR = 5.0, 20.0
 OUTLIER_REACH = 1.5
 
+DISTINCT_AT_ONCE = 4
+
 
 def _chosen(df: DataFrame, cols) -> list[str]:
     cols = as_list(cols) or numeric_columns(df)
@@ -354,26 +356,18 @@ def type_label(dtype: T.DataType) -> str:
 
 
 def distinct_counts(df: DataFrame, cols: Sequence[str], approximate: bool = False) -> DataFrame:
-    """``variable, unique``. One scan: each value becomes a (column, text) pair, equal pairs meet in each task and then once
-    more, so what is shuffled is the distinct values of all columns."""
+    """``variable, unique``. Exact counts take DISTINCT_AT_ONCE columns to a scan, each scan reading only its own: more at once
+    would multiply wide rows, fewer would grow the plan with the width of the table."""
     if approximate:
         return _by_column(
             df, cols, [], lambda c: [F.approx_count_distinct(_cell(df, c), 0.02).alias("unique")]
         )
-
-    def text(name: str) -> Column:
-        kind, cell = df.schema[name].dataType, _cell(df, name)
-        if isinstance(kind, T.BinaryType):
-            return F.hex(cell)
-        if isinstance(kind, (T.FloatType, T.DoubleType)):
-            return (cell + F.lit(0.0)).cast("string")  # one zero
-        return cell.cast("string")
-
-    named = [F.struct(F.lit(i).alias("v"), F.lit(c).alias("variable")) for i, c in enumerate(cols)]
-    pairs = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("v"), text(c).alias("x")) for i, c in enumerate(cols)])))
-    counts = pairs.filter("x is not null").distinct().groupBy("v").agg(F.count("*").alias("unique"))
-    names = df.sparkSession.range(1).select(F.inline(F.array(*named)))
-    return names.join(counts, "v", "left").select("variable", F.coalesce("unique", F.lit(0).cast("long")).alias("unique"))
+    frames = []
+    for i in range(0, len(cols), DISTINCT_AT_ONCE):
+        some = cols[i : i + DISTINCT_AT_ONCE]
+        counts = df.agg(*[F.count_distinct(_cell(df, c)).alias(f"u{k}") for k, c in enumerate(some)])
+        frames.append(counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"u{k}").alias("unique")) for k, c in enumerate(some)]))))
+    return _union(frames)
 
 
 def _cell(df: DataFrame, name: str) -> Column:
