@@ -279,6 +279,22 @@ def test_secrets_in_layers():
     assert secret_scan.find_secrets(f"x {url}")[0][1:] == (2, 2 + len(url) - 3)  # the closing quote is not part of the find
 
 
+def test_same_encoded_secret_at_three_places(spark):
+    plain = b"api_key = 'abcdefgh1234'"
+    b64 = base64.b64encode(plain).decode()
+    packed = base64.b64encode(gzip.compress(plain)).decode()
+    url = "".join(f"%{b:02x}" for b in plain)
+    escaped = "".join(f"\\u{b:04x}" for b in plain)
+    for hidden in (b64, packed, url, escaped, base64.b64encode(b64.encode()).decode()):
+        text = f"{hidden} one {hidden}, two {hidden} end"
+        at = [m.start() for m in re.finditer(re.escape(hidden), text)]
+        found = secret_scan.find_secrets(text)
+        assert len(found) == 3 and len({k for k, _, _ in found}) == 1
+        assert all(i <= a < b <= i + len(hidden) for i, (_, a, b) in zip(at, found, strict=True))
+        clean = secret_scan.redact(spark.createDataFrame([(text,)], "text string")).first()["text"]
+        assert clean.count("[SECRET]") == 3 and hidden not in clean
+
+
 def test_secret_layers_end():
     bomb = base64.b64encode(zlib.compress(b"a" * (secret_scan.MOST_UNFOLDED + 10))).decode()
     assert [k for k, _, _ in secret_scan.find_secrets(bomb)] == ["too-large~base64>compressed"]
