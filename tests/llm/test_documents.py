@@ -295,6 +295,18 @@ def test_same_encoded_secret_at_three_places(spark):
         assert clean.count("[SECRET]") == 3 and hidden not in clean
 
 
+def test_secrets_in_layers_that_are_not_clean_text():
+    text = "é q=caf%E9&password%3Dhunter2hunter2 end"
+    (found,) = secret_scan.find_secrets(text)
+    assert found[0] == "assign~url" and text[found[1] : found[2]] == "password%3Dhunter2hunter2"
+    for raw in ("café token=abcdefgh1234 é".encode("latin-1"), b"\0\x01 token=abcdefgh1234\0 \x7f", "é漢😀 token=abcdefgh1234".encode() + b"\xff"):
+        plain, packed = base64.b64encode(raw).decode(), base64.b64encode(gzip.compress(raw)).decode()
+        (found,) = secret_scan.find_secrets(f"é {plain} end")
+        at = raw.index(b"token")
+        assert found == ("assign~base64", 2 + at * 4 // 3, 2 - (-(at + 18) * 4 // 3))
+        assert secret_scan.find_secrets(f"é {packed} end") == [("assign~base64>compressed", 2, 2 + len(packed))]
+
+
 def test_secret_layers_end():
     bomb = base64.b64encode(zlib.compress(b"a" * (secret_scan.MOST_UNFOLDED + 10))).decode()
     assert [k for k, _, _ in secret_scan.find_secrets(bomb)] == ["too-large~base64>compressed"]
