@@ -307,6 +307,57 @@ def test_secrets_in_layers_that_are_not_clean_text():
         assert secret_scan.find_secrets(f"é {packed} end") == [("assign~base64>compressed", 2, 2 + len(packed))]
 
 
+def test_base64_runs_of_any_length_joined_and_wrapped():
+    assert secret_scan.find_secrets("dG9rZW49YWJjZGVmZ2g=") == [("assign~base64", 0, 19)]
+    plain = b"token=abcdefgh1234 and more"
+    b64 = base64.b64encode(plain).decode()
+    for before in ("/cb/", "/c/", "key-", "a_", "ab/c", "x"):
+        for after in ("", "A", "AB", "ABC"):
+            (found,) = secret_scan.find_secrets(f"é {before}{b64}{after} end")
+            assert found == ("assign~base64", 2 + len(before), 2 + len(before) + 24)
+    long = b"".join(b"word%d " % i for i in range(30)) + plain
+    packed = gzip.compress(b"".join(bytes([33 + i * i % 90]) for i in range(300)) + b" " + plain)
+    for columns in (16, 64, 76):
+        for gap in ("\n", "\r\n", "\n  "):
+            wrapped = lambda b: gap.join(re.findall(f".{{1,{columns}}}", base64.b64encode(b).decode()))
+            for k in range(12):  # the secret at every place of a line
+                text = f"é: {wrapped(long[k:])}"
+                (found,) = [f for f in secret_scan.find_secrets(text)]
+                at = long[k:].index(b"token")
+                bare = re.sub(r"\s", "", text[: found[1]]), re.sub(r"\s", "", text[: found[2]])
+                assert found[0] == "assign~base64" and (len(bare[0]), len(bare[1])) == (2 + at * 4 // 3, 2 - (-(at + 18) * 4 // 3))
+            text = f"é: {wrapped(packed)}"
+            assert secret_scan.find_secrets(text) == [("assign~base64>compressed", 3, len(text))]
+            text = f"é:\n/cb/{wrapped(packed)}"
+            assert ("assign~base64>compressed", 7, len(text)) in secret_scan.find_secrets(text)
+
+
+def test_large_manifold_and_cut_streams(spark):
+    secret = b" token=abcdefgh1234 "
+    many = gzip.compress(b"one ") + gzip.compress(b"two") + gzip.compress(secret) + b"\0" * 5 + zlib.compress(b" password=hunter2hunter2 ")
+    text = base64.b64encode(many).decode()
+    assert {k for k, _, _ in secret_scan.find_secrets(text)} == {"assign~base64>compressed"}
+    assert len(secret_scan.find_secrets(text)) == 2
+    rng = np.random.default_rng(1)
+    noise = rng.integers(33, 127, 3000).astype(np.uint8).tobytes()
+    cut = base64.b64encode(zlib.compress(secret + noise)[:-200]).decode()
+    assert secret_scan.find_secrets(cut) == [("assign~base64>compressed", 0, len(cut))]
+    filler = b"some plain words here. " * ((secret_scan.MOST_UNFOLDED + secret_scan.WINDOW) // 23)
+    clean = base64.b64encode(gzip.compress(filler)).decode()
+    assert [k for k, _, _ in secret_scan.find_secrets(clean)] == ["too-large~base64>compressed"]
+    hidden = base64.b64encode(gzip.compress(filler + base64.b64encode(gzip.compress(secret)) + b" end")).decode()
+    assert [k for k, _, _ in secret_scan.find_secrets(hidden)] == ["assign~base64>compressed>base64>compressed", "too-large~base64>compressed"]
+    rows = secret_scan.redact(spark.createDataFrame([(1, f"a {clean} b"), (2, f"a {hidden} b")], "id int, text string")).collect()
+    assert {r["id"]: r["text"] for r in rows} == {1: f"a {clean} b", 2: "a [SECRET] b"}
+
+
+def test_windows_cut_no_run():
+    run = b"A" * (secret_scan.WINDOW * 2)
+    pieces = [(b"word " * (secret_scan.WINDOW // 4), 0, False), (run, 0, False), (b" word" * secret_scan.WINDOW, 0, False)]
+    windows = list(secret_scan._windows(iter(pieces)))
+    assert any(run in w for w in windows) and max(map(len, windows)) < 8 * secret_scan.WINDOW
+
+
 def test_secret_layers_end():
     bomb = base64.b64encode(zlib.compress(b"a" * (secret_scan.MOST_UNFOLDED + 10))).decode()
     assert [k for k, _, _ in secret_scan.find_secrets(bomb)] == ["too-large~base64>compressed"]
