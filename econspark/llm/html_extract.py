@@ -43,12 +43,15 @@ IMPLIED = {
     "body": ({"head"}, {"html"}),
 }
 #: An end tag does not reach beyond these, unless it is their own or a table's part's.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+FOREIGN = frozenset({"svg", "math"})
 BARRIER = frozenset("table td th caption html template".split())
 TABLE_PARTS = frozenset("table thead tbody tfoot tr td th caption".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_SLASH_IN_VALUE = re.compile(r"=\s*[^\s\"'=]+/\Z")
 _BLANKS = re.compile(r"[ \t\n\f\r]+")
 
 
@@ -62,12 +65,22 @@ def attributes(raw: str) -> dict[str, str]:
 def events(page: str) -> Iterator[tuple[str, str, str]]:
     """("open", tag, attributes), ("close", tag, "") and ("text", "", text), properly nested."""
     opened: list[str] = []
+    foreign = 0
 
     def close_to(index: int) -> Iterator[tuple[str, str, str]]:
+        nonlocal foreign
         while len(opened) > index:
+            foreign -= opened[-1] in FOREIGN
             yield "close", opened.pop(), ""
 
+    def text(value: str) -> Iterator[tuple[str, str, str]]:
+        if opened and opened[-1] == "head" and value.strip(" \t\n\f\r"):
+            yield from close_to(len(opened) - 1)
+        yield "text", "", value
+
     def implied(tag: str) -> Iterator[tuple[str, str, str]]:
+        if opened and opened[-1] == "head" and tag not in IN_HEAD:
+            yield from close_to(len(opened) - 1)
         names, limits = IMPLIED.get(tag, ((), ()))
         if tag in ENDS_PARAGRAPH:
             yield from close_last({"p"}, BARRIER)
@@ -92,14 +105,14 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
     while at < n:
         m = _TOKEN.search(page, at)
         if not m:
-            yield "text", "", page[at:]
+            yield from text(page[at:])
             break
         if m.start() > at:
-            yield "text", "", page[at : m.start()]
+            yield from text(page[at : m.start()])
         at = m.end()
         if not m[2]:
             if m[0].startswith("<![CDATA["):
-                yield "text", "", m[0][9:-3]
+                yield from text(m[0][9:-3])
             continue
         tag = m[2].lower()
         if m[1]:
@@ -117,7 +130,7 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
             continue
         yield from implied(tag)
         yield "open", tag, m[3]
-        if tag in VOID:
+        if tag in VOID or (foreign or tag in FOREIGN) and m[3].endswith("/") and not _SLASH_IN_VALUE.search(m[3]):
             yield "close", tag, ""
         elif tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
@@ -127,6 +140,7 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
             yield "close", tag, ""
         else:
             opened.append(tag)
+            foreign += tag in FOREIGN
     yield from close_to(0)
 
 

@@ -164,3 +164,15 @@ def test_contract_of_the_queries(spark):
 
     names = {n.split("_")[0] for n in contract.queries() if re.match(r"op\d+_", n)}
     assert names == {f"op{i}" for i in range(1, 11)} and "pipeline" in contract.queries()
+
+
+def test_head_ends_without_an_end_tag():
+    for page in ("<html><head><title>T</title><p>text one</p>text two", "<head><meta a=b><title>T</title> text one <b>text two</b>", "<html><head><title>T</title><script>x</script>\n<div>text one<style>y</style> text two</div></html>"):
+        title, text = html_extract.render(page)
+        assert title == "T" and text.split() == ["text", "one", "text", "two"], page
+
+
+def test_slash_closes_svg_and_math():
+    for tag in ("svg", "math"):
+        assert html_extract.render(f"<p>one <{tag} a='b'/> two <{tag} c=d /> three</p>")[1] == "one two three"
+    assert html_extract.render("<p>one <svg><g><title/><path d='M0'/></g></svg> two</p>")[1] == "one two"
