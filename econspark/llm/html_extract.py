@@ -3,7 +3,7 @@
 A page becomes a stream of opened and closed elements, with end tags implied as browsers imply them (a new paragraph ends the old one,
 a new cell the cell before, an outer end tag everything inside). The renderer follows that stream with a stack of text flows: blocks
 stand on lines of their own, paragraphs and headings between blank lines, list items behind marks with hanging indents, table cells in
-aligned columns. What a browser does not show (scripts, styles, hidden elements, comments) is left out; everything else comes out once.
+aligned columns. What a browser does not show (scripts, styles, hidden elements, comments, descriptions and definitions of drawings, annotations of formulas) is left out; everything else comes out once.
 Nothing is recursive, so depth is no limit.
 """
 
@@ -22,7 +22,12 @@ send_by_value(__name__)
 # Classes of elements in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("script style head title template noscript iframe noembed noframes object audio video canvas svg math datalist area param source track meta link base".split())
+UNSEEN = frozenset("script style head title template noscript iframe noembed noframes object audio video canvas datalist area param source track meta link base".split())
+#: Not shown inside these; the rest of formulas and drawings is inline text.
+UNSEEN_IN = {
+    "svg": frozenset("title desc defs metadata symbol clippath mask pattern marker lineargradient radialgradient filter".split()),
+    "math": frozenset({"annotation", "annotation-xml"}),
+}
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote figure table hr menu fieldset".split())
 BLOCK = SPACED | frozenset("html body address article aside center details dialog dd div dt figcaption footer form header hgroup legend li main nav optgroup option search section select summary tr caption thead tbody tfoot td th".split())
 ENDS_PARAGRAPH = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
@@ -45,6 +50,8 @@ IMPLIED = {
 #: An end tag does not reach beyond these, unless it is their own or a table's part's.
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 FOREIGN = frozenset({"svg", "math"})
+#: Labels and matrix cells stand apart.
+PARTED = frozenset({("svg", "text"), ("math", "mtd")})
 BARRIER = frozenset("table td th caption html template".split())
 TABLE_PARTS = frozenset("table thead tbody tfoot tr td th caption".split())
 
@@ -243,6 +250,7 @@ def render(page: str) -> tuple[str, str]:
     flows, tables, lists = [Flow()], [], []
     opened: list[tuple[str, bool]] = []
     unseen, title, in_title = 0, [], 0
+    foreign: list[str] = []
     for kind, tag, value in events(page):
         flow = flows[-1]
         if kind == "text":
@@ -253,14 +261,18 @@ def render(page: str) -> tuple[str, str]:
             continue
         if kind == "open":
             given = attributes(value) if value.strip() else {}
-            hides = tag in UNSEEN or "hidden" in given or tag == "dialog" and "open" not in given or bool(_HIDDEN_STYLE.search(given.get("style", ""))) or tag == "input" and given.get("type", "").lower() == "hidden"
+            hides = tag in UNSEEN or bool(foreign) and tag in UNSEEN_IN[foreign[-1]] or "hidden" in given or tag == "dialog" and "open" not in given or bool(_HIDDEN_STYLE.search(given.get("style", ""))) or tag == "input" and given.get("type", "").lower() == "hidden"
             opened.append((tag, hides))
             unseen += hides
-            if tag == "title" and unseen <= 2 and not title and not any(t == "svg" for t, _ in opened):
+            if tag == "title" and unseen <= 2 and not title and "svg" not in foreign:
                 in_title = 1
+            if tag in FOREIGN:
+                foreign.append(tag)
             if unseen:
                 continue
-            if tag == "br":
+            if foreign and (foreign[-1], tag) in PARTED:
+                flow.text(" ")
+            elif tag == "br":
                 flow.new_line()
             elif tag == "img" and given.get("alt"):
                 flow.text(given["alt"])
@@ -298,8 +310,13 @@ def render(page: str) -> tuple[str, str]:
         unseen -= hid
         if tag == "title":
             in_title = 0
+        if tag in FOREIGN:
+            foreign.pop()
         if unseen or hid:
             continue
+        if foreign and (foreign[-1], tag) in PARTED:
+            flow.text(" ")
+            continue
         if tag == "table" and tables:
             lines = tables.pop().render()
             flow.put(lines)

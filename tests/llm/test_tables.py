@@ -176,3 +176,9 @@ def test_slash_closes_svg_and_math():
     for tag in ("svg", "math"):
         assert html_extract.render(f"<p>one <{tag} a='b'/> two <{tag} c=d /> three</p>")[1] == "one two three"
     assert html_extract.render("<p>one <svg><g><title/><path d='M0'/></g></svg> two</p>")[1] == "one two"
+
+
+def test_formulas_and_labels_are_text():
+    page = """<title>T</title><p>so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2 tex</annotation><annotation-xml><a>no</a></annotation-xml></semantics></math> holds</p>
+    <p><svg><title>no</title><desc>no</desc><defs><text>no</text></defs><metadata>no</metadata><style>no</style><text>North</text><text>So<tspan>uth</tspan></text><path d="M0"/></svg> end</p><desc>yes</desc>"""
+    assert html_extract.render(page) == ("T", "so x=2 holds\n\nNorth South end\n\nyes")
