@@ -219,7 +219,8 @@ class Table:
         self.caption: list[str] = []
 
     def render(self) -> list[str]:
-        """Cells padded to their columns, two blanks between; a cell that spans columns is as wide as it needs."""
+        """Cells padded to their columns, two blanks between; a cell that spans columns is as wide as it needs. Where padding would
+        outgrow the text by far, a column is as wide as its widest cell that keeps it within bounds, and wider cells overflow."""
         widths: dict[int, int] = {}
         whole = 0
         for row in self.rows:
@@ -231,7 +232,8 @@ class Table:
                     widths[at] = max(widths.get(at, 0), w)
                 at += span
         cells = sum(len(row) * max((len(lines) for _, lines in row), default=0) for row in self.rows)
-        aligned = max(widths.values(), default=0) * cells <= 4 * whole + 10_000  # else padding would outgrow the text
+        if max(widths.values(), default=0) * cells > 4 * whole + 10_000:
+            widths = self._bounded(widths)
         out = list(self.caption)
         for row in self.rows:
             for i in range(max((len(lines) for _, lines in row), default=0)):
@@ -239,12 +241,30 @@ class Table:
                 for span, lines in row:
                     cell = lines[i] if i < len(lines) else ""
                     room = sum(widths.get(at + k, 0) for k in range(span)) + 2 * (span - 1)
-                    parts.append(cell.ljust(room) if aligned else cell)
+                    parts.append(cell.ljust(room))
                     at += span
                 out.append("  ".join(parts).rstrip())
         return out
 
 
+    def _bounded(self, widths: dict[int, int]) -> dict[int, int]:
+        """Widths under which a column's padding is at most eight times its text and a share of 10 000."""
+        own: dict[int, list[int]] = {at: [] for at in widths}
+        text, padded = dict.fromkeys(widths, 0), dict.fromkeys(widths, 0)
+        for row in self.rows:
+            at, height = 0, max((len(lines) for _, lines in row), default=0)
+            for span, lines in row:
+                if span == 1:
+                    own[at].append(max(map(len, lines), default=0))
+                    text[at] += sum(map(len, lines)) + 2 * len(lines)
+                for k in range(at, at + span):
+                    if k in padded:
+                        padded[k] += height
+                at += span
+        room = {at: (8 * text[at] + 10_000 // len(widths)) // max(1, padded[at]) for at in widths}
+        return {at: max((w for w in own[at] if w <= room[at]), default=0) for at in widths}
+
+
 def render(page: str) -> tuple[str, str]:
     """Title and visible text."""
     flows, tables, lists = [Flow()], [], []

@@ -182,3 +182,24 @@ def test_formulas_and_labels_are_text():
     page = """<title>T</title><p>so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2 tex</annotation><annotation-xml><a>no</a></annotation-xml></semantics></math> holds</p>
     <p><svg><title>no</title><desc>no</desc><defs><text>no</text></defs><metadata>no</metadata><style>no</style><text>North</text><text>So<tspan>uth</tspan></text><path d="M0"/></svg> end</p><desc>yes</desc>"""
     assert html_extract.render(page) == ("T", "so x=2 holds\n\nNorth South end\n\nyes")
+
+
+def test_large_tables_stay_aligned():
+    """Columns begin at one place in every row, but for rows with a cell far wider than its column."""
+
+    def starts(rows: list[list[str]]) -> list[list[int]]:
+        page = "<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in row) + "</tr>" for row in rows) + "</table>"
+        lines = html_extract.render(page)[1].split("\n")
+        assert len(lines) == len(rows) and [x.split() for x in lines] == [[w for c in row for w in c.split()] for row in rows]
+        assert sum(map(len, lines)) <= 9 * sum(len(c) + 2 for row in rows for c in row) + 10_000
+        return [[line.index(c) for c in row] for line, row in zip(lines, rows, strict=True)]
+
+    for place in range(4):
+        rows = []
+        for i in range(200):
+            row = [f"{k}-{i:08d}" for k in "abc"]
+            row.insert(place, f"n{i}-" + "x" * (294 if i == 7 else 54 - len(str(i))))
+            rows.append(row)
+        assert len({tuple(s) for s in starts(rows)}) == 1
+    rows = [[f"a{i}", "w" * (20_000 if i == 50 else 5) + f"-{i}", f"c{i}-", f"d{i}-"] for i in range(3000)]
+    assert len({tuple(s) for i, s in enumerate(starts(rows)) if i != 50}) == 1
