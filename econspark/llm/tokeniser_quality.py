@@ -27,24 +27,35 @@ SYMBOLS = b"#*$%&|<>"
 
 @dataclass(frozen=True)
 class Band:
-    """Accepted measures; characters per token and entropy hold for every vocabulary."""
+    """Accepted measures; characters per token and entropy hold for every vocabulary.
+
+    ``floors`` are least entropies of its own for each vocabulary, in place of ``entropy[0]``. A short text cannot reach a floor that
+    nears log2 of its tokens, so that it need not have more than ``of_most`` of that.
+    """
 
     chars_per_token: tuple[float, float] = (1.4, 7.0)
     byte_share: float = 0.10
     entropy: tuple[float, float] = (5.4, 13.0)
+    floors: tuple[float, ...] = ()
+    of_most: float = 0.75
+
+    def floor(self, vocabulary: int, tokens: int) -> float:
+        least = self.floors[vocabulary] if vocabulary < len(self.floors) else self.entropy[0]
+        return min(least, self.of_most * float(np.log2(max(tokens, 1))))
 
 
-#: By language code, else by script. Space-poor scripts have few characters per token and many fallback bytes.
+#: By language code, else by script. Where tokens are single letters or bytes, entropy stays near that of the alphabet at any length,
+#: so those scripts have floors below what 50 words of clean prose have (piece, then word vocabulary). Space-poor scripts have few characters per token and many fallback bytes.
 BANDS: dict[str, Band] = {
     "en": Band((1.6, 7.0), 0.05),
     "de": Band((1.5, 7.0), 0.05),
     "fr": Band((1.4, 7.0), 0.05),
     "es": Band((1.4, 7.0), 0.05),
     "latin": Band((1.3, 7.0), 0.15),
-    "greek": Band((0.5, 6.0), 0.50),
-    "cyrillic": Band((0.8, 6.0), 0.30),
-    "han": Band((0.3, 3.0), 0.90),
-    "other": Band((0.2, 8.0), 0.95),
+    "greek": Band((0.5, 6.0), 0.50, floors=(3.9, 3.5)),
+    "cyrillic": Band((0.8, 6.0), 0.30, floors=(5.4, 4.6)),
+    "han": Band((0.3, 3.0), 0.90, floors=(4.1, 5.1)),
+    "other": Band((0.2, 8.0), 0.95, floors=(3.7, 2.9)),
 }
 #: First and last code point of each script's main blocks.
 SCRIPTS = {"latin": ((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F)), "greek": ((0x370, 0x3FF),), "cyrillic": ((0x400, 0x52F),), "han": ((0x3040, 0x30FF), (0x3400, 0x9FFF), (0xAC00, 0xD7AF))}
@@ -114,12 +125,13 @@ def piece_encoder(path: str) -> Callable[[], Callable]:
 
 
 def _measure(data: bytes, lang: str | None, table: WordTable, rows: np.ndarray, bands: Mapping[str, Band]) -> dict:
-    per_token, bits, share = [], [], 0.0
+    per_token, bits, sizes, share = [], [], [], 0.0
     word_chars = code_points(data) - (len(data) - len(data.translate(None, SPACE)))
     for i in range(len(table.encoders)):
         ids = table.gather(rows, i)
         per_token.append(word_chars / len(ids) if len(ids) else 0.0)
         bits.append(entropy(ids))
+        sizes.append(len(ids))
         if i == 0 and len(ids):
             share = float(((ids >= 3) & (ids < 259)).mean())  # <0x00> to <0xFF>
     n, repeats = len(rows), repeated_words(rows)
@@ -131,7 +143,7 @@ def _measure(data: bytes, lang: str | None, table: WordTable, rows: np.ndarray,
             ("base", failed),
             ("chars_per_token", any(not band.chars_per_token[0] <= x <= band.chars_per_token[1] for x in per_token)),
             ("byte_share", share > band.byte_share),
-            ("entropy", any(not band.entropy[0] <= x <= band.entropy[1] for x in bits)),
+            ("entropy", any(not band.floor(i, sizes[i]) <= x <= band.entropy[1] for i, x in enumerate(bits))),
         )
         if bad
     ]

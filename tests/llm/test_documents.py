@@ -13,6 +13,7 @@ import pytest
 from econspark.llm import _words, license_scan, near_dedup, packing, piece_codec, secret_scan, tokeniser_quality
 from econspark.llm.queries import vocabulary
 from tests.llm.cases import awkward_documents
+from tests.llm.prose import PROSE
 
 SPACE = "[^\x20\x09-\x0d]+"
 
@@ -70,6 +71,28 @@ def test_quality_bands_and_scripts(spark, none):
     assert judged(none).count() == 0
 
 
+@pytest.fixture(scope="module")
+def measured():
+    encoders = tokeniser_quality.piece_encoder(vocabulary("piece_bpe_32k.model"))(), packing.word_encoder(vocabulary("word_bpe_49k.json"))()
+    table = _words.WordTable(*encoders)
+    return lambda text, lang: tokeniser_quality._measure(text.encode(), lang, table, table.rows([text.encode()])[0], tokeniser_quality.BANDS)
+
+
+@pytest.mark.parametrize("lang", PROSE)
+def test_clean_prose_is_kept(measured, lang):
+    words = PROSE[lang].split()
+    for n in range(50, len(words) + 1):
+        for given in (lang, None):
+            assert measured(" ".join(words[:n]), given)["reasons"] == "", (lang, n)
+
+
+def test_poor_texts_are_rejected_still(measured):
+    rng = np.random.default_rng(2)
+    for letters in ("abc", "αβγ", "абв", "漢字", "ابج", "0123456789", "#$%"):
+        text = " ".join("".join(rng.choice(list(letters), 6)) for _ in range(300))
+        assert "entropy" in measured(text, None)["reasons"], letters
+
+
 def test_repeated_words_with_many_rows():
     small = np.array([1, 2, 3, 4, 1, 2, 3, 9])
     assert tokeniser_quality.repeated_words(small) == 6
