@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, html_extract, license_scan, near_dedup, packing, piece_codec, secret_scan, tokeniser_quality, topk_search, url_filter
+from . import chat_format, conversation_repair, html_extract, license_scan, near_dedup, packing, piece_codec, secret_scan, tokeniser_quality, topk_search, url_filter
 from ._shared import send_by_value, table
 
 send_by_value(__name__)
@@ -164,6 +164,64 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 """
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.damage(table(spark, sf_dir, "conversations"))
+    return conversation_repair.summaries(conversation_repair.repair_conversations(rows, copies="copies"))
+
+
+#: The states by dynamic programming with whole audits and texts: 0 nothing yet, 1 system, 2 user, 3 assistant.
+OP13_SQL = r"""
+WITH RECURSIVE
+k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ord(c) AS BIGINT)) AS codes
+  FROM conversations),
+h AS (
+  SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), codes), lambda c, b:
+    list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 20 AS fate
+  FROM k),
+d AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM h, range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
+ids AS (SELECT conv_id, row_number() OVER () AS id FROM (SELECT DISTINCT conv_id FROM conversations)),
+o AS (
+  SELECT id, turn, role, text, row_number() OVER (PARTITION BY id ORDER BY turn NULLS FIRST, role, text) AS pos,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
+  FROM d JOIN ids ON d.conv_id IS NOT DISTINCT FROM ids.conv_id),
+w AS (SELECT *, row_number() OVER (PARTITION BY id, role, text ORDER BY pos) AS seen FROM o),
+r AS (
+  SELECT *, CASE substring(role, 1, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 WHEN 'a' THEN 3 ELSE 0 END AS initial,
+    CASE WHEN body = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault
+  FROM w),
+f AS (
+  SELECT id, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, max(pos) AS n,
+    count(*) FILTER (before IS NOT NULL AND (before, initial) NOT IN ((1, 2), (2, 3), (3, 2))) AS illegal
+  FROM (SELECT *, lag(initial) OVER (PARTITION BY id ORDER BY pos) AS before FROM r) GROUP BY id),
+ins(p, s, due, price, letters, made) AS (VALUES
+  (0, 0, 2, 0, '', []), (0, 2, 3, 5, 'I', ['user:']), (0, 3, 2, 10, 'II', ['user:', 'assistant:']), (1, 1, 2, 0, '', []), (1, 2, 3, 5, 'I', ['user:']), (1, 3, 2, 10, 'II', ['user:', 'assistant:']),
+  (2, 2, 3, 0, '', []), (2, 3, 2, 5, 'I', ['assistant:']), (2, 2, 3, 10, 'II', ['assistant:', 'user:']), (3, 3, 2, 0, '', []), (3, 2, 3, 5, 'I', ['user:']), (3, 3, 2, 10, 'II', ['user:', 'assistant:'])),
+e(letter, price) AS (VALUES ('K', 0), ('R', 1), ('D', 2)),
+dp AS (
+  SELECT id, CAST(0 AS BIGINT) AS pos, 0 AS state, {'cost': CAST(0 AS BIGINT), 'audit': '', 'lines': CAST([] AS VARCHAR[])} AS best FROM ids
+  UNION ALL
+  SELECT dp.id, r.pos, CASE letter WHEN 'K' THEN initial WHEN 'R' THEN due ELSE s END AS state,
+    min({'cost': dp.best.cost + ins.price + e.price + CASE WHEN letter <> 'D' AND fault = 'truncated' THEN 5 ELSE 0 END, 'audit': dp.best.audit || letters || letter,
+      'lines': dp.best.lines || made || CASE letter WHEN 'K' THEN [role || ':' || text] WHEN 'R' THEN [CASE due WHEN 2 THEN 'user:' ELSE 'assistant:' END || text] ELSE [] END})
+  FROM dp JOIN r ON r.id = dp.id AND r.pos = dp.pos + 1 JOIN ins ON ins.p = dp.state
+  JOIN e ON letter = 'D' OR fault NOT IN ('blank', 'duplicate') AND (letter = 'R' OR (s, initial) IN ((0, 1), (0, 2), (1, 2), (3, 2), (2, 3)))
+  GROUP BY dp.id, r.pos, CASE letter WHEN 'K' THEN initial WHEN 'R' THEN due ELSE s END),
+fin AS (
+  SELECT dp.id, min({'cost': best.cost + price, 'audit': best.audit || letters, 'lines': best.lines || made}) AS best
+  FROM dp LEFT JOIN f USING (id) JOIN ins ON ins.p = dp.state AND (ins.s = 3 OR ins.s = 0 AND ins.p = 0)
+  WHERE dp.pos = coalesce(n, 0) GROUP BY dp.id)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(best.cost AS BIGINT) AS cost, best.audit AS audit, sha256(array_to_string(best.lines, chr(10))) AS repaired_sha256
+FROM ids JOIN fin USING (id) LEFT JOIN f USING (id)
+"""
+
+
 def entries() -> list[Query]:
     return [
         Query("op1_tokeniser_quality", op1_tokeniser_quality),
@@ -176,4 +234,5 @@ def entries() -> list[Query]:
         Query("op6_url_filter", op6_url_filter, OP6_SQL),
         Query("op7_chat_format", op7_chat_format, OP7_SQL),
         Query("op10_topk_search", op10_topk_search, OP10_SQL),
+        Query("op13_conversation_repair", op13_conversation_repair, OP13_SQL),
     ]
