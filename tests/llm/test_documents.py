@@ -382,8 +382,10 @@ def test_windows_cut_no_run():
 
 
 def test_secret_layers_end():
-    bomb = base64.b64encode(zlib.compress(b"a" * (secret_scan.MOST_UNFOLDED + 10))).decode()
-    assert [k for k, _, _ in secret_scan.find_secrets(bomb)] == ["too-large~base64>compressed"]
+    bomb = lambda letter: base64.b64encode(zlib.compress(letter * (secret_scan.MOST_UNFOLDED + 10))).decode()
+    kinds = lambda text: [k for k, _, _ in secret_scan.find_secrets(text)]
+    assert kinds(bomb(b"z")) == ["too-large~base64>compressed"]
+    assert kinds(bomb(b"a")) == ["hex~base64>compressed", "too-large~base64>compressed"]
     assert secret_scan.find_secrets("%25" * 500 + " " + "%2525") == []
 
 
