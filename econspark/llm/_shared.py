@@ -38,6 +38,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(table: DataFrame) -> None:
+    """Deletes a table of ``written`` that nothing reads any more."""
+    context = table.sparkSession.sparkContext
+    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def append_struct(df: DataFrame, into: str, ddl: str, judge: Callable[[], Callable], *columns: str) -> DataFrame:
     """``df`` with a struct column made in tasks from ``columns``.
 

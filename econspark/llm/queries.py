@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, conversation_repair, html_extract, license_scan, near_dedup, packing, piece_codec, secret_scan, tokeniser_quality, topk_search, url_filter, whitening
+from . import chat_format, conversation_repair, html_extract, license_scan, maxent_lm, near_dedup, packing, piece_codec, secret_scan, tokeniser_quality, topk_search, url_filter, whitening
 from ._shared import send_by_value, table
 
 send_by_value(__name__)
@@ -222,6 +222,10 @@ FROM ids JOIN fin USING (id) LEFT JOIN f USING (id)
 """
 
 
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -238,6 +242,7 @@ def entries() -> list[Query]:
         Query("op6_url_filter", op6_url_filter, OP6_SQL),
         Query("op7_chat_format", op7_chat_format, OP7_SQL),
         Query("op10_topk_search", op10_topk_search, OP10_SQL),
+        Query("op11_lm_score", op11_lm_score),
         Query("op12_embedding_whitening", op12_embedding_whitening),
         Query("op13_conversation_repair", op13_conversation_repair, OP13_SQL),
     ]
