@@ -170,6 +170,38 @@ def swept(fe) -> str:
     return rows
 
 
+#: Effects in seven components: a group of lines belongs to the suppliers of one remainder.
+PARTED = ["l_suppkey", "line_group"]
+
+
+def parted_lines(s: SparkSession, d: str) -> DataFrame:
+    return li(s, d).withColumn("line_group", F.expr("l_suppkey % 7 * 100 + l_linenumber"))
+
+
+PARTED_LINES = "(SELECT *, l_suppkey % 7 * 100 + l_linenumber AS line_group FROM lineitem)"
+#: Levels of the second effect that a chain of levels of the first one ties together.
+PARTED_SQL = f"""e AS (SELECT DISTINCT l_suppkey AS a, line_group AS b FROM {PARTED_LINES}),
+tied AS (SELECT x.b AS b, y.b AS c FROM e x JOIN e y USING (a) GROUP BY ALL),
+reach AS (SELECT DISTINCT b, b AS c FROM e UNION SELECT reach.b, tied.c FROM reach JOIN tied ON reach.c = tied.b),
+parts AS (SELECT count(DISTINCT low) AS k FROM (SELECT b, min(c) AS low FROM reach GROUP BY b)),
+d AS (SELECT count(DISTINCT a) + count(DISTINCT b) AS levels, any_value(k) AS redundant FROM e, parts)"""
+
+
+def parted_dof_sql() -> str:
+    return f"""WITH RECURSIVE {PARTED_SQL}, t AS (SELECT count(*) AS n FROM lineitem)
+SELECT n, levels, redundant, levels - redundant AS absorbed, {len(AX)}::BIGINT AS slopes, n - levels + redundant - {len(AX)} AS df_resid, TRUE AS exact FROM t, d"""
+
+
+def parted_coef_sql() -> str:
+    rows = f"SELECT {', '.join(PARTED)}, {AY}, {', '.join(AX)} FROM {PARTED_LINES}"
+    for _ in range(SWEEPS):
+        for f in PARTED:
+            rows = f"SELECT {', '.join(PARTED)}, " + ", ".join(f"{c} - avg({c}) OVER (PARTITION BY {f}) AS {c}" for c in [AY, *AX]) + f" FROM ({rows})"
+    base = f"SELECT * FROM ({coefficient_union(AX, 'a', dof='(n - 3)')}) WHERE variable <> '_cons'"
+    dof = "((SELECT n - 2 FROM a) - (SELECT levels - redundant FROM d))"
+    return f"WITH RECURSIVE {PARTED_SQL}, {ols_sql(rows, AY, AX, prefix='a')} {adjusted(base, dof, '(SELECT n - 3 FROM a)')}"
+
+
 def absorb_coef_sql(fe) -> str:
     levels = " + ".join(f"(SELECT count(DISTINCT {f}) - 1 FROM lineitem)" for f in fe)
     base = f"SELECT * FROM ({coefficient_union(AX, 'a', dof='(n - 3)')}) WHERE variable <> '_cons'"
@@ -237,6 +269,9 @@ def entries() -> list[Entry]:
         ),
         entry("areg_one_way", lambda s, d: absorb(s, d, ONE).coefficients(), absorb_coef_sql(ONE), **ABSORB),
         entry("areg_two_way", lambda s, d: absorb(s, d, TWO).coefficients(), absorb_coef_sql(TWO), **(ABSORB | {"digits": 4, "places": 4})),
+        entry("areg_two_way_dof", lambda s, d: Absorption(parted_lines(s, d), AY, AX, PARTED).degrees_of_freedom(), parted_dof_sql(),
+              plain=["n", "levels", "redundant", "absorbed", "slopes", "df_resid", "exact"]),
+        entry("areg_two_way_parted", lambda s, d: Absorption(parted_lines(s, d), AY, AX, PARTED).coefficients(), parted_coef_sql(), **(ABSORB | {"digits": 4, "places": 4})),
         entry("areg_summary", lambda s, d: absorb(s, d, ONE).summary(), absorb_summary_sql(ONE), plain=["n", "levels_absorbed"], sig=["ssr"], prob=["r2_within", "r2_overall"], digits=7),
         entry("areg_two_way_summary", lambda s, d: absorb(s, d, TWO).summary(), absorb_summary_sql(TWO), plain=["n", "levels_absorbed"], sig=["ssr"], prob=["r2_within", "r2_overall"], digits=6),
         entry(

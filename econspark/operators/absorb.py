@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from econspark.functions.dist import f_sf, t_two_sided
 from econspark.operators.panel import _number, panel_moments
+from econspark.plans.effects import components_by_joins, pack_cells, solve_effects
 from econspark.plans.moments import Moments, collect_moments, moments_frame, unpack
 from econspark.plans.solver import COEFFICIENT_SCHEMA, Fit, ols
 from econspark.schema import as_list, complete_cases
-from econspark.session import cut_lineage
+from econspark.session import cut_lineage, drop_written
 
 MIN_ROWS = 20
 HIGH_DIMENSION = 50
@@ -38,6 +39,8 @@ class Absorption:
         self.tolerance, self.min_rows = tolerance, min_rows
         self.rows = complete_cases(df, self.cols, self.fe)
         self.sweeps = 0
+        self.dof_exact = True
+        self._added = 0  # parameters of all effects but the largest, less the redundant ones
 
     @cached_property
     def _base(self) -> tuple[Moments, dict[str, int]]:
@@ -65,17 +68,36 @@ class Absorption:
         return self._sweep()
 
     def _sweep(self) -> Moments:
-        """Solve for the level effects by conjugate gradients.
+        """Solve for the level effects on packed cells: the largest effect is eliminated, the others are the unknowns."""
+        p = range(len(self.cols))
+        order = sorted(self.fe, key=lambda f: -self.levels[f])
+        rest = [self.levels[f] for f in order[1:]]
+        if sum(rest) > BROADCAST_LEVELS:
+            return self._sweep_by_joins(order)
+        keys = [f"_g{i}" for i in range(len(order))]
+        mean = self.total.mean
+        start = moments_frame(self.rows, self.cols, order).withColumnsRenamed(dict(zip(order, keys)))
+        values = F.array(*[F.col("mean")[i] - F.lit(float(mean[i])) for i in p]).alias("values")
+        packed = pack_cells(start.select(*keys, "n", values, F.col("comoment").alias("inside")), keys[0], keys[1:], rest, len(self.cols))
+        scale = np.sqrt(np.maximum(np.diag(self.total.comoment) / self.total.n, 1e-300))
+        solved = solve_effects(packed, scale, self.tolerance)
+        self.sweeps, self._added, self.dof_exact = solved.steps, solved.added, solved.exact
+        upper = solved.cross[np.triu_indices(len(self.cols))] + solved.inside
+        return unpack(self.cols, self.total.n, np.zeros(len(self.cols)), upper.tolist())
+
+    def _sweep_by_joins(self, order: list[str]) -> Moments:
+        """The same with the level effects in tables, for effects with more levels than are sent to every executor.
 
-        The first effect is eliminated exactly (means of its levels), the others are the unknowns, each scaled by its level's
+        The largest effect is eliminated exactly (means of its levels), the others are the unknowns, each scaled by its level's
         weight. A step needs one pass over the cells, which are written once, and one small table per effect with
         the solution, the remainder and the direction; the number of steps follows the square root of what plain sweeps need.
         """
+        self._order = order
         p = range(len(self.cols))
-        keys = [f"_g{i}" for i in range(len(self.fe))]
+        keys = [f"_g{i}" for i in range(len(order))]
         pairs = [(i, j) for i in p for j in range(i, len(self.cols))]
         mean = self.total.mean
-        start = moments_frame(self.rows, self.cols, self.fe).withColumnsRenamed(dict(zip(self.fe, keys)))
+        start = moments_frame(self.rows, self.cols, order).withColumnsRenamed(dict(zip(order, keys)))
         deviations = [(F.col("mean")[i] - F.lit(float(mean[i]))).alias(f"r{i}") for i in p]
         cells = cut_lineage(start.select(*keys, "n", "comoment", *deviations))
         scale = np.sqrt(np.maximum(np.diag(self.total.comoment) / self.total.n, 1e-300))
@@ -88,14 +110,18 @@ class Absorption:
             level = self._level_sums(self._net_of_first(cells, keys[0]), key).withColumnsRenamed({f"q{i}": f"s{i}" for i in p})
             state[key] = level.select(key, "n", *zero("z"), *[f"s{i}" for i in p], *[(F.col(f"s{i}") / F.col("n")).alias(f"p{i}") for i in p])
         best, since = math.inf, 0
+        written: dict[str, DataFrame] = {}
         while True:
             self.sweeps += 1
+            outdated: list[DataFrame] = []
             directed = self._combined(cells, state, "p").select(*keys, "n", *[F.col(f"e{i}").alias(f"r{i}") for i in p])
             moved = self._net_of_first(directed, keys[0])
             sums = np.zeros((4, len(self.cols)))
             longest = np.zeros(len(self.cols))
             for key in keys[1:]:
-                state[key] = cut_lineage(state[key].join(self._level_sums(moved, key).drop("n"), key))
+                last, state[key] = written.get(key), cut_lineage(state[key].join(self._level_sums(moved, key).drop("n"), key))
+                outdated += [last] if last is not None else []
+                written[key] = state[key]
                 s, q, d = ([F.col(f"{c}{i}") for i in p] for c in "sqp")
                 terms = {"pq": lambda i: d[i] * q[i], "ss": lambda i: s[i] * s[i] / F.col("n"), "sq": lambda i: s[i] * q[i] / F.col("n"), "qq": lambda i: q[i] * q[i] / F.col("n")}
                 row = state[key].agg(*[F.sum(f(i)).alias(f"{t}{i}") for t, f in terms.items() for i in p], *[F.max(F.abs(d[i])).alias(f"most{i}") for i in p]).first()
@@ -111,6 +137,8 @@ class Absorption:
                 z = [(F.col(f"z{i}") + F.lit(float(step[i])) * F.col(f"p{i}")).alias(f"z{i}") for i in p]
                 d = [(s[i] / F.col("n") + F.lit(float(turn[i])) * F.col(f"p{i}")).alias(f"p{i}") for i in p]
                 state[key] = state[key].select(key, "n", *z, *[x.alias(f"s{i}") for i, x in enumerate(s)], *d)
+            for table in outdated:
+                drop_written(table)
             size = float(np.max(step * longest / scale))
             if size < self.tolerance:
                 break
@@ -119,13 +147,16 @@ class Absorption:
                 raise RuntimeError(f"absorption stands at steps of {size:.3g} of a standard deviation after {self.sweeps} steps")
 
         solved = self._combined(cells, state, "z").select(*keys, "n", "comoment", *[(F.col(f"r{i}") - F.col(f"e{i}")).alias(f"r{i}") for i in p])
+        for i, key in enumerate(keys[1:], 1):
+            self._added += self.levels[order[i]] - max(components_by_joins(cells, other, key) for other in keys[:i])
+        self.dof_exact = len(keys) == 2
         inside = [F.sum(F.col("comoment")[k]) for k in range(len(pairs))]
         across = [F.sum(F.col("n") * F.col(f"r{i}") * F.col(f"r{j}")) for i, j in pairs]
         row = self._net_of_first(solved, keys[0]).agg(F.array(*[u + v for u, v in zip(inside, across)]).alias("c")).first()
         return unpack(self.cols, self.total.n, np.zeros(len(self.cols)), row["c"])
 
     def _small(self, table: DataFrame, key: str) -> DataFrame:
-        return F.broadcast(table) if self.levels[self.fe[int(key[2:])]] <= BROADCAST_LEVELS else table
+        return F.broadcast(table) if self.levels[self._order[int(key[2:])]] <= BROADCAST_LEVELS else table
 
     def _combined(self, cells: DataFrame, state: dict[str, DataFrame], name: str) -> DataFrame:
         """Cells with the sum over all effects of ``name`` (``e0``, ``e1``, …)."""
@@ -153,8 +184,19 @@ class Absorption:
 
     @property
     def absorbed_parameters(self) -> int:
-        """Levels minus one per effect (redundancies among several effects not deducted), plus one."""
-        return sum(n - 1 for n in self.levels.values()) + 1
+        """Rank of the dummies of all effects: their levels less the redundant ones, one for each connected component of the graph of
+        levels of two effects. Of three or more effects with many levels, the redundancies of each with one other are deducted
+        (``dof_exact`` is False); those that only show among three at once are not."""
+        if len(self.fe) > 1:
+            self.residual_moments  # noqa: B018  finds them on its way
+        return max(self.levels.values()) + self._added
+
+    def degrees_of_freedom(self) -> DataFrame:
+        """Levels of all effects, how many are redundant, the rank of their dummies, slopes, and what is left for the residuals."""
+        levels, absorbed = sum(self.levels.values()), self.absorbed_parameters
+        row = {"n": self.total.n, "levels": levels, "redundant": levels - absorbed, "absorbed": absorbed, "slopes": self.fit.rank}
+        row |= {"df_resid": self.total.n - absorbed - self.fit.rank, "exact": self.dof_exact}
+        return self._table([row], "n long, levels long, redundant long, absorbed long, slopes long, df_resid long, exact boolean")
 
     def _table(self, rows: list[dict], schema: str) -> DataFrame:
         names = [part.split()[0] for part in schema.split(", ")]

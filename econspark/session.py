@@ -1,12 +1,17 @@
-"""Checkpoint folder of the session."""
+"""Checkpoint folder of the session, and tables written there."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the folder that the cluster names, else one in the warehouse, which all executors share too."""
+    """Use the folder that the cluster names, else one in the warehouse, which all executors share too.
+
+    A warehouse in a local folder is shared only where everything runs on one machine; elsewhere a folder must be named.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -14,11 +19,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+        if named.startswith(("file:", "/")) and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named)
     return named
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` to the shared checkpoint folder as Parquet and go on from there; columns that nobody reads are then skipped."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written(df: DataFrame) -> None:
+    """Delete a table of ``cut_lineage`` that has been replaced; the frame and all made from it can't be read any more."""
+    context = df.sparkSession.sparkContext
+    for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

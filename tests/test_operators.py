@@ -337,3 +337,61 @@ def test_absorption_of_weakly_connected_effects(spark):
     want = np.linalg.lstsq(dummies, pdf["y"], rcond=None)[0][0]
     assert a.fit.beta[0] == pytest.approx(want, abs=1e-5)
     assert a.sweeps < 60  # plain sweeps need more than 2000
+
+
+def _chain(rng, groups):
+    """Effects in several connected components: levels of ``b`` are shared inside a group only."""
+    rows = []
+    for g in range(groups):
+        for a in range(4 + g):
+            for b in rng.choice(5, 3, replace=False):
+                rows += [(10 * g + a, 100 * g + int(b), int(rng.integers(0, 3)))] * 2
+    pdf = pd.DataFrame(rows, columns=["a", "b", "c"])
+    pdf["x"] = rng.normal(size=len(pdf)) + 0.1 * pdf.a
+    pdf["y"] = 1.5 * pdf.x + 0.3 * pdf.a - 0.01 * pdf.b + pdf.c + rng.normal(size=len(pdf))
+    return pdf
+
+
+def _rank(pdf, fe):
+    return np.linalg.matrix_rank(np.column_stack([pd.get_dummies(pdf[f]).to_numpy(float) for f in fe]))
+
+
+@pytest.mark.parametrize(
+    "way, fe",
+    [*[(w, fe) for w in ("matrix", "gradients") for fe in (["a", "b"], ["b", "a"], ["a", "b", "c"], ["a", "a2"])], ("joins", ["a", "b"]), ("joins", ["a", "b", "c"])],
+)
+def test_absorbed_parameters_are_the_rank_of_the_dummies(spark, monkeypatch, way, fe):
+    from econspark.operators import absorb
+    from econspark.plans import effects
+
+    if way != "matrix":
+        monkeypatch.setattr(effects, "DENSE", 0)
+    if way == "joins":
+        monkeypatch.setattr(absorb, "BROADCAST_LEVELS", 0)
+    pdf = _chain(np.random.default_rng(11), 4)
+    pdf["a2"] = pdf.a // 2  # a nested effect
+    a = Absorption(spark.createDataFrame(pdf).repartition(5), "y", "x", fe)
+    dummies = np.column_stack([pd.get_dummies(pdf[f]).to_numpy(float) for f in fe])
+    design = np.column_stack([pdf.x, dummies])
+    beta, *_ = np.linalg.lstsq(design, pdf.y, rcond=None)
+    ssr = float(((pdf.y - design @ beta) ** 2).sum())
+    assert a.absorbed_parameters == _rank(pdf, fe)
+    assert a.dof_exact == (len(fe) == 2 or way == "matrix")
+    assert a.fit.beta[0] == pytest.approx(beta[0], abs=1e-6) and a.fit.ssr == pytest.approx(ssr, rel=1e-6)
+    dof = one(a.degrees_of_freedom())
+    assert dof["df_resid"] == len(pdf) - _rank(pdf, fe) - 1 and dof["levels"] == sum(pdf[f].nunique() for f in fe)
+
+
+def test_packed_cells_keep_levels_whole(spark, monkeypatch):
+    from econspark.plans import effects
+
+    monkeypatch.setattr(effects, "PACK", 8)
+    monkeypatch.setattr(effects, "PIECE", 7)
+    pdf = _chain(np.random.default_rng(4), 6)
+    design = np.column_stack([pdf.x, pd.get_dummies(pdf.a).to_numpy(float), pd.get_dummies(pdf.b).to_numpy(float)])
+    beta, *_ = np.linalg.lstsq(design, pdf.y, rcond=None)
+    for dense in (1024, 0):
+        monkeypatch.setattr(effects, "DENSE", dense)
+        a = Absorption(spark.createDataFrame(pdf).repartition(3), "y", "x", ["a", "b"])
+        assert a.fit.beta[0] == pytest.approx(beta[0], abs=1e-6)
+        assert a.absorbed_parameters == _rank(pdf, ["a", "b"])
