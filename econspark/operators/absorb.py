@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -45,11 +45,13 @@ class Absorption:
     @cached_property
     def _base(self) -> tuple[Moments, dict[str, int]]:
         """Total moments and the number of levels of each effect."""
-        row = self.rows.agg(*[F.count_distinct(f"`{f}`").alias(f"l{i}") for i, f in enumerate(self.fe)]).first()
+        # One small branch an effect: a distinct aggregate of several columns would multiply the rows.
+        counts = [self.rows.select(f"`{f}`").distinct().agg(F.lit(f).alias("f"), F.count("*").alias("levels")) for f in self.fe]
+        levels = {r["f"]: r["levels"] for r in reduce(DataFrame.union, counts).collect()}
         total = collect_moments(self.rows, self.cols)
         if total.n < self.min_rows:
             raise ValueError(f"only {total.n} complete rows, {self.min_rows} are needed")
-        return total, {f: row[f"l{i}"] for i, f in enumerate(self.fe)}
+        return total, levels
 
     @property
     def total(self) -> Moments:
@@ -78,7 +80,8 @@ class Absorption:
         mean = self.total.mean
         start = moments_frame(self.rows, self.cols, order).withColumnsRenamed(dict(zip(order, keys)))
         values = F.array(*[F.col("mean")[i] - F.lit(float(mean[i])) for i in p]).alias("values")
-        packed = pack_cells(start.select(*keys, "n", values, F.col("comoment").alias("inside")), keys[0], keys[1:], rest, len(self.cols))
+        named = {key: self.rows.select(F.col(f"`{f}`").alias(key)).distinct() for key, f in zip(keys[1:], order[1:])}
+        packed = pack_cells(start.select(*keys, "n", values, F.col("comoment").alias("inside")), keys[0], named, rest, len(self.cols))
         scale = np.sqrt(np.maximum(np.diag(self.total.comoment) / self.total.n, 1e-300))
         solved = solve_effects(packed, scale, self.tolerance)
         self.sweeps, self._added, self.dof_exact = solved.steps, solved.added, solved.exact

@@ -37,16 +37,16 @@ class PackedCells:
         return sum(self.sizes)
 
 
-def pack_cells(cells: DataFrame, first: str, others: Sequence[str], sizes: Sequence[int], columns: int) -> PackedCells:
+def pack_cells(cells: DataFrame, first: str, others: dict[str, DataFrame], sizes: Sequence[int], columns: int) -> PackedCells:
     """``cells``: ``first``, ``others…``, ``n``, ``values`` (an array of ``columns`` numbers), ``inside`` (an array, only summed).
 
-    ``sizes`` are the distinct levels of ``others``, counted by the caller and few enough to be sent to every executor.
+    ``others`` has the levels of each other effect, and ``sizes`` how many there are, counted by the caller and few enough to be sent to every executor.
     """
     offset = 0
     numbered = []
-    for i, (key, size) in enumerate(zip(others, sizes)):
+    for i, ((key, levels), size) in enumerate(zip(others.items(), sizes)):
         place = (F.row_number().over(Window.orderBy(key)) - 1 + offset).cast("int")  # one row a level, as many as counted
-        ids = cells.select(key).distinct().select(key, place.alias(f"_id{i}"))
+        ids = levels.select(key, place.alias(f"_id{i}"))
         cells = cells.join(F.broadcast(ids), key)
         numbered.append(f"_id{i}")
         offset += size
