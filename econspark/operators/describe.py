@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from econspark.functions.dist import t_ppf_col
-from econspark.plans.ranks import long_values, quantiles
+from econspark.plans.ranks import long_values, moments_and_quantiles, quantiles
 from econspark.schema import (
     CATEGORICAL_MAX_LEVELS,
     as_list,
@@ -141,6 +141,13 @@ def mean_ci(df: DataFrame, cols=None, by=None, level: float = 0.95) -> DataFrame
 
 
 def _moments_and_quantiles(df, cols, by, stats, probs, accuracy, method="auto") -> DataFrame:
+    """``stats`` and quantiles by column. Exact ones of whole columns take two reads that give all moments as well."""
+    if len(cols) > COLUMNS_PER_AGGREGATE:
+        return _union([_moments_and_quantiles(df, part, by, stats, probs, accuracy, method) for part in _chunks(cols)])
+    if not by and accuracy is None and method == "auto":
+        found = moments_and_quantiles(df, cols, probs)
+        if found is not None:
+            return found
     base = _by_column(drop_missing(df, by), cols, by, stats)
     q = quantiles(df, cols, probs, by, accuracy=accuracy, method=method).drop("n")
     return base.join(q, [*by, "variable"], "left")

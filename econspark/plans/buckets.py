@@ -52,7 +52,7 @@ def sketch(column: str, buckets: int) -> Column:
 def from_sketch(points: Sequence[float] | None) -> OrderBuckets:
     if not points:
         return OrderBuckets(())
-    return OrderBuckets((-math.inf, *sorted({float(p) for p in points}), math.inf))
+    return OrderBuckets((-math.inf, *sorted({float(p) for p in points if math.isfinite(p)}), math.inf))
 
 
 def fit_buckets(df: DataFrame, value: Column) -> OrderBuckets:

@@ -107,3 +107,58 @@ def test_spaced_order_statistics(spark, points):
 def test_spaced_order_statistics_of_one_row(spark):
     rows = ranks.spaced_order_statistics(spark.createDataFrame([(4.0,)], "v double"), "v", 9).collect()
     assert [tuple(r) for r in rows] == [(1, 4.0, 1)]
+
+
+def test_two_reads_give_moments_and_quantiles(spark):
+    rng = np.random.default_rng(6)
+    n = 60_000
+    pdf = pd.DataFrame({"a": rng.normal(1e9, 2.0, n), "b": rng.integers(0, 4, n).astype(float), "c": np.full(n, 7.25), "d": rng.lognormal(0, 3, n), "it's `q`": np.where(rng.random(n) < 0.99, 0.0, rng.normal(size=n))})
+    df = spark.createDataFrame(pdf).withColumn("none", F.lit(None).cast("double")).withColumn("holes", F.when(F.rand(3) < 0.5, F.col("a"))).cache()
+    cols, probs = [*pdf.columns, "none"], [0.0, 0.001, 0.25, 0.5, 0.7, 0.999, 1.0]
+    cols = [c for c in cols if "`" not in c] + ["holes"]
+    table = {r["variable"]: r for r in ranks.moments_and_quantiles(df, cols, probs).collect()}
+    full = df.select(*cols).toPandas()
+    for c in cols:
+        r, v = table[c], full[c].dropna().to_numpy(float)
+        assert (r["n_total"], r["n"]) == (n, len(v))
+        if not len(v):
+            assert r["q"] is None and r["mean"] is None and r["sd"] is None
+            continue
+        assert r["q"] == pytest.approx(np.quantile(v, probs).tolist(), rel=1e-12)
+        assert (r["min"], r["max"]) == (v.min(), v.max()) and r["mean"] == pytest.approx(v.mean(), rel=1e-12)
+        assert r["sd"] == pytest.approx(v.std(ddof=1), rel=1e-9, abs=1e-12)
+        if v.std():
+            z = (v - v.mean()) / v.std()
+            assert r["skew_pop"] == pytest.approx((z**3).mean(), rel=1e-6, abs=1e-6) and r["kurt_pop"] == pytest.approx((z**4).mean() - 3, rel=1e-6, abs=1e-6)
+        else:
+            assert r["skew_pop"] is None and r["kurt_pop"] is None
+    df.unpersist()
+
+
+def test_brackets_too_wide_fall_back(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "MOST_BRACKETED", 10)
+    df = spark.range(50_000).select((F.col("id") * 7919 % 50_021).cast("double").alias("v"))
+    assert ranks.moments_and_quantiles(df, ["v"], [0.5]) is None
+    values = np.sort((np.arange(50_000) * 7919 % 50_021).astype(float))
+    assert ranks.quantiles(df, "v", [0.1, 0.5]).first()["q"] == pytest.approx(np.quantile(values, [0.1, 0.5]).tolist())
+
+
+def test_quantiles_of_infinite_values(spark):
+    df = spark.createDataFrame([(float("inf"),)] * 30_000 + [(float(i),) for i in range(40_000)], "v double")
+    assert ranks.quantiles(df, "v", [0.0, 0.25, 0.9]).first()["q"][:2] == [0.0, 17_499.75]
+
+
+def test_reads_of_the_table(spark):
+    """Two reads and no more, jobs that run at once included."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(5000).select(F.col("id").cast("double").alias("v"), (F.col("id") % 7).cast("double").alias("w"))
+    df = df.mapInArrow(counted, df.schema)
+    from econspark.operators import describe
+
+    assert len(describe.detail(df).collect()) == 2 and seen.value == 2 * 5000
