@@ -28,7 +28,6 @@ SHAPE_LIMIT = 0.5
 MISSING_GOOD, MISSING_FAIR = 5.0, 20.0
 OUTLIER_REACH = 1.5
 
-DISTINCT_AT_ONCE = 4
 
 
 def _chosen(df: DataFrame, cols) -> list[str]:
@@ -362,19 +361,37 @@ def type_label(dtype: T.DataType) -> str:
     return dtype.simpleString()
 
 
+def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``variable, unique, non_null, total`` in one read and one exchange, whatever the number of columns.
+
+    A row becomes one small entry a column: its number and a digest of the value. Tasks count equal entries in a hash
+    map that spills, so only (column, digest) pairs are exchanged. The 64-bit digest of a number or date is one to one; text and long decimals
+    have 128 bits, of which two of d values are equal with a probability of about d² / 2¹²⁹.
+    """
+    entries = []
+    for i, c in enumerate(cols):
+        cell = _cell(df, c)
+        if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)):
+            cell = cell + F.lit(0.0).cast(df.schema[c].dataType)  # the two zeros are one value
+        long = isinstance(df.schema[c].dataType, (T.StringType, T.DecimalType))
+        second = F.xxhash64(F.lit(i), cell, F.lit("salt")) if long else F.lit(0).cast("long")
+        entries.append(F.struct(F.lit(i).alias("i"), F.when(cell.isNotNull(), F.xxhash64(cell)).alias("h1"), second.alias("h2")))
+    counts = df.select(F.inline(F.array(*entries))).groupBy("i", "h1", "h2").agg(F.count("*").alias("n"))
+    table = counts.groupBy("i").agg(F.count("h1").alias("unique"), F.coalesce(F.sum(F.when(F.col("h1").isNotNull(), F.col("n"))), F.lit(0)).alias("non_null"), F.sum("n").alias("total"))
+    names = F.array(*[F.lit(c) for c in cols])
+    # a table without rows has no entries, but every column has its line
+    lines = df.sparkSession.range(len(cols)).select(F.col("id").cast("int").alias("i"), F.get(names, F.col("id").cast("int")).alias("variable"))
+    zero = F.lit(0).cast("long")
+    return lines.join(F.broadcast(table), "i", "left").select("variable", *[F.coalesce(c, zero).alias(c) for c in ("unique", "non_null", "total")])
+
+
 def distinct_counts(df: DataFrame, cols: Sequence[str], approximate: bool = False) -> DataFrame:
-    """``variable, unique``. Exact counts take DISTINCT_AT_ONCE columns to a scan, each scan reading only its own: more at once
-    would multiply wide rows, fewer would grow the plan with the width of the table."""
+    """``variable, unique``, exact or from a sketch; either way one read."""
     if approximate:
         return _by_column(
             df, cols, [], lambda c: [F.approx_count_distinct(_cell(df, c), 0.02).alias("unique")]
         )
-    frames = []
-    for i in range(0, len(cols), DISTINCT_AT_ONCE):
-        some = cols[i : i + DISTINCT_AT_ONCE]
-        counts = df.agg(*[F.count_distinct(_cell(df, c)).alias(f"u{k}") for k, c in enumerate(some)])
-        frames.append(counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"u{k}").alias("unique")) for k, c in enumerate(some)]))))
-    return _union(frames)
+    return value_counts(df, cols).select("variable", "unique")
 
 
 def _cell(df: DataFrame, name: str) -> Column:
@@ -392,21 +409,22 @@ def describe(df: DataFrame, cols=None, approximate: bool = False) -> DataFrame:
     cols = as_list(cols) or df.columns
     check_columns(df, cols)
 
+    countable = [c for c in countable_columns(df) if c in cols]
+    nested = [c for c in cols if c not in countable]
+
     def stats(name: str) -> list[Column]:
         cell = _cell(df, name)
-        return [
-            F.lit(type_class(df.schema[name].dataType)).alias("type"),
-            F.lit(df.schema[name].dataType.simpleString()).alias("storage"),
-            F.count(cell).alias("non_null"),
-            (F.count(F.lit(1)) - F.count(cell)).alias("nulls"),
-        ]
+        unique = F.approx_count_distinct(cell, 0.02) if name in countable else F.lit(None).cast("long")
+        return [F.count(cell).alias("non_null"), (F.count(F.lit(1)) - F.count(cell)).alias("nulls"), unique.alias("unique")]
 
-    rows = _by_column(df, cols, [], stats)
-    countable = [c for c in countable_columns(df) if c in cols]
-    if countable:
-        rows = rows.join(distinct_counts(df, countable, approximate), "variable", "left")
-    else:
-        rows = rows.withColumn("unique", F.lit(None).cast("long"))
+    frames = []
+    if countable and not approximate:
+        frames.append(value_counts(df, countable).select("variable", "non_null", (F.col("total") - F.col("non_null")).alias("nulls"), "unique"))
+    rest = cols if approximate else nested
+    if rest:
+        frames.append(_by_column(df, rest, [], stats))
+    kinds = [F.struct(F.lit(c).alias("variable"), F.lit(type_class(df.schema[c].dataType)).alias("type"), F.lit(df.schema[c].dataType.simpleString()).alias("storage")) for c in cols]
+    rows = df.sparkSession.range(1).select(F.inline(F.array(*kinds))).join(F.broadcast(_union(frames)), "variable")  # a line a column
     total = F.col("non_null") + F.col("nulls")
     few = F.col("unique") <= CATEGORICAL_MAX_LEVELS
     return rows.select(

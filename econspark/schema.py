@@ -44,8 +44,11 @@ def categorical_columns(
         few = {c for c in open_cols if row[c] < max_levels * 0.75}
         open_cols = [c for c in open_cols if max_levels * 0.75 <= row[c] <= max_levels * 1.25]
     if open_cols:
-        row = df.agg(*[F.count_distinct(c).alias(c) for c in open_cols]).first()
-        few |= {c for c in open_cols if row[c] <= max_levels}
+        # one read and one exchange of (column, value) pairs; a distinct aggregate of many columns would multiply the rows
+        pairs = [F.struct(F.lit(i).alias("i"), F.xxhash64(F.col(f"`{c}`")).alias("h"), F.col(f"`{c}`").isNotNull().alias("known")) for i, c in enumerate(open_cols)]
+        counts = df.select(F.inline(F.array(*pairs))).where("known").select("i", "h").distinct().groupBy("i").count().collect()
+        unique = {r["i"]: r["count"] for r in counts}
+        few |= {c for i, c in enumerate(open_cols) if unique.get(i, 0) <= max_levels}
     return [c for c in df.columns if c in text or c in few]
 
 

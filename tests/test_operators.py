@@ -395,3 +395,28 @@ def test_packed_cells_keep_levels_whole(spark, monkeypatch):
         a = Absorption(spark.createDataFrame(pdf).repartition(3), "y", "x", ["a", "b"])
         assert a.fit.beta[0] == pytest.approx(beta[0], abs=1e-6)
         assert a.absorbed_parameters == _rank(pdf, ["a", "b"])
+
+
+def test_one_read_counts_every_column(spark):
+    rng = np.random.default_rng(2)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    pdf = pd.DataFrame({f"c{i}": rng.integers(0, i + 1, 300).astype(float) for i in range(500)})
+    pdf.iloc[::7, 3] = np.nan
+    pdf.iloc[:, 4] = -0.0
+    pdf.iloc[0, 4] = 0.0
+    df = spark.createDataFrame(pdf)
+    df = df.mapInArrow(counted, df.schema)
+    out = by_name(D.describe(df))
+    assert seen.value == 300
+    assert all(out[c]["unique"] == pdf[c].nunique() and out[c]["non_null"] == pdf[c].count() for c in pdf)
+    assert out["c4"]["unique"] == 1 and out["c3"]["nulls"] == 43
+    empty = by_name(D.describe(df.where("false").select("c1", "c2")))
+    assert {(r["unique"], r["non_null"], r["nulls"]) for r in empty.values()} == {(0, 0, 0)}
+    nested = D.describe(spark.createDataFrame([([1], "a"), (None, "a")], "x array<int>, s string"))
+    assert {(r["variable"], r["non_null"], r["unique"]) for r in nested.collect()} == {("x", 1, None), ("s", 2, 1)}
