@@ -55,14 +55,19 @@ def box_sql(source: str, c: str, by: str = "") -> str:
 
 BOX = dict(sig=["q1", "median", "q3", "whisker_lo", "whisker_hi"])
 
-DENSITY_SQL = """
-WITH st AS (SELECT count(*) AS n, min(c_acctbal) AS lo, max(c_acctbal) AS hi, stddev_samp(c_acctbal) * pow(count(*), -0.2) AS w FROM customer),
-b AS (SELECT least(511, floor((c_acctbal - lo) / ((hi - lo) / 512))) AS bin, count(*) AS k, avg(c_acctbal) AS c FROM customer, st GROUP BY 1),
-g AS (SELECT i::INT AS point, lo - 3 * w + i * ((hi + 3 * w) - (lo - 3 * w)) / 99 AS x FROM st, range(0, 100) AS r(i))
-SELECT point, x, (SELECT sum(k * exp(-pow((g.x - c) / w, 2) / 2) / (w * sqrt(2 * pi()))) / any_value(st.n) FROM b, st) AS density FROM g
+def density_sql(source: str, v: str) -> str:
+    """The kernel summed over all rows."""
+    return f"""
+WITH d AS (SELECT {v} AS v FROM {source}),
+st AS (SELECT count(*) AS n, min(v) AS lo, max(v) AS hi, stddev_samp(v) * pow(count(*), -0.2) AS w FROM d),
+g AS (SELECT i::INT AS point, lo - 3 * w + i * ((hi + 3 * w) - (lo - 3 * w)) / 99 AS x, w, n FROM st, range(0, 100) AS r(i))
+SELECT point, any_value(x) AS x, sum(exp(-pow((x - v) / w, 2) / 2)) / any_value(n * w * sqrt(2 * pi())) AS density FROM g, d GROUP BY point
 """
 
 
+OUTLIER = "CASE WHEN c_custkey = 1 THEN 1e6 ELSE c_acctbal END"
+
+
 def scatter_sql() -> str:
     def part(x: str) -> str:
         r = f"corr({Y}, {x})"
@@ -199,7 +204,9 @@ def entries() -> list[Entry]:
         entry("scatter_statistics", lambda s, d: L.scatter_statistics(li(s, d), Y, XS), scatter_sql(), plain=["variable", "n", "significant"],
               sig=["slope", "intercept"], prob=["r", "p_value"], digits=6),
         entry("correlation_heat_map", lambda s, d: L.heat_map(li(s, d), MEASURES), f"SELECT var2 AS var1, var1 AS var2, r FROM ({CORR_SQL})", plain=["var1", "var2"], prob=["r"], places=8),
-        entry("density_balance", lambda s, d: L.density(table(s, d, "customer"), "c_acctbal"), DENSITY_SQL, plain=["point"], sig=["x", "density"], digits=6),
+        entry("density_balance", lambda s, d: L.density(table(s, d, "customer"), "c_acctbal"), density_sql("customer", "c_acctbal"), plain=["point"], sig=["x", "density"], digits=6),
+        entry("density_outlier", lambda s, d: L.density(table(s, d, "customer").select(F.expr(OUTLIER).alias("v")), "v"), density_sql("customer", OUTLIER),
+              plain=["point"], sig=["x"], prob=["density"], digits=6, places=10),
         entry("pair_grid_points", lambda s, d: L.pair_grid(li(s, d), ["l_quantity", "l_discount", "l_tax"], ["l_orderkey", "l_linenumber", "l_partkey"], 1000)["points"],
               f"SELECT {LINE_KEY}, l_quantity, l_discount, l_tax FROM lineitem ORDER BY {LINE_DIGEST}, {LINE_KEY} LIMIT 1000", plain=["l_orderkey", "l_linenumber", "l_partkey"], sig=["l_quantity", "l_discount", "l_tax"]),
         entry("residual_points", lambda s, d: L.residual_points(table(s, d, "part"), "p_retailprice", "p_size", "p_partkey", 500), residual_points_sql(), plain=["p_partkey", "p_size"], sig=["fitted"], prob=["residual"], digits=7, places=5),

@@ -105,13 +105,25 @@ def t_sql(source: str, g: str, v: str) -> str:
 def mann_whitney_sql(source: str, g: str, v: str) -> str:
     z = "((greatest(u, na * nb - u) - na * nb / 2.0 - 0.5) / sqrt(na * nb / 12.0 * (na + nb + 1 - ties / ((na + nb) * (na + nb - 1.0)))))"
     return (
-        f"SELECT group_a, group_b, na::BIGINT AS n_a, nb::BIGINT AS n_b, u AS u_stat, {z} AS z_stat, least(1.0, 2 * {norm_sf(z)}) AS p_value FROM ("
+        f"SELECT group_a, group_b, na::BIGINT AS n_a, nb::BIGINT AS n_b, u AS u_stat, {z} AS z_stat, least(na, nb) <= 8 AND ties = 0 AS exact, least(1.0, 2 * {norm_sf(z)}) AS p_value FROM ("
         f"SELECT min(g) AS group_a, max(g) AS group_b, (count(*) FILTER (g = lo))::DOUBLE AS na, (count(*) FILTER (g = hi))::DOUBLE AS nb, "
         f"sum(r) FILTER (g = lo) - count(*) FILTER (g = lo) * (count(*) FILTER (g = lo) + 1) / 2.0 AS u, sum(pow(t, 2) - 1.0) AS ties "
         f"FROM {ranked(source, g, v)}, (SELECT min({g}) AS lo, max({g}) AS hi FROM {source}))"
     )
 
 
+#: The first seven suppliers against all others, without ties.
+FEW_SUPPLIERS = "(SELECT CASE WHEN s_suppkey <= 7 THEN 'first' ELSE 'other' END AS part, CAST(s_acctbal AS DOUBLE) + s_suppkey / 1e7 AS balance FROM supplier)"
+#: U is the sum of seven whole numbers from 0 to the size of the larger group, in any order: how many ways there are for each sum,
+#: by the value of the number added next.
+EXACT_SQL = f"""WITH RECURSIVE t AS (SELECT * EXCLUDE (p_value) FROM ({mann_whitney_sql(FEW_SUPPLIERS, 'part', 'balance')})),
+size AS (SELECT least(n_a, n_b) AS a, greatest(n_a, n_b) AS b, CAST(n_a * n_b - greatest(u_stat, n_a * n_b - u_stat) AS BIGINT) AS low FROM t),
+ways AS (
+  SELECT CAST(0 AS BIGINT) AS v, CAST(m AS BIGINT) AS used, CAST(0 AS BIGINT) AS total, CAST(1 AS HUGEINT) AS k FROM size, range(0, a + 1) AS r(m)
+  UNION ALL
+  SELECT v + 1, used + m, total + m * (v + 1), CAST(sum(k) AS HUGEINT) FROM ways, size, range(0, a - used + 1) AS r(m) WHERE v < b GROUP BY 1, 2, 3)
+SELECT t.*, least(1.0, (SELECT 2.0 * sum(k) FILTER (total <= low) / sum(k) FROM ways, size WHERE v = b AND used = a)) AS p_value FROM t"""
+
 PAIRS = [(a, b) for i, a in enumerate(MEASURES) for b in MEASURES[i + 1 :]]
 MARK = "CASE WHEN abs(r) >= 0.7 THEN '***' WHEN abs(r) >= 0.5 THEN '**' WHEN abs(r) >= 0.3 THEN '*' ELSE '' END"
 CORR_SQL = " UNION ALL ".join(
@@ -123,6 +135,11 @@ MATRIX_SQL = (
 )
 
 
+def few_suppliers(s: SparkSession, d: str) -> DataFrame:
+    part, balance = F.when(F.col("s_suppkey") <= 7, "first").otherwise("other"), F.col("s_acctbal").cast("double") + F.col("s_suppkey") / 1e7
+    return table(s, d, "supplier").select(part.alias("part"), balance.alias("balance"))
+
+
 def holed_lines(s: SparkSession, d: str) -> DataFrame:
     return li(s, d).select(
         "l_extendedprice", "l_quantity", F.when(F.col("l_linenumber") != 3, F.col("l_linenumber")).alias("line"), "l_tax"
@@ -280,7 +297,9 @@ def entries() -> list[Entry]:
         entry("t_test_status", lambda s, d: GT.t_test(li(s, d), "l_linestatus", "l_extendedprice"), t_sql("lineitem", "l_linestatus", "l_extendedprice"),
               plain=["group_a", "group_b", "n_a", "n_b", "df"], sig=["t_stat", "cohens_d"], prob=["p_value"], digits=7),
         entry("mann_whitney_status", lambda s, d: GT.mann_whitney(li(s, d), "l_linestatus", "l_quantity"), mann_whitney_sql("lineitem", "l_linestatus", "l_quantity"),
-              plain=["group_a", "group_b", "n_a", "n_b"], sig=["u_stat", "z_stat"], prob=["p_value"], digits=7),
+              plain=["group_a", "group_b", "n_a", "n_b", "exact"], sig=["u_stat", "z_stat"], prob=["p_value"], digits=7),
+        entry("mann_whitney_exact", lambda s, d: GT.mann_whitney(few_suppliers(s, d), "part", "balance"), EXACT_SQL,
+              plain=["group_a", "group_b", "n_a", "n_b", "exact"], sig=["u_stat", "z_stat"], prob=["p_value"], digits=6),
         entry(
             "comparison_tests", lambda s, d: GT.comparison_tests(orders(s, d), "o_orderstatus", "o_totalprice"),
             f"SELECT 'One-way ANOVA' AS test, f_stat AS statistic, p_value, eta_squared AS effect_size FROM ({anova_sql('orders', 'o_orderstatus', 'o_totalprice')}) UNION ALL "

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from econspark.functions.dist import chi2_sf_col, f_sf_col, norm_sf_col, t_two_sided_col
+from econspark.functions.dist import chi2_sf_col, f_sf_col, mann_whitney_exact_col, norm_sf_col, t_two_sided_col
 from econspark.plans.ranks import mid_ranks
 from econspark.schema import drop_missing, number
 
+EXACT_ROWS = 8  # a group up to this size is tested by the exact distribution of U
+
 
 def group_moments(df: DataFrame, group: str, var: str) -> DataFrame:
     """``group, n, mean, m2`` per group, m2 = Σ(x−x̄)²."""
@@ -107,7 +109,7 @@ def t_test(df: DataFrame, group: str, var: str) -> DataFrame:
 def mann_whitney(df: DataFrame, group: str, var: str) -> DataFrame:
     """U of the first group, z with tie and continuity correction, two-sided p.
 
-    Always the normal approximation, also for small samples without ties.
+    The exact distribution of U where a group has at most EXACT_ROWS rows and no two values tie (``exact``), else the normal approximation.
     """
     ranks = mid_ranks(df, var, group)
     per_group = ranks.groupBy("group").agg(
@@ -131,8 +133,11 @@ def mann_whitney(df: DataFrame, group: str, var: str) -> DataFrame:
         F.col("b.n").alias("n_b"),
         u.alias("u_stat"),
         ((larger - na * nb / 2 - 0.5) / spread).alias("z_stat"),
+        ((F.least(na, nb) <= EXACT_ROWS) & (F.col("tie_sum") == 0)).alias("exact"),
     )
-    return out.withColumn("p_value", F.least(F.lit(1.0), 2 * norm_sf_col(F.col("z_stat"))))
+    some = lambda c: F.when(F.col("exact"), F.col(c).cast("double"))
+    exact = mann_whitney_exact_col(some("u_stat"), some("n_a"), some("n_b"))
+    return out.withColumn("p_value", F.coalesce(exact, F.least(F.lit(1.0), 2 * norm_sf_col(F.col("z_stat")))))
 
 
 def comparison_tests(df: DataFrame, group: str, var: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from econspark.functions.dist import chi2_sf, f_sf, f_sf_col, t_two_sided, t_two_sided_col
 from econspark.operators.normality import jarque_bera, shapiro_wilk
 from econspark.plans.moments import Moments, MomentSource
-from econspark.plans.ranks import quantiles, successive_changes
+from econspark.plans.ranks import moments_and_quantiles, quantiles, successive_changes
 from econspark.plans.solver import COEFFICIENT_SCHEMA, Fit, ols, solve_cross
 from econspark.schema import as_list, complete_cases, drop_missing, number
 
@@ -440,7 +440,7 @@ def error_metrics(df: DataFrame, y: str, fitted: str, by=None) -> DataFrame:
         (100 * F.avg(F.when(F.col("pct").isNotNull(), (F.col("pct") <= p).cast("int")))).alias(f"hit_rate_{p}")
         for p in HIT_PERCENTS
     ]
-    main = rows.groupBy(*keys).agg(
+    figures = [
         F.count("*").alias("n"),
         F.avg(F.col("abs_error") * F.col("abs_error")).alias("mse"),
         F.sqrt(F.avg(F.col("abs_error") * F.col("abs_error"))).alias("rmse"),
@@ -448,7 +448,13 @@ def error_metrics(df: DataFrame, y: str, fitted: str, by=None) -> DataFrame:
         F.avg("pct").alias("mape_pct"),
         F.max("abs_error").alias("max_error"),
         *hits,
-    )
+    ]
+    if not by and (found := moments_and_quantiles(rows, ["abs_error"], [0.5], figures)) is not None:
+        row, table = found
+        names = rows.agg(*figures).schema
+        main = df.sparkSession.createDataFrame([tuple(row[f.name] for f in names)], names)
+        return main.withColumn("median_abs_error", table.select(F.col("q")[0]).scalar())
+    main = rows.groupBy(*keys).agg(*figures)
     middle = quantiles(rows, "abs_error", [0.5], by).select(*keys, F.col("q")[0].alias("median_abs_error"))
     if by:
         return main.join(middle, by)

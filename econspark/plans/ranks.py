@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from econspark.plans.buckets import OrderBuckets, bucket_count, fit_buckets, from_sketch, ordered_parts, part_offsets, sketch
 from econspark.schema import as_list, check_columns, drop_missing, number
@@ -109,22 +109,23 @@ def quantiles(
     return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
 
 
-def moments_and_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame | None:
+def moments_and_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], extras: Sequence[Column] = ()):
     """Moments and exact quantiles of whole columns in two reads: ``variable, n_total, n, mean, sd, min, max, skew_pop, kurt_pop, q``.
 
     The first read runs at once and gives each column a mergeable sketch (KLL). A bracket of two values, some ten standard errors of the sketch to
     either side, is put around every wanted order statistic. The second read adds up rows between the brackets, and by value rows
     within them, a few of a thousand; counts tell the ranks. Powers of the distance from the sketched median, which is within one standard deviation
     of the mean, ride along and give the moments. None where the brackets would hold too many rows for one sort.
+    With ``extras``, any aggregates of ``df``, the result is their row, from the first read, and the table.
     """
     names = [f"_v{i}" for i in range(len(cols))]
     k = MOST_SKETCH if len(cols) <= 8 else LEAST_SKETCH
     reach = 4 * 2.446 / k**0.9433  # four times the error that 99 of 100 sketches keep
     points = [0.5, *[x for p in probs for x in (max(0.0, p - reach), min(1.0, p + reach))]]
     at = ", ".join(f"{x!r}D" for x in points)
-    taken = df.select(*[number(df, c).alias(v) for c, v in zip(cols, names)])
+    taken = df.select("*" if extras else F.lit(0).alias("_"), *[number(df, c).alias(v) for c, v in zip(cols, names)])
     sketches = [F.expr(f"CASE WHEN count({v}) > 0 THEN kll_sketch_get_quantile_double(kll_sketch_agg_double({v}, {k}), array({at})) END").alias(f"p{v}") for v in names]
-    first = taken.agg(*[F.count(v).alias(f"n{v}") for v in names], *sketches).first()
+    first = taken.agg(*extras, *[F.count(v).alias(f"n{v}") for v in names], *sketches).first()
     if max(first[f"n{v}"] for v in names) * 2 * reach * len(probs) > MOST_BRACKETED:
         return None
 
@@ -175,11 +176,12 @@ def moments_and_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[fl
     table = table.selectExpr("*", "s1 / n AS m1", f"{middle} AS middle" if "WHEN" in middle else "0D AS middle")
     table = table.selectExpr("*", "greatest(s2 - n * m1 * m1, 0D) AS m2", "s3 - 3 * m1 * s2 + 2 * n * m1 * m1 * m1 AS m3", "s4 - 4 * m1 * s3 + 6 * m1 * m1 * s2 - 3 * n * m1 * m1 * m1 * m1 AS m4")
     named = "CASE i " + " ".join(f"WHEN {i} THEN {_text(c)}" for i, c in enumerate(cols)) + " END"
-    return table.selectExpr(
+    table = table.selectExpr(
         f"{named} AS variable", "n_total", "n", "middle + m1 AS mean", "CASE WHEN n > 1 THEN sqrt(m2 / (n - 1)) END AS sd", "min", "max",
         "CASE WHEN m2 > 0 THEN sqrt(CAST(n AS DOUBLE)) * m3 / (m2 * sqrt(m2)) END AS skew_pop", "CASE WHEN m2 > 0 THEN n * m4 / (m2 * m2) - 3 END AS kurt_pop",
         f"CASE WHEN n > 0 THEN array({q}) END AS q",
     )
+    return (first, table) if extras else table
 
 
 def _text(name: str) -> str:

@@ -420,3 +420,16 @@ def test_one_read_counts_every_column(spark):
     assert {(r["unique"], r["non_null"], r["nulls"]) for r in empty.values()} == {(0, 0, 0)}
     nested = D.describe(spark.createDataFrame([([1], "a"), (None, "a")], "x array<int>, s string"))
     assert {(r["variable"], r["non_null"], r["unique"]) for r in nested.collect()} == {("x", 1, None), ("s", 2, 1)}
+
+
+def test_density_is_the_kernel_sum(spark):
+    from econspark.operators.plotdata import density
+
+    rng = np.random.default_rng(8)
+    for values in (np.append(rng.normal(size=3000), 1e4), np.concatenate([rng.normal(0, 1e-3, 2000), rng.normal(50, 1e-3, 2000)]), rng.lognormal(0, 2, 5000), np.array([1.0, 1.0, 2.0])):
+        got = sorted(density(spark.createDataFrame([(float(v),) for v in values], "v double"), "v").collect())
+        width = values.std(ddof=1) * len(values) ** -0.2
+        x = np.linspace(values.min() - 3 * width, values.max() + 3 * width, 100)
+        want = np.exp(-(((x[:, None] - values) / width) ** 2) / 2).sum(axis=1) / (len(values) * width * np.sqrt(2 * np.pi))
+        assert np.allclose([r["x"] for r in got], x) and np.allclose([r["density"] for r in got], want, rtol=1e-6, atol=1e-12 * want.max())
+    assert density(spark.createDataFrame([(1.0,)], "v double"), "v").count() == 0
