@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from econspark.functions.dist import t_two_sided, t_two_sided_col
 from econspark.operators.describe import COLUMNS_PER_AGGREGATE
 from econspark.plans.moments import Moments, MomentSource
+from econspark.plans.pairwise import pairwise_correlations
 from econspark.plans.solver import solve_cross
 from econspark.schema import as_list, check_columns, complete_cases, drop_missing, number, numeric_columns
 
@@ -56,7 +57,10 @@ def correlation_pairs(df: DataFrame, cols=None, by=None) -> DataFrame:
     if len(cols) < 2:
         raise ValueError("at least two numeric columns are needed")
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    out = _pair_rows(drop_missing(df, by), pairs, by)
+    if not by and len(pairs) > COLUMNS_PER_AGGREGATE:  # one aggregate does not hold them: products of matrices, still one read
+        out = pairwise_correlations(df, cols)
+    else:
+        out = _pair_rows(drop_missing(df, by), pairs, by)
     return out.withColumn("strength", strength_mark(F.col("r")))
 
 

@@ -16,7 +16,7 @@ from econspark.session import cut_lineage
 
 BUILTIN_PAIRS = 15  # beyond, sums of products around a known shift are faster than covar_pop's four buffers per pair
 CODEGEN_COLUMNS = 8  # up to here sums of products stay inside one compiled aggregate
-MERGE_GROUPS = 64  # partial matrices are merged in this many groups before the last merge
+MERGE_SLOTS = (64, 8, 1)  # tasks that merge partial matrices, level by level
 
 
 @dataclass(frozen=True)
@@ -116,29 +116,29 @@ def collect_moments(df: DataFrame, cols: Sequence[str]) -> Moments:
         built_in = len(_pairs(cols)) <= BUILTIN_PAIRS
         m = around(dict.fromkeys(cols, 0.0))
         return m if built_in or well_centred(m) else around(dict(zip(cols, m.mean.tolist())))
-    schema = "slot int, n long, mean array<double>, comoment array<double>"
-    partial = df.select(*[f"`{c}`" for c in cols]).mapInArrow(_partial_moments(cols), schema)
-    merged = partial.groupBy("slot").applyInPandas(_merge_rows(cols), schema)
-    parts = [unpack(cols, r["n"], r["mean"], r["comoment"]) for r in merged.collect()]
     p = len(cols)
+    schema = "slot int, n long, mean binary, comoment binary"
+    merged = df.select(*[f"`{c}`" for c in cols]).mapInArrow(_partial_moments(cols), schema)
+    for slots in MERGE_SLOTS:  # a tree of merges inside tasks; the driver gets one matrix
+        merged = merged.withColumn("slot", F.col("slot") % slots).repartition(slots, "slot").mapInArrow(_merge_rows(cols), schema)
+    parts = [_moments_of(cols, r) for r in merged.collect()]
     return merge(parts) or Moments(tuple(cols), 0, np.zeros(p), np.zeros((p, p)))
 
 
 def _record(slot: int, m: Moments) -> dict:
     upper = m.comoment[np.triu_indices(len(m.cols))]
-    return {"slot": slot, "n": m.n, "mean": m.mean.tolist(), "comoment": upper.tolist()}
+    return {"slot": slot, "n": m.n, "mean": m.mean.tobytes(), "comoment": upper.tobytes()}
 
 
-def _partial_moments(cols: list[str]) -> Callable:
-    layout = pa.schema(
-        [
-            ("slot", pa.int32()),
-            ("n", pa.int64()),
-            ("mean", pa.list_(pa.float64())),
-            ("comoment", pa.list_(pa.float64())),
-        ]
-    )
+def _moments_of(cols: Sequence[str], row) -> Moments:
+    return unpack(cols, row["n"], np.frombuffer(row["mean"]), np.frombuffer(row["comoment"]))
+
+
+def _layout() -> pa.Schema:
+    return pa.schema([("slot", pa.int32()), ("n", pa.int64()), ("mean", pa.binary()), ("comoment", pa.binary())])
 
+
+def _partial_moments(cols: list[str]) -> Callable:
     def run(batches):
         def parts():
             for batch in batches:
@@ -150,16 +150,23 @@ def _partial_moments(cols: list[str]) -> Callable:
 
         total = merge(parts())
         if total is not None:
-            slot = TaskContext.get().partitionId() % MERGE_GROUPS
-            yield pa.RecordBatch.from_pylist([_record(slot, total)], schema=layout)
+            yield pa.RecordBatch.from_pylist([_record(TaskContext.get().partitionId(), total)], schema=_layout())
 
     return run
 
 
 def _merge_rows(cols: list[str]) -> Callable:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = merge(unpack(cols, r.n, r.mean, r.comoment) for r in pdf.itertuples())
-        return pd.DataFrame([_record(int(pdf["slot"].iloc[0]), total)])
+    """Merges what a task gets, one matrix at a time."""
+
+    def run(batches):
+        held: dict[int, Moments] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                m = _moments_of(cols, row)
+                held[row["slot"]] = merge([held[row["slot"]], m]) if row["slot"] in held else m
+        for slot, m in held.items():
+            yield pa.RecordBatch.from_pylist([_record(slot, m)], schema=_layout())
 
     return run
 

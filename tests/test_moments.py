@@ -79,3 +79,46 @@ def test_regression_by_group_far_from_zero(spark):
         rows = Regression(df, "y", cols, by="g").coefficients().filter(F.col("g") == group).collect()
         got = {r["variable"]: r["coefficient"] for r in rows}
         assert [got[c] for c in cols] == pytest.approx(range(1, 7), abs=2e-3)
+
+
+def test_a_thousand_columns_meet_in_tasks(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 1000)) + 1e3
+    cols = [f"c{i}" for i in range(1000)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=cols)).repartition(7)
+    m = collect_moments(df, cols)
+    d = x - x.mean(axis=0)
+    assert m.n == 400 and np.abs(m.comoment - d.T @ d).max() < 1e-6
+    empty = collect_moments(df.where("false"), cols)
+    assert empty.n == 0
+
+
+def test_pairwise_correlations_of_wide_tables(spark):
+    from econspark.operators.corr import correlation_pairs
+
+    rng = np.random.default_rng(12)
+    p = 75
+    x = rng.normal(size=(600, p)) @ (np.eye(p) + 0.3 * rng.normal(size=(p, p))) + 1e6 * (np.arange(p) % 3)
+    pdf = pd.DataFrame(x, columns=[f"c{i}" for i in range(p)])
+    pdf = pdf.mask(rng.random(pdf.shape) < 0.3)
+    pdf["c5"], pdf["c6"] = 0.1, np.nan
+    pdf.loc[1:, "c7"] = np.nan
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(pdf).repartition(5)
+    df = df.mapInArrow(counted, df.schema)
+    got = {(r["var1"], r["var2"]): r for r in correlation_pairs(df).collect()}
+    assert len(got) == p * (p - 1) // 2 and seen.value == 600
+    want = pdf.corr(min_periods=2)
+    for (a, b), r in got.items():
+        both = pdf[a].notna() & pdf[b].notna()
+        assert r["n"] == both.sum()
+        if {a, b} & {"c5", "c6", "c7"}:
+            assert r["r"] is None
+        else:
+            assert r["r"] == pytest.approx(want.loc[a, b], abs=1e-7)
