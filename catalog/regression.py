@@ -365,6 +365,16 @@ def events_x(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events").withColumn("x", (F.col("event_id") % 17).cast("double"))
 
 
+def near_lines(s: SparkSession, d: str) -> DataFrame:
+    """Two regressors that differ in one part of a million, the price in cents."""
+    return li(s, d).select((F.col("l_extendedprice") * 100).alias("y"), F.col("l_quantity").alias("a"), (F.col("l_quantity") * 20_000 + F.col("l_linenumber")).cast("double").alias("b"))
+
+
+#: The same plane through quantity and line number, which are not collinear, in the other coordinates.
+NEAR_SQL = f"""WITH {ols_sql("SELECT l_extendedprice * 100 AS y, l_quantity AS q, l_linenumber AS l FROM lineitem", "y", ["q", "l"], prefix="o")}
+SELECT '_cons' AS variable, b_0 AS coefficient, FALSE AS omitted FROM o UNION ALL SELECT 'a', b_1 - 20000 * b_2, FALSE FROM o UNION ALL SELECT 'b', b_2, FALSE FROM o"""
+
+
 def entries() -> list[Entry]:
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
     first_ctes, first_fit = with_fit(f"SELECT l_orderkey, l_linenumber, l_partkey, {Y}, {', '.join(XS)} FROM lineitem", Y, XS)
@@ -372,6 +382,8 @@ def entries() -> list[Entry]:
     by = ["l_returnflag"]
     by_rows = f"SELECT l_returnflag, {Y}, {', '.join(X2)} FROM lineitem"
     return [
+        entry("regress_nearly_collinear", lambda s, d: Regression(near_lines(s, d), "y", ["a", "b"]).coefficients().select("variable", "coefficient", "omitted"), NEAR_SQL,
+              plain=["variable", "omitted"], sig=["coefficient"], digits=5),
         entry("regress_coefficients", lambda s, d: reg(s, d).coefficients(), f"WITH {ols_sql(LINES, Y, XS)} {coefficient_union(XS)}", **COEF),
         entry("regress_summary", lambda s, d: reg(s, d).summary(), summary_sql(LINES, Y, XS), **SUMMARY),
         entry(

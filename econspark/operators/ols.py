@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import replace
 from functools import cached_property
 
 import numpy as np
@@ -16,9 +17,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from econspark.functions.dist import chi2_sf, f_sf, f_sf_col, t_two_sided, t_two_sided_col
 from econspark.operators.normality import jarque_bera, shapiro_wilk
-from econspark.plans.moments import Moments, MomentSource
+from econspark.plans.moments import Moments, MomentSource, collect_factor
 from econspark.plans.ranks import moments_and_quantiles, quantiles, successive_changes
-from econspark.plans.solver import COEFFICIENT_SCHEMA, Fit, ols, solve_cross
+from econspark.plans.solver import COEFFICIENT_SCHEMA, Fit, nearly_collinear, ols, solve_cross
 from econspark.schema import as_list, complete_cases, drop_missing, number
 
 # Fixed limits of the reports.
@@ -32,6 +33,20 @@ SUMMARY_SCHEMA = (
 )
 
 
+class FactoredSource(MomentSource):
+    """Moments of a regression. Where its regressors are nearly collinear, one more pass takes the factor of the columns, so that
+    estimates keep their digits and a regressor is left out only if nothing of it remains."""
+
+    regressors: list[str]
+
+    @cached_property
+    def moments(self):
+        m = MomentSource.moments.func(self)
+        if m.n > len(self.cols) and nearly_collinear(m, self.regressors):
+            m = replace(m, factor=collect_factor(self.df, m))
+        return m
+
+
 class Regression:
     """y on xs over the complete cases of ``df``, for the whole table or per group of ``by``."""
 
@@ -44,7 +59,8 @@ class Regression:
         self.const, self.min_rows = const, min_rows
         self.keep = as_list(keep)
         self.rows = complete_cases(df, [y, *self.xs], self.by, self.keep)
-        self.source = MomentSource(self.rows, [y, *self.xs], self.by)
+        self.source = FactoredSource(self.rows, [y, *self.xs], self.by)
+        self.source.regressors = self.xs
 
     # --- fits --------------------------------------------------------------------------------
 

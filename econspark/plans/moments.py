@@ -21,12 +21,17 @@ MERGE_SLOTS = (64, 8, 1)  # tasks that merge partial matrices, level by level
 
 @dataclass(frozen=True)
 class Moments:
-    """n, means and co-moments Σ(v−v̄)(w−w̄) of the named columns."""
+    """n, means and co-moments Σ(v−v̄)(w−w̄) of the named columns.
+
+    ``factor``, where it was taken, is a triangle R of the centred columns themselves: R'R are the co-moments, but R keeps the digits
+    that squaring loses in nearly collinear columns.
+    """
 
     cols: tuple[str, ...]
     n: int
     mean: np.ndarray
     comoment: np.ndarray
+    factor: np.ndarray | None = None
 
     def at(self, names: Sequence[str]) -> list[int]:
         return [self.cols.index(c) for c in names]
@@ -171,6 +176,41 @@ def _merge_rows(cols: list[str]) -> Callable:
     return run
 
 
+def collect_factor(df: DataFrame, m: Moments) -> np.ndarray:
+    """Triangle of the columns of ``m`` less their means, by tall-skinny QR: each batch is factored, then stacks of triangles, in a tree of
+    tasks. The leading column of ones takes what rounding left of the means."""
+    cols, mean, p = list(m.cols), m.mean, len(m.cols)
+    schema = "slot int, triangle binary"
+
+    def emit(slot: int, triangle: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([np.ascontiguousarray(triangle).tobytes()], pa.binary())], ["slot", "triangle"])
+
+    def local(batches):
+        held = np.zeros((0, p + 1))
+        for batch in batches:
+            if batch.num_rows:
+                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - mean
+                held = np.linalg.qr(np.vstack([held, np.column_stack([np.ones(len(x)), x])]), mode="r")
+        if len(held):
+            yield emit(TaskContext.get().partitionId(), held)
+
+    def joined(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for slot, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                new = np.frombuffer(data).reshape(-1, p + 1)
+                held[slot] = np.linalg.qr(np.vstack([held[slot], new]), mode="r") if slot in held else new
+        for slot, triangle in held.items():
+            yield emit(slot, triangle)
+
+    triangles = df.select(*[f"`{c}`" for c in cols]).mapInArrow(local, schema)
+    for slots in MERGE_SLOTS:
+        triangles = triangles.withColumn("slot", F.col("slot") % slots).repartition(slots, "slot").mapInArrow(joined, schema)
+    found = [np.frombuffer(r["triangle"]).reshape(-1, p + 1) for r in triangles.collect()]
+    whole = np.vstack([*found, np.zeros((p + 1, p + 1))])
+    return np.linalg.qr(whole, mode="r")[1:, 1:]
+
+
 class MomentSource:
     """Moments of a table, ungrouped (taken once, then kept) or per group (a lazy DataFrame).
 

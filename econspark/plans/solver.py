@@ -11,6 +11,8 @@ from econspark.functions.dist import f_sf, t_ppf, t_two_sided
 from econspark.plans.moments import Moments
 
 COLLINEAR_TOLERANCE = 1e-9
+NEAR = 1e-7  # below, cross-products have lost too many digits and the columns themselves are factored
+FACTOR_TOLERANCE = 1e-11  # what a column must keep of its length
 CONST = "_cons"
 
 
@@ -183,9 +185,55 @@ def solve_cross(
     return inverse @ xy, inverse, [j not in kept for j in range(k)]
 
 
+def nearly_collinear(m: Moments, xs: Sequence[str]) -> bool:
+    """Does some column keep less than NEAR of its variation once the earlier ones are taken out?"""
+    xi = m.at(xs)
+    cross = m.comoment[np.ix_(xi, xi)]
+    diag = np.diag(cross)
+    live = [i for i in range(len(xi)) if diag[i] > abs(m.raw[xi[i], xi[i]]) * 1e-20]
+    if len(live) < 2:
+        return False
+    unit = cross[np.ix_(live, live)] / np.sqrt(np.outer(diag[live], diag[live]))
+    values = np.linalg.eigvalsh(unit)
+    return bool(values[0] < NEAR * values[-1])
+
+
+def solve_factor(design: np.ndarray, target: np.ndarray, noise: float) -> tuple[np.ndarray, np.ndarray, list[bool], float]:
+    """Least squares on a triangle's columns, in their order, without squaring them: (b, inverse of the cross-products, omitted, ssr).
+
+    ``noise`` is what rounding of the data leaves of a column's length."""
+    k, size = design.shape[1], np.linalg.norm(design, axis=0)
+    kept, basis = [], np.zeros((len(design), 0))
+    for j in range(k):
+        left = design[:, j].copy()
+        for _ in range(2):  # once more for what rounding brought back
+            left -= basis @ (basis.T @ left)
+        norm = np.linalg.norm(left)
+        if norm > max(FACTOR_TOLERANCE, noise) * size[j]:
+            basis = np.column_stack([basis, left / norm])
+            kept.append(j)
+    b, inverse = np.zeros(k), np.zeros((k, k))
+    if kept:
+        triangle = basis.T @ (design[:, kept] / size[kept])
+        back = np.linalg.solve(triangle, np.eye(len(kept))) / size[kept][:, None]
+        b[kept] = back @ (basis.T @ target)
+        inverse[np.ix_(kept, kept)] = back @ back.T
+    left = target - basis @ (basis.T @ target)
+    left -= basis @ (basis.T @ left)
+    return b, inverse, [j not in kept for j in range(k)], float(left @ left)
+
+
 def ols(m: Moments, y: str, xs: Sequence[str], const: bool = True) -> Fit:
     xs = list(xs)
     yi, xi = m.cols.index(y), m.at(xs)
+    if m.factor is not None:
+        factor = m.factor if const else np.vstack([m.factor, np.sqrt(m.n) * m.mean])
+        length = np.linalg.norm(factor[:, xi], axis=0)
+        noise = 64 * np.finfo(float).eps * np.sqrt(m.n) * max((abs(m.mean[i]) / x for i, x in zip(xi, length) if x > 0), default=0.0)
+        beta, inverse, omitted, ssr = solve_factor(factor[:, xi], factor[:, yi], noise)
+        tss, x_mean = float(factor[:, yi] @ factor[:, yi]), m.mean[xi]
+        level = float(m.mean[yi] - beta @ x_mean) if const else 0.0
+        return Fit(y, xs, const, m.n, beta, level, inverse, omitted, x_mean, ssr if ssr > 1e-26 * tss else 0.0, tss)
     cross = m.comoment if const else m.raw
     spread = np.abs(np.diag(m.raw))[xi] * 1e-20
     beta, inverse, omitted = solve_cross(cross[np.ix_(xi, xi)], cross[xi, yi], spread)

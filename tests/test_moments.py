@@ -122,3 +122,36 @@ def test_pairwise_correlations_of_wide_tables(spark):
             assert r["r"] is None
         else:
             assert r["r"] == pytest.approx(want.loc[a, b], abs=1e-7)
+
+
+def test_nearly_collinear_columns_keep_their_digits(spark):
+    """Gram matrices see one column; the columns themselves tell two apart."""
+    from fractions import Fraction
+
+    rng = np.random.default_rng(7)
+    n = 400
+    a = rng.integers(0, 50, n)
+    noise = rng.integers(0, 7, n)
+    b = a * 1_000_000 + noise
+    y = 3 * a - 2 * noise + rng.integers(0, 100, n)
+    df = spark.createDataFrame(pd.DataFrame({"y": y.astype(float), "a": a.astype(float), "b": b.astype(float), "c": (2 * a + b).astype(float)})).repartition(5)
+    ones = [Fraction(1)] * n
+    cols = [ones, [Fraction(int(v)) for v in a], [Fraction(int(v)) for v in b]]
+    gram = [[sum(u * v for u, v in zip(p, q)) for q in cols] + [sum(u * int(t) for u, t in zip(p, y))] for p in cols]
+    for i in range(3):  # exact elimination
+        gram[i] = [v / gram[i][i] for v in gram[i]]
+        for k in range(3):
+            if k != i:
+                gram[k] = [v - gram[k][i] * w for v, w in zip(gram[k], gram[i])]
+    want = [float(gram[i][3]) for i in range(3)]
+    got = {r["variable"]: r for r in Regression(df, "y", ["a", "b"]).coefficients().collect()}
+    assert [got[v]["coefficient"] for v in ("_cons", "a", "b")] == pytest.approx(want, rel=1e-6)
+    design = np.column_stack([np.ones(n), a, noise])
+    beta, ssr, *_ = np.linalg.lstsq(design, y, rcond=None)
+    se = np.sqrt(np.linalg.inv(design.T @ design)[2, 2] * ssr[0] / (n - 3))
+    assert got["b"]["std_error"] == pytest.approx(se, rel=1e-6)
+    three = {r["variable"]: r for r in Regression(df, "y", ["a", "b", "c"]).coefficients().collect()}
+    assert three["c"]["omitted"] and three["b"]["coefficient"] == pytest.approx(want[2], rel=1e-6)
+    raw = {r["variable"]: r["coefficient"] for r in Regression(df, "y", ["a", "b"], const=False).coefficients().collect()}
+    beta, *_ = np.linalg.lstsq(np.column_stack([a, noise]), y, rcond=None)
+    assert raw["b"] == pytest.approx(beta[1], rel=1e-6)
