@@ -10,7 +10,7 @@ from catalog.sqlgen import Entry, entry, sample_key, shapiro_sql, t_crit_95, tab
 from econspark.operators import describe as D, normality, rows as R, tables as TB
 from econspark.session import ensure_checkpoint_dir
 from econspark.sources.readers import parse_numbers, read_csv, read_text_csv
-from econspark.sources.writers import save_results
+from econspark.sources.writers import read_report, save_report, save_results
 
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 LINE_COLUMNS = [
@@ -67,9 +67,22 @@ def csv_round_trip(spark: SparkSession, d: str, text: bool) -> DataFrame:
     return D.summarize(back)
 
 
+def report_round_trip(spark: SparkSession, d: str, format: str) -> DataFrame:
+    """Part and the sizes of its brands as one report in the shared folder, both tables read back."""
+    folder = f"{ensure_checkpoint_dir(spark)}/report-{uuid.uuid4().hex}"
+    part = table(spark, d, "part")
+    save_report({"Part list": part, "Brands": part.groupBy("p_brand").count()}, folder, format)
+    back = read_report(spark, folder)
+    return D.summarize(back["Part list"]).unionByName(D.summarize(back["Brands"].withColumnRenamed("p_brand", "brand")))
+
+
 SUMMARY_SQL = "SELECT '{c}' AS variable, count({c}) AS n, avg({c}) AS mean, stddev_samp({c}) AS sd, min({c}) AS min, max({c}) AS max FROM "
 TEXT_SQL = "SELECT '{c}' AS variable, count({c}) AS n, NULL AS mean, NULL AS sd, NULL AS min, NULL AS max FROM "
 STATS = ["mean", "sd", "min", "max"]
+BRANDS = "(SELECT p_brand AS brand, count(*) AS count FROM part GROUP BY p_brand)"
+REPORT_SUMMARY = (
+    f"{union(PART_NUMBERS, SUMMARY_SQL + 'part')} UNION ALL {union(PART_TEXT, TEXT_SQL + 'part')} UNION ALL {union(['count'], SUMMARY_SQL + BRANDS)} UNION ALL {union(['brand'], TEXT_SQL + BRANDS)}"
+)
 PART_SUMMARY = f"{union(PART_NUMBERS, SUMMARY_SQL + 'part')} UNION ALL {union(PART_TEXT, TEXT_SQL + 'part')}"
 
 TABSTAT_SQL = (
@@ -252,6 +265,7 @@ def entries() -> list[Entry]:
             "SELECT 'size', count(*), avg(p_size), stddev_samp(p_size), min(p_size), max(p_size) FROM part WHERE p_partkey % 4 <> 0",
             plain=["variable", "n"], sig=STATS,
         ),
+        *[entry(f"report_{f}", lambda s, d, f=f: report_round_trip(s, d, f), REPORT_SUMMARY, plain=["variable", "n"], sig=STATS) for f in ("parquet", "json", "orc")],
         entry("csv_scan", lambda s, d: csv_round_trip(s, d, False), PART_SUMMARY, plain=["variable", "n"], sig=STATS),
         entry("csv_text_scan", lambda s, d: csv_round_trip(s, d, True), PART_SUMMARY, plain=["variable", "n"], sig=STATS),
         entry(

@@ -383,7 +383,7 @@ def entries() -> list[Entry]:
     by_rows = f"SELECT l_returnflag, {Y}, {', '.join(X2)} FROM lineitem"
     return [
         entry("regress_nearly_collinear", lambda s, d: Regression(near_lines(s, d), "y", ["a", "b"]).coefficients().select("variable", "coefficient", "omitted"), NEAR_SQL,
-              plain=["variable", "omitted"], sig=["coefficient"], digits=5),
+              plain=["variable", "omitted"], sig=["coefficient"], digits=4),
         entry("regress_coefficients", lambda s, d: reg(s, d).coefficients(), f"WITH {ols_sql(LINES, Y, XS)} {coefficient_union(XS)}", **COEF),
         entry("regress_summary", lambda s, d: reg(s, d).summary(), summary_sql(LINES, Y, XS), **SUMMARY),
         entry(

@@ -13,7 +13,7 @@ from econspark.operators.normality import block_weight, shapiro_wilk, weight_con
 from econspark.operators.ols import Regression, error_metrics, goodness_of_fit, linktest, regress
 from econspark.schema import categorical_columns, numeric_columns
 from econspark.sources.readers import parse_numbers, read_csv, read_text_csv
-from econspark.sources.writers import save_results
+from econspark.sources.writers import read_report, save_report, save_results
 from tests.conftest import by_name, one
 
 
@@ -433,3 +433,25 @@ def test_density_is_the_kernel_sum(spark):
         want = np.exp(-(((x[:, None] - values) / width) ** 2) / 2).sum(axis=1) / (len(values) * width * np.sqrt(2 * np.pi))
         assert np.allclose([r["x"] for r in got], x) and np.allclose([r["density"] for r in got], want, rtol=1e-6, atol=1e-12 * want.max())
     assert density(spark.createDataFrame([(1.0,)], "v double"), "v").count() == 0
+
+
+@pytest.mark.parametrize("format", ["parquet", "json", "csv", "orc"])
+def test_report_is_whole_or_not_there(spark, sample, tmp_path, format):
+    path = str(tmp_path / "report")
+    with pytest.raises(FileNotFoundError):
+        read_report(spark, path)
+    table, few = sample.select("id", "t" if "t" in sample.columns else "time", "y"), sample.select("group").limit(3)
+    broken = table.withColumn("y", F.expr("CAST(raise_error('stop') AS DOUBLE)"))
+    with pytest.raises(Exception, match="stop"):
+        save_report({"First": table, "Broken": broken}, path, format)
+    with pytest.raises(FileNotFoundError):
+        read_report(spark, path)
+    save_report({"All rows": table, "Few: rows": few}, path, format)
+    with pytest.raises(Exception, match="stop"):
+        save_report({"All rows": few, "Broken": broken}, path, format)
+    back = read_report(spark, path)
+    assert list(back) == ["All rows", "Few: rows"] and back["Few: rows"].count() == 3
+    assert sorted(float(r["y"]) for r in back["All rows"].collect()) == pytest.approx(sorted(r["y"] for r in table.collect()))
+    save_report({"Few: rows": few}, path, format)
+    assert list(read_report(spark, path)) == ["Few: rows"]
+    assert len([p for p in (tmp_path / "report").iterdir() if p.name.startswith("run-")]) == 1
