@@ -25,6 +25,8 @@ BLANK = "▁"
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: Where a model's scores are merge ranks, a piece of rank r counts as about as likely as 1 / (r + RANK_OFFSET), so that sums along a path make sense.
+RANK_OFFSET = 100.0
 #: Pieces with lower scores are never built from text; an unknown character costs this much more than the worst piece.
 LEAST_SCORE, UNKNOWN_PENALTY = -1e8, 10.0
 #: Most substrings are no piece: a table over the first bits of the keys tells without a search.
@@ -51,7 +53,11 @@ class Codec:
                 self.byte_id[int(piece[3:5], 16)] = i
             self.bytes.append(bytes([int(piece[3:5], 16)]) if model.is_byte(i) else b"" if special[i] else piece.replace(BLANK, " ").encode())
         use = [i for i in range(size) if not special[i] and not model.is_byte(i) and (scores[i] > LEAST_SCORE or len(pieces[i]) == 1)]
-        self.unknown = float(scores[scores > LEAST_SCORE].min()) - UNKNOWN_PENALTY
+        built = scores > LEAST_SCORE
+        ranked = np.sort(-scores[built & (scores < 0)])
+        if len(ranked) and (ranked == np.floor(ranked)).all() and (np.diff(ranked) > 0).all():  # whole and different: merge ranks
+            scores = np.where(built, -np.log(np.maximum(-scores, 0) + RANK_OFFSET), -np.inf)
+        self.unknown = float(scores[built].min()) - UNKNOWN_PENALTY
         scores = np.maximum(scores, self.unknown)  # single characters are as likely as unknown ones at least
         if (self.byte_id < 0).any():
             raise ValueError("the model has no byte fallback")

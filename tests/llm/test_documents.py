@@ -414,7 +414,8 @@ def test_pieces_round_trip_and_scores(docs, none):
         assert r["decoded"] == r["text"] and (r["pieces"] is None) == (r["text"] is None)
     codec = piece_codec.Codec(path)
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    score = {model.id_to_piece(i): model.get_score(i) for i in range(259, model.vocab_size()) if model.get_score(i) > -1e8}
+    likely = lambda i: -math.log(piece_codec.RANK_OFFSET - model.get_score(i)) if model.get_score(i) > -1e8 else -math.inf
+    score = {model.id_to_piece(i): likely(i) for i in range(259, model.vocab_size()) if model.get_score(i) > -1e8}
     for unit in ("hello", " hello", " Ænigma①x", " aaaaaaaaaaaaa", "é" * 100):
         text, best = unit.replace(" ", "▁"), [0.0]
         for e in range(1, len(text) + 1):
@@ -426,7 +427,7 @@ def test_pieces_round_trip_and_scores(docs, none):
             if len(value):
                 got += codec.unknown if int(value[0]) & 0xC0 != 0x80 else 0.0  # once per character
             else:
-                got += max(model.get_score(i), codec.unknown)
+                got += max(likely(i), codec.unknown)
         assert got == pytest.approx(best[-1]), unit
     assert piece_codec.encode_pieces(none, path).count() == 0
 
@@ -438,3 +439,38 @@ def test_pieces_of_special_texts():
     texts = ["", " ", "  a  b ", "\n\n", "x\ny \n", "a▁b ▁", "\x00\t", "😀" * 70, "no blank" * 30_000, "z" * 9_000]
     for t, rows in zip(texts, table.rows([t.encode() for t in texts])):
         assert codec.decode(table.gather(rows).tolist()) == t
+
+
+def test_pieces_are_near_the_models_own(spark):
+    """Every document's ids against a plain search over whole units, and their number against the model's merge order."""
+    import sentencepiece
+
+    path = vocabulary("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text IS NOT NULL")
+    rows = piece_codec.encode_pieces(docs.select("doc_id", "text"), path).select("text", "pieces").collect()
+    own = sum(len(model.encode(r["text"])) for r in rows)
+    assert abs(sum(len(r["pieces"]) for r in rows) / own - 1) < 0.01
+    codec = piece_codec.Codec(path)
+    likely = {model.id_to_piece(i): (-math.log(piece_codec.RANK_OFFSET - model.get_score(i)), i) for i in range(259, model.vocab_size()) if model.get_score(i) > -1e8}
+
+    single = {model.id_to_piece(i): i for i in range(259, model.vocab_size()) if len(model.id_to_piece(i)) == 1}
+
+    def plain(unit: str) -> list[int]:
+        text, best = unit.replace(" ", "▁"), [(0.0, [])]
+        for e in range(1, len(text) + 1):
+            ways = []
+            for s in range(max(0, e - codec.longest), e):  # the longer last piece first
+                if text[s:e] in likely and (likely[text[s:e]][0] > codec.unknown):
+                    value, i = likely[text[s:e]]
+                    ways.append((best[s][0] + value, [*best[s][1], i]))
+                elif e - s == 1:
+                    ids = [single[text[s]]] if text[s] in single else [int(codec.byte_id[b]) for b in unit[s].encode()]
+                    ways.append((best[s][0] + codec.unknown, [*best[s][1], *ids]))
+            best.append(max(ways, key=lambda w: w[0]))
+        return best[-1][1]
+
+    known: dict[str, list[int]] = {}
+    for r in rows:
+        units = re.findall(r" [^ \n]*|\n|[^ \n]+", " " + r["text"]) if r["text"] else []
+        assert r["pieces"] == [i for u in units for i in (known.get(u) or known.setdefault(u, plain(u)))]
