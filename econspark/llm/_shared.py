@@ -30,11 +30,15 @@ def need(df: DataFrame, *columns: str) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+#: For rows of megabytes: Parquet's writer looks at sizes after each row, where it would hold 100 rows before its first look.
+LARGE_ROWS = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
+
+
+def written(df: DataFrame, label: str, options: dict[str, int] | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder; later steps start from the files."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

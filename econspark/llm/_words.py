@@ -128,16 +128,21 @@ class WordHasher:
         return mix((total[end] - total[start]) * self.inverse[start] + (end - start).astype(_U)), start, end
 
     def of_texts(self, texts: list[bytes]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Bytes, hashes, starts, ends and the word bounds of each text, for short texts together and long ones in pieces;
-        of the pieces of a long text all but the last have no bounds."""
+        """Bytes, hashes, starts, ends and the word bounds of each text, for short texts together up to about CHUNK bytes and long ones in
+        pieces; of the pieces of a long text all but the last have no bounds."""
         group: list[bytes] = []
+        size = 0
         for text in texts:
             if len(text) <= CHUNK:
                 group.append(text)
+                size += len(text) + 1
+                if size >= CHUNK:
+                    yield self._together(group)
+                    group, size = [], 0
                 continue
             if group:
                 yield self._together(group)
-                group = []
+                group, size = [], 0
             pieces = list(spans(text, space=self.cut_at))
             for i, piece in enumerate(pieces):
                 data, hashes, start, end, _ = self._together([piece])

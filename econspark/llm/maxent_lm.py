@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 from pyspark.sql.window import Window
 
-from ._shared import need, removed, send_by_value, written
+from ._shared import LARGE_ROWS, need, removed, send_by_value, written
 from ._words import WordHasher, worker_cache
 
 send_by_value(__name__)
@@ -433,7 +433,7 @@ def score_documents(df: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     ids = StructField("ids", ArrayType(df.schema[id].dataType))
     fields = lambda ddl: StructType([ids, *StructType.fromDDL(ddl).fields])
     shape = StructType([StructField("chunk", StructType.fromDDL("c long")["c"].dataType), *fields("lengths array<long>, tokens binary, dictionary binary, counts binary").fields])
-    chunks = written(df.select(F.col(f"`{id}`"), F.col(f"`{text}`").cast("string")).mapInArrow(_make_chunks(shape), shape), "lm-chunks")
+    chunks = written(df.select(F.col(f"`{id}`"), F.col(f"`{text}`").cast("string")).mapInArrow(_make_chunks(shape), shape), "lm-chunks", LARGE_ROWS)
     pairs = chunks.select("chunk", "dictionary", "counts").mapInArrow(_dictionaries, "token long, chunk long, count long")
     whole = Window.partitionBy("token")
     pairs = pairs.withColumns({"total": F.sum("count").over(whole), "chunks": F.count("*").over(whole), "last": F.max("chunk").over(whole) == F.col("chunk")})
@@ -444,7 +444,7 @@ def score_documents(df: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     sent = pairs.where((F.col("chunks") > 1) & (F.col("total") <= least)).select("chunk", "token", "total")
     shape = fields("lengths array<long>, tokens binary, features binary, places binary, less binary, known array<long>, base array<double>, within array<double>")
     coded = chunks.groupBy("chunk").cogroup(sent.groupBy("chunk")).applyInArrow(_code(vocabulary, shape), shape)
-    coded = written(coded, "lm-coded")
+    coded = written(coded, "lm-coded", LARGE_ROWS)
     removed(chunks)
     removed(pairs)
     weights = Weights.start(vocabulary)

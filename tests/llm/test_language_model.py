@@ -157,3 +157,32 @@ def test_packed_numbers():
     for n in (0, 1, 70_000):
         x = np.random.default_rng(n).integers(0, 2**31, n)
         assert (lm.unpacked(lm.packed(x), n) == x).all()
+
+
+def test_words_of_many_short_texts_take_bounded_memory():
+    """Eight megabytes of short texts at once: the same words, and no table of powers longer than two pieces of text."""
+    from econspark.llm._words import CHUNK, WordHasher
+
+    rng = np.random.default_rng(6)
+    texts = [b" ".join(b"w%d" % i for i in rng.integers(0, 5000, 1000)) + b"\n" * (k % 3) for k in range(1500)]
+    texts[7], texts[8] = b"", b"one" * CHUNK + b" two"
+    hasher = WordHasher()
+    size = len(hasher.power)
+    words = hasher.split(texts[:7] + texts[9:], lambda data, hashes, start, end: hashes)
+    assert sum(map(len, texts[9:])) > 12 * CHUNK and len(hasher.power) == size
+    alone = [WordHasher().split([t], lambda data, hashes, start, end: hashes)[0] for t in texts[:12]]
+    both = hasher.split(texts, lambda data, hashes, start, end: hashes)
+    assert [x.tolist() for x in both[:12]] == [x.tolist() for x in alone]
+    assert [x.tolist() for x in both[:7] + both[9:]] == [x.tolist() for x in words] and [len(x) for x in both[7:9]] == [0, 2]
+
+
+def test_large_rows_lie_in_small_row_groups(spark):
+    import pyarrow.parquet as pq
+
+    from econspark.llm._shared import LARGE_ROWS, removed, written
+
+    table = written(spark.range(8, numPartitions=1).select("id", F.expr("encode(array_join(transform(sequence(1, 200000), i -> sha1(cast(i + id as string))), ''), 'utf-8')").alias("data")), "rows", LARGE_ROWS)
+    (file,) = table.inputFiles()
+    about = pq.ParquetFile(file.removeprefix("file://").removeprefix("file:")).metadata
+    assert about.num_row_groups > 1 and table.where("length(data) = 8000000").count() == 8
+    removed(table)
