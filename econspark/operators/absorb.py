@@ -21,6 +21,7 @@ HIGH_DIMENSION = 50
 TOLERANCE = 1e-9
 STALLED = 200  # steps without halving the step
 BROADCAST_LEVELS = 200_000  # effect tables up to this many levels are shipped to every executor
+VECTOR_COLUMNS, WIDER = 20, 5  # packed cells need one number a level and column there: this many columns, or up to so many times the levels of fewer
 
 
 class Absorption:
@@ -74,14 +75,14 @@ class Absorption:
         p = range(len(self.cols))
         order = sorted(self.fe, key=lambda f: -self.levels[f])
         rest = [self.levels[f] for f in order[1:]]
-        if sum(rest) > BROADCAST_LEVELS:
+        if sum(rest) > BROADCAST_LEVELS * max(1, min(WIDER, VECTOR_COLUMNS // (len(self.cols) + 1))):
             return self._sweep_by_joins(order)
         keys = [f"_g{i}" for i in range(len(order))]
         mean = self.total.mean
-        start = moments_frame(self.rows, self.cols, order).withColumnsRenamed(dict(zip(order, keys)))
-        values = F.array(*[F.col("mean")[i] - F.lit(float(mean[i])) for i in p]).alias("values")
+        values = [f"_y{i}" for i in p]
+        rows = self.rows.select(*[F.col(f"`{f}`").alias(k) for k, f in zip(keys, order)], *[(F.col(f"`{c}`") - F.lit(float(mean[i]))).alias(values[i]) for i, c in enumerate(self.cols)])
         named = {key: self.rows.select(F.col(f"`{f}`").alias(key)).distinct() for key, f in zip(keys[1:], order[1:])}
-        packed = pack_cells(start.select(*keys, "n", values, F.col("comoment").alias("inside")), keys[0], named, rest, len(self.cols))
+        packed = pack_cells(rows, keys[0], named, rest, values)
         scale = np.sqrt(np.maximum(np.diag(self.total.comoment) / self.total.n, 1e-300))
         solved = solve_effects(packed, scale, self.tolerance)
         self.sweeps, self._added, self.dof_exact = solved.steps, solved.added, solved.exact

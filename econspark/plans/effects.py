@@ -13,11 +13,12 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from econspark.session import cut_lineage, drop_written
 
 DENSE = 1024
+WINDOW = 1 << 17  # rows that a task collapses at a time
 PACK = 1 << 18  # cells of a packed row, but that a level of the largest effect is never cut
 PIECE = 1 << 15  # numbers of a piece of a vector
 STALLED = 200  # steps without halving the step
@@ -37,50 +38,145 @@ class PackedCells:
         return sum(self.sizes)
 
 
-def pack_cells(cells: DataFrame, first: str, others: dict[str, DataFrame], sizes: Sequence[int], columns: int) -> PackedCells:
-    """``cells``: ``first``, ``others…``, ``n``, ``values`` (an array of ``columns`` numbers), ``inside`` (an array, only summed).
+def pack_cells(rows: DataFrame, first: str, others: dict[str, DataFrame], sizes: Sequence[int], columns: Sequence[str]) -> PackedCells:
+    """``rows``: ``first``, ``others…`` and the numbers ``columns``, none of them missing.
 
     ``others`` has the levels of each other effect, and ``sizes`` how many there are, counted by the caller and few enough to be sent to every executor.
+    Tasks collapse their own rows to cells before those are dealt out by the largest effect, so that only one number a column travels with a cell,
+    and a level with many rows is no more than its cells.
     """
     offset = 0
     numbered = []
     for i, ((key, levels), size) in enumerate(zip(others.items(), sizes)):
         place = (F.row_number().over(Window.orderBy(key)) - 1 + offset).cast("int")  # one row a level, as many as counted
         ids = levels.select(key, place.alias(f"_id{i}"))
-        cells = cells.join(F.broadcast(ids), key)
+        rows = rows.join(F.broadcast(ids), key)
         numbered.append(f"_id{i}")
         offset += size
-    rows = cells.select(F.col(first).alias("g"), *numbered, F.col("n").cast("double").alias("n"), "values", "inside")
-    rows = rows.repartition("g").sortWithinPartitions("g")
-    return PackedCells(cut_lineage(rows.mapInArrow(_pack(len(numbered), columns, PACK), _PACKED)), list(sizes), columns)
+    g = F.col(first) + F.lit(0.0) if isinstance(rows.schema[first].dataType, (T.FloatType, T.DoubleType)) else F.col(first)  # one zero only
+    rows = rows.select(g.alias("g"), *numbered, F.lit(1).cast("long").alias("n"), *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)])
+    shape = T.StructType([*rows.schema.fields, T.StructField("inside", T.BinaryType())])
+    cells = rows.mapInArrow(_collapse(len(numbered), len(columns), WINDOW), shape).repartition("g").sortWithinPartitions("g")
+    return PackedCells(cut_lineage(cells.mapInArrow(_pack(len(numbered), len(columns), PACK), _PACKED)), list(sizes), len(columns))
+
+
+def _merged(effects: int, columns: int) -> Callable:
+    """Of rows or cells in Arrow: one cell for each combination of levels, in the order in which the largest effect's levels come, and the co-moments of what
+    was merged (upper triangle). What is inside of the given cells is left to the caller."""
+    upper = np.triu_indices(columns)
+
+    def merge(rows: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        rows = rows.combine_chunks()
+        own = rows.column(0).combine_chunks().dictionary_encode()
+        code = own.indices.to_numpy(zero_copy_only=False)
+        ids = [rows.column(1 + i).to_numpy() for i in range(effects)]
+        order = np.lexsort((*ids[::-1], code))
+        code, ids = code[order], np.column_stack([x[order] for x in ids])
+        n = rows.column(1 + effects).to_numpy()[order].astype(np.float64)
+        values = np.column_stack([rows.column(2 + effects + i).to_numpy() for i in range(columns)])[order]
+        inside = np.zeros(len(upper[0]))
+        new = np.ones(len(code), bool)
+        new[1:] = code[1:] != code[:-1]
+        for x in ids.T:
+            new[1:] |= x[1:] != x[:-1]
+        starts = np.flatnonzero(new)
+        if len(starts) < len(code):
+            size = np.diff(starts, append=len(code))
+            several = np.flatnonzero(size > 1)
+            many = np.repeat(size > 1, size)
+            run = np.repeat(np.arange(len(several)), size[several])
+            own_n, off = n[many], values[many] - values[starts[several]][run]
+            total = np.bincount(run, own_n)
+            move = np.column_stack([np.bincount(run, own_n * x) for x in off.T]) / total[:, None]
+            off = off - move[run]
+            inside = ((off * own_n[:, None]).T @ off)[upper]
+            code, ids, n, values = code[starts], ids[starts], n[starts], values[starts]
+            n[several] = total
+            values[several] += move
+        return code, own.dictionary, ids, n, values, inside
+
+    return merge
+
+
+def _inside() -> Callable:
+    """Sum of the co-moments that cells bring along."""
+
+    def brought(rows: pa.Table, size: int) -> np.ndarray:
+        return sum((np.frombuffer(x) for x in rows.column("inside").drop_null().to_pylist()), np.zeros(size))
+
+    return brought
+
+
+def _as_cells(effects: int, columns: int) -> Callable:
+    """Merged cells as an Arrow table like the one given; the first brings the co-moments inside of all of them."""
+    merge, brought = _merged(effects, columns), _inside()
+
+    def cells(rows: pa.Table) -> pa.Table:
+        import pyarrow as pa
+
+        code, levels, ids, n, values, inside = merge(rows)
+        inside = inside + brought(rows, len(inside))
+        first = pa.array([inside.tobytes()] + [None] * (len(n) - 1), rows.schema.field("inside").type)
+        arrays = [levels.take(pa.array(code)), *[pa.array(x, pa.int32()) for x in ids.T], pa.array(n.astype(np.int64)), *[pa.array(x) for x in values.T], first]
+        return pa.Table.from_arrays(arrays, schema=rows.schema)
+
+    return cells
+
+
+def _collapse(effects: int, columns: int, most: int) -> Callable:
+    """Rows of a task to cells: about ``most`` at a time, which stay for the next ones while they shrink to half."""
+    as_cells = _as_cells(effects, columns)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held, count = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(pa.Table.from_batches([batch]).append_column("inside", pa.nulls(batch.num_rows, pa.binary())))
+            count += batch.num_rows
+            if count >= most:
+                cells = as_cells(pa.concat_tables(held))
+                if cells.num_rows > most // 2:
+                    yield from cells.to_batches()
+                    held, count = [], 0
+                else:
+                    held, count = [cells], cells.num_rows
+        if held:
+            yield from as_cells(pa.concat_tables(held)).to_batches()
+
+    return run
 
 
 def _pack(effects: int, columns: int, most: int) -> Callable:
+    merge, as_cells, brought = _merged(effects, columns), _as_cells(effects, columns), _inside()
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import pyarrow.compute as pc
 
         def packed(rows: pa.Table) -> pa.RecordBatch:
-            rows = rows.combine_chunks()
-            change = pc.not_equal(rows.column(0).slice(1), rows.column(0).slice(0, rows.num_rows - 1)).to_numpy()
-            starts = np.concatenate(([0], np.flatnonzero(change) + 1)).astype(np.int64)
-            ids = np.column_stack([rows.column(1 + i).to_numpy() for i in range(effects)]).astype(np.int32)
-            flat = lambda name: rows.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
-            inside = flat("inside").reshape(rows.num_rows, -1).sum(axis=0)
-            values = [starts.tobytes(), ids.tobytes(), rows.column("n").to_numpy().tobytes(), flat("values").astype(np.float64).tobytes()]
-            return pa.RecordBatch.from_arrays([*[pa.array([v], pa.binary()) for v in values], pa.array([inside.tolist()], pa.list_(pa.float64()))], ["first", "ids", "n", "values", "inside"])
-
-        held = None
+            code, _, ids, n, values, inside = merge(rows)
+            starts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))).astype(np.int64)
+            inside = inside + brought(rows, len(inside))
+            binary = [np.ascontiguousarray(x).tobytes() for x in (starts, ids.astype(np.int32), n, values)]
+            return pa.RecordBatch.from_arrays([*[pa.array([v], pa.binary()) for v in binary], pa.array([inside.tolist()], pa.list_(pa.float64()))], ["first", "ids", "n", "values", "inside"])
+
+        held, full = None, most
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             held = rows if held is None else pa.concat_tables([held, rows])
-            if held.num_rows >= most:
+            if held.num_rows >= full:
                 own = held.column(0)
                 same = pc.equal(own, own[-1]).combine_chunks()
                 cut = same.index(pa.scalar(True)).as_py()  # the last level may go on
                 if cut:
                     yield packed(held.slice(0, cut))
-                    held = held.slice(cut)
+                    held, full = held.slice(cut), most
+                else:
+                    held = as_cells(held)
+                    full = max(most, 2 * held.num_rows)
         if held is not None and held.num_rows:
             yield packed(held)
 

@@ -455,3 +455,30 @@ def test_report_is_whole_or_not_there(spark, sample, tmp_path, format):
     save_report({"Few: rows": few}, path, format)
     assert list(read_report(spark, path)) == ["Few: rows"]
     assert len([p for p in (tmp_path / "report").iterdir() if p.name.startswith("run-")]) == 1
+
+
+def test_rows_collapse_to_cells_in_their_tasks(spark, monkeypatch):
+    """One exchange of cells, small windows and packs, and a level of the largest effect that has most rows."""
+    from econspark.operators import absorb
+    from econspark.plans import effects
+
+    plans = []
+    cut = effects.cut_lineage
+    monkeypatch.setattr(effects, "cut_lineage", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df))[1])
+    monkeypatch.setattr(effects, "WINDOW", 400)
+    monkeypatch.setattr(effects, "PACK", 60)
+    monkeypatch.setattr(absorb, "BROADCAST_LEVELS", 10)  # 30 levels of two columns still travel as numbers
+    monkeypatch.setattr(absorb.Absorption, "_sweep_by_joins", None)
+    rng = np.random.default_rng(8)
+    n = 6000
+    pdf = pd.DataFrame({"a": np.where(rng.random(n) < 0.6, 3, rng.integers(0, 40, n)), "b": rng.integers(0, 30, n)})
+    pdf["x"] = rng.normal(size=n) + 0.1 * pdf.b
+    pdf["y"] = 1e4 + 2 * pdf.x + pdf.a - 3 * pdf.b + rng.normal(size=n)
+    dummies = np.column_stack([pdf.x, pd.get_dummies(pdf.a).astype(float), pd.get_dummies(pdf.b).astype(float)])
+    want, _, rank, _ = np.linalg.lstsq(dummies, pdf.y - 1e4, rcond=None)
+    left = pdf.y - 1e4 - dummies @ want
+    for kind in ("bigint", "string", "double"):
+        a = absorb.Absorption(spark.createDataFrame(pdf).withColumn("a", F.col("a").cast(kind)).repartition(2), "y", "x", ["a", "b"])
+        assert np.isclose(a.fit.beta[0], want[0], rtol=1e-9) and np.isclose(a.fit.ssr, (left**2).sum(), rtol=1e-9)
+        assert a.absorbed_parameters + 1 == rank
+    assert len(plans) == 3 and all(p.count("Exchange hashpartitioning(g") == 1 and "covar" not in p for p in plans)
