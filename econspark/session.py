@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
+
+#: Writes packed rows, of megabytes each, in small row groups. Parquet otherwise looks at sizes every hundred rows only, and holds as much in memory on writing and reading.
+PACKED_ROWS = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -29,7 +32,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder as Parquet and go on from there; columns that nobody reads are then skipped."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    packed = any(isinstance(field.dataType, T.BinaryType) for field in df.schema.fields)
+    df.write.options(**(PACKED_ROWS if packed else {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -482,3 +482,32 @@ def test_rows_collapse_to_cells_in_their_tasks(spark, monkeypatch):
         assert np.isclose(a.fit.beta[0], want[0], rtol=1e-9) and np.isclose(a.fit.ssr, (left**2).sum(), rtol=1e-9)
         assert a.absorbed_parameters + 1 == rank
     assert len(plans) == 3 and all(p.count("Exchange hashpartitioning(g") == 1 and "covar" not in p for p in plans)
+
+
+def test_packed_rows_lie_in_small_row_groups(spark, monkeypatch):
+    """A task's cells are not one page or row group, which would be held whole on writing and in every read; a balanced table has a plain solution."""
+    import pyarrow.parquet as pq
+
+    from econspark.operators.absorb import Absorption
+    from econspark.plans import effects
+
+    written = []
+    cut = effects.cut_lineage
+    monkeypatch.setattr(effects, "cut_lineage", lambda df: (written.append(cut(df)), written[-1])[1])
+    monkeypatch.setattr(effects, "PACK", 1 << 15)
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        k, m = 40_000, 50
+        df = spark.range(k * m).selectExpr(f"id div {m} AS a", f"id % {m} AS b", "sin(id) AS x", "sin(id) + cos(id * id) AS y")
+        got = Absorption(df, "y", "x", ["a", "b"]).summary().first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    i = np.arange(k * m).reshape(k, m)
+    x, y = ((z - z.mean(0) - z.mean(1, keepdims=True) + z.mean()).ravel() for z in (np.sin(i), np.sin(i) + np.cos(i * i)))
+    ssr = y @ y - (x @ y) ** 2 / (x @ x)
+    assert got["n"] == k * m and got["levels_absorbed"] == k + m - 2
+    assert np.isclose(got["ssr"], ssr, rtol=1e-9) and np.isclose(got["r2_within"], 1 - ssr / (y @ y), rtol=1e-9)
+    groups = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in written[0].inputFiles()]
+    sizes = [g.row_group(j).total_byte_size for g in groups for j in range(g.num_row_groups)]
+    assert sum(sizes) > 16 * k * m and max(sizes) < 20 << 20
