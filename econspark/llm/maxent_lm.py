@@ -20,10 +20,12 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 from pyspark.sql.window import Window
@@ -40,7 +42,9 @@ CLASS_BITS, MEMBER_BITS = 12, 13
 ROUNDS, RATE, SMOOTHING = 6, 0.6, 5.0
 BLOCK = 128  # rows of weights
 CHUNK, SLICE = 8 << 20, 256  # bytes of text of a chunk, rows that are Python objects at a time
-BATCH = 1 << 14  # tokens
+BATCH, PIECE = 1 << 14, 1 << 10  # tokens: taken together, and whose factors lie in a core's cache together
+TRANSFER = 8 << 20  # bytes of coded chunks on their way to Python
+GROUP, LINES = 16, 1 << 11  # rows of weights that share a matrix product, lines that are sorted at a time
 
 _U = np.uint64
 #: Hash of the end of a text, and of what stands before its start.
@@ -244,6 +248,12 @@ class Weights:
         weights = lambda bits: np.zeros((1 << bits, WIDTH), np.float32)
         return Weights(np.log(chance).astype(np.float32), inner.astype(np.float32), weights(CLASS_BITS), weights(MEMBER_BITS))
 
+    @cached_property
+    def factors(self) -> Weights:
+        """Exponentials of all: chances are products of these, and no position has exponentials of its own. A step is below RATE, so products
+        stay within exp(FEATURES * ROUNDS * RATE) of the start."""
+        return Weights(np.exp(self.class_start), np.exp(self.member_start), np.exp(self.classes), np.exp(self.members))
+
     def blocks(self) -> dict[int, np.ndarray]:
         both = np.concatenate((self.classes, self.members))
         return {i: both[at : at + BLOCK] for i, at in enumerate(range(0, len(both), BLOCK))}
@@ -276,24 +286,53 @@ def member_rows(context: list[np.ndarray], classes: np.ndarray) -> list[np.ndarr
     return [((x ^ own) * MULTIPLIERS[5] >> _U(64 - MEMBER_BITS)).astype(np.int16) for x in context]
 
 
-def scores(weights: np.ndarray, start: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    """Start values and weights of all features, summed; cut at 60, so that no exponential overflows."""
-    total = np.take(weights, rows[0], axis=0)
-    more = np.empty_like(total)
-    for r in rows[1:]:
-        total += np.take(weights, r, axis=0, out=more, mode="clip")
-    total += start
-    return np.clip(total, -60.0, 60.0, out=total)
-
-
-_ONES = np.ones(WIDTH, np.float32)
-
-
-def add_rows(into: np.ndarray, rows: list[np.ndarray], values: np.ndarray) -> None:
-    """``into[:, r] += values`` for each of the rows r, a column of values at a time, so that what is added to stays in the cache."""
-    at, by_column = np.concatenate(rows).astype(np.int64), np.ascontiguousarray(values.T, np.float64)
-    for column, more in zip(into, by_column, strict=True):
-        column += np.bincount(at, np.tile(more, len(rows)), len(column))
+class Buffers:
+    """What a batch needs room for, made once a chunk: arrays of megabytes cost more to get and to give back than to fill."""
+
+    def __init__(self, sums: int = 0) -> None:
+        """``sums``: rows of the largest table that is summed by row, 0 for none."""
+        self.chances, self.more = np.empty((BATCH, WIDTH), np.float32), np.empty((PIECE, WIDTH), np.float32)
+        if sums:
+            self.sorted, self.which = np.empty((FEATURES * BATCH, WIDTH), np.float32), np.empty((FEATURES * BATCH, GROUP), np.float32)
+            self.sums = np.empty((sums, WIDTH), np.float32)
+
+
+def chances(factors: np.ndarray, start: np.ndarray, kind: np.ndarray | None, rows: list[np.ndarray], buffers: Buffers) -> np.ndarray:
+    """Start factors (those of a position's ``kind``, if given) times those of all features, over their sum. They hold until the next call."""
+    out = buffers.chances[: len(rows[0])]
+    for at in range(0, len(out), PIECE):
+        piece = slice(at, at + PIECE)
+        mine = out[piece]
+        more = buffers.more[: len(mine)]
+        np.take(factors, rows[0][piece], axis=0, out=mine, mode="clip")
+        for r in rows[1:]:
+            mine *= np.take(factors, r[piece], axis=0, out=more, mode="clip")
+        mine *= start if kind is None else np.take(start, kind[piece], axis=0, out=more, mode="clip")
+        mine *= (1 / (mine @ _ONES))[:, None]
+    return out
+
+
+_ONES, _UNITS = np.ones(WIDTH, np.float32), np.eye(GROUP, dtype=np.float32)
+
+
+def add_rows(into: np.ndarray, rows: list[np.ndarray], values: np.ndarray, buffers: Buffers) -> None:
+    """``into[r] += values`` for each of the rows r. Lines of values are sorted by row; those of GROUP rows are summed by the product with a
+    matrix that says which is whose, a few groups at a time."""
+    at = np.concatenate(rows)
+    order = np.argsort(at, kind="stable")
+    at, line = at[order], order % len(values)
+    bounds = np.searchsorted(at, np.arange(0, len(into) + GROUP, GROUP))
+    own, sums, group = at % GROUP, buffers.sums[: len(into)], 0
+    while group < len(bounds) - 1:
+        stop = max(group + 1, int(np.searchsorted(bounds, bounds[group] + LINES, "right")) - 1)
+        edges = bounds[group : stop + 1].tolist()
+        few = slice(edges[0], edges[-1])
+        lines = np.take(values, line[few], axis=0, out=buffers.sorted[: few.stop - few.start], mode="clip")
+        which = np.take(_UNITS, own[few], axis=0, out=buffers.which[: few.stop - few.start], mode="clip").T
+        for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False), group):
+            np.dot(which[:, a - few.start : b - few.start], lines[a - few.start : b - few.start], out=sums[k * GROUP : (k + 1) * GROUP])
+        group = stop
+    into += sums
 
 
 def _documents(row: dict, chosen: Callable[[int], bool] | None, places: str) -> tuple[np.ndarray, ...]:
@@ -324,38 +363,37 @@ def class_of(place: np.ndarray) -> np.ndarray:
 def gradient(weights: Weights, row: dict, chosen: Callable[[int], bool], observed: np.ndarray, expected: np.ndarray) -> None:
     """Adds a chunk's share of what was observed and expected: a line for each class or member, rows of classes first and then those of members."""
     features, first, place, _ = _documents(row, chosen, "less")
-    edge = len(weights.classes)
+    edge, factors = len(weights.classes), weights.factors
+    buffers = Buffers(max(len(weights.classes), len(weights.members)))
+    sums = np.zeros(expected.shape[::-1], np.float32)
     for _, context, there in _batches(features, first, place):
         cls = class_of(there)
         head = np.flatnonzero(there < HEAD)
-        parts = [(class_rows(context), weights.classes, weights.class_start, cls, 0)]
+        parts = [(class_rows(context), factors.classes, factors.class_start, None, cls, 0)]
         if len(head):
             rows = member_rows([c[head] for c in context], cls[head])
-            parts.append((rows, weights.members, weights.member_start[cls[head]], there[head] % WIDTH, edge))
-        for rows, table, start, label, where in parts:
-            p = np.exp(scores(table, start, rows))
-            p /= (p @ _ONES)[:, None]
-            add_rows(expected[:, where : where + len(table)], rows, p)
+            parts.append((rows, factors.members, factors.member_start, cls[head], there[head] % WIDTH, edge))
+        for rows, table, start, kind, label, where in parts:
+            add_rows(sums[where : where + len(table)], rows, chances(table, start, kind, rows, buffers), buffers)
             seen = label * observed.shape[1] + where
             for r in rows:
                 np.add.at(observed.reshape(-1), seen + r, 1.0)
+    expected += sums.T
 
 
 def log_probabilities(weights: Weights, row: dict) -> np.ndarray:
     """Sum by document of the logarithms of class and member probabilities."""
     features, first, place, _ = _documents(row, None, "places")
-    total = np.empty(len(place))
+    total, factors, buffers = np.empty(len(place)), weights.factors, Buffers()
     for at, context, there in _batches(features, first, place):
         cls = class_of(there)
-        z = scores(weights.classes, weights.class_start, class_rows(context))
-        found = z[np.arange(len(z)), cls].astype(np.float64)
-        found -= np.log(np.exp(z, out=z) @ _ONES)
+        p = chances(factors.classes, factors.class_start, None, class_rows(context), buffers)
+        found = np.log(p[np.arange(len(p)), cls].astype(np.float64))
         head = np.flatnonzero(there < HEAD)
         if len(head):
             own = cls[head]
-            z = scores(weights.members, weights.member_start[own], member_rows([c[head] for c in context], own))
-            inner = z[np.arange(len(z)), there[head] % WIDTH].astype(np.float64)
-            found[head] += inner - np.log(np.exp(z, out=z) @ _ONES)
+            p = chances(factors.members, factors.member_start, own, member_rows([c[head] for c in context], own), buffers)
+            found[head] += np.log(p[np.arange(len(p)), there[head] % WIDTH].astype(np.float64))
         total[at] = found
     lengths = np.array(row["lengths"], np.int64)
     return np.add.reduceat(total, np.cumsum(lengths) - lengths) if len(lengths) else np.zeros(0)
@@ -369,7 +407,7 @@ def _gradients(weights: Weights, turn: int) -> Callable:
         import pyarrow as pa
 
         shape = (WIDTH, len(weights.classes) + len(weights.members))
-        observed, expected = np.zeros(shape), np.zeros(shape)
+        observed, expected = np.zeros(shape), np.zeros(shape[::-1]).T  # lines are added to the second
         chosen = lambda b: b % 5 != 1 and b // 5 % ROUNDS == turn
         some = False
         for batch in batches:
@@ -420,6 +458,19 @@ def _scored(weights: Weights, vocabulary: Vocabulary, schema: StructType) -> Cal
     return run
 
 
+@contextmanager
+def _large_rows(spark: SparkSession) -> Iterator[None]:
+    """Tasks of several files hand rows of megabytes to Python a few at a time; at Spark's own 64 MB, executor and worker both hold so much of
+    them, the executor in buffers that double as they grow."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, TRANSFER)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def score_documents(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of each row of ``df``, in logarithms to base 10.
 
@@ -450,11 +501,12 @@ def score_documents(df: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     weights = Weights.start(vocabulary)
     # A task for each core: the gradients that are sent are bounded by the cluster, not by the table.
     spread = coded.select("ids", "lengths", "tokens", "features", "less").coalesce(spark.sparkContext.defaultParallelism)
-    for turn in range(ROUNDS):
-        shares = spread.mapInArrow(_gradients(weights, turn), "block long, observed binary, expected binary")
-        blocks = weights.blocks()
-        moved = shares.repartition("block").mapInArrow(_step(blocks), "block long, weights binary").collect()
-        blocks |= {r["block"]: np.frombuffer(r["weights"], np.float32).reshape(-1, WIDTH) for r in moved}
-        weights = weights.with_blocks(blocks)
+    with _large_rows(spark):
+        for turn in range(ROUNDS):
+            shares = spread.mapInArrow(_gradients(weights, turn), "block long, observed binary, expected binary")
+            blocks = weights.blocks()
+            moved = shares.repartition("block").mapInArrow(_step(blocks), "block long, weights binary").collect()
+            blocks |= {r["block"]: np.frombuffer(r["weights"], np.float32).reshape(-1, WIDTH) for r in moved}
+            weights = weights.with_blocks(blocks)
     out = StructType([df.schema[id], *StructType.fromDDL("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
     return coded.select("ids", "lengths", "tokens", "features", "places", "known", "base", "within").mapInArrow(_scored(weights, vocabulary, out), out)
