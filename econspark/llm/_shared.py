@@ -42,6 +42,20 @@ def written(df: DataFrame, label: str, options: dict[str, int] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parts(spark: SparkSession) -> int:
+    """Tasks that write a narrow table: some per core, and no fewer than a sixteenth of the shuffle partitions."""
+    return max(2 * spark.sparkContext.defaultParallelism, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
+
+
+def fewer(df: DataFrame) -> DataFrame:
+    """``df`` in at most ``parts`` tasks, each of which takes several partitions one after another.
+
+    A table has a file for each task at least, and where the folder is a local one, Hadoop starts two processes or more for
+    each file (chmod), each of which counts for as much memory as its executor until it has begun.
+    """
+    return df.coalesce(parts(df.sparkSession))
+
+
 def removed(table: DataFrame) -> None:
     """Deletes a table of ``written`` that nothing reads any more."""
     context = table.sparkSession.sparkContext

@@ -12,6 +12,7 @@ import pytest
 
 from econspark.llm import _words, license_scan, near_dedup, packing, piece_codec, secret_scan, tokeniser_quality
 from econspark.llm.queries import vocabulary
+from econspark.session import ensure_checkpoint_dir
 from tests.llm.cases import awkward_documents
 from tests.llm.prose import PROSE
 
@@ -215,6 +216,41 @@ def test_components_of_a_long_path(spark):
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 91: 90}
 
 
+def test_components_find_the_links_once(spark):
+    given = spark.sparkContext.accumulator(0)
+
+    def found(batches):
+        for batch in batches:
+            given.add(batch.num_rows)
+            yield batch
+
+    links = spark.createDataFrame([(bytearray([i]), bytearray([i + 1])) for i in range(0, 40, 2)], "a binary, b binary").mapInArrow(found, "a binary, b binary")
+    assert near_dedup.components(links).count() == 40
+    assert given.value == 20
+
+
+def test_tables_have_few_files(spark):
+    """Each file costs processes on the executors, so their number must not follow tables times shuffle partitions."""
+    from pathlib import Path
+
+    kept = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    old, names = set(kept.iterdir()), ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    were = [spark.conf.get(k) for k in names]
+    rows = [(i, " ".join([*[f"f{i // 2}-{k}" for k in range(60)], f"own{i}"])) for i in range(400)]
+    try:
+        for k, v in zip(names, ("48", "false"), strict=True):
+            spark.conf.set(k, v)
+        df = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+        got, n = dict(df.collect()), df.rdd.getNumPartitions()
+    finally:
+        for k, v in zip(names, were, strict=True):
+            spark.conf.set(k, v)
+    assert got == {i: i - i % 2 for i in range(400)}
+    files = {p.name.partition("-")[0]: len(list(p.glob("part-*"))) for p in set(kept.iterdir()) - old}
+    assert {"signed", "placed", "members", "edges", "labels", "known"} <= set(files)
+    assert max(n, *(v for k, v in files.items() if k != "texts")) <= 2 * spark.sparkContext.defaultParallelism
+
+
 # licenses
 
 
