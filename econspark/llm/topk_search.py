@@ -1,7 +1,8 @@
 """Exact top-k by inner product, by distributed histogram selection.
 
-Rows lie in blocks of ids and a matrix; so do the queries. Every pair of a query block and a row block is scored by one matrix
-product in some task. A round counts, for each query, the scores in BINS equal bins of its current range; the sums over all tasks
+Rows lie in blocks of ids and a matrix; so do the queries. Blocks meet in tiles, some row blocks by some query blocks, each of which is one
+task's group of a cogroup: no side is small enough to be sent whole to every task, and the copies that the tiles need are not in Spark's estimate of a
+join. Every pair of a query block and a row block is scored by one matrix product in its tile. A round counts, for each query, the scores in BINS equal bins of its current range; the sums over all tasks
 tell the bin of the k-th score, which is the next, BINS times narrower range. Scores are whole numbers, so after log(range) rounds the range is
 one value: the k-th score itself and how many ties at it belong to the result. A last pass emits the scores above it and, of
 the ties, the smallest ids. No list of scores is ever gathered or sorted.
@@ -16,25 +17,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import need, send_by_value, written
+from ._shared import LARGE_ROWS, need, parts, send_by_value, written
 
 send_by_value(__name__)
 
 BINS, QUERY_BLOCK, ROW_BLOCK = 128, 1024, 2048
+#: A side of a tile has at most so many blocks, and of row blocks as many bytes if there are several.
+TILE_BLOCKS, TILE_BYTES = 32, 16 << 20
+#: Scores are exact in single precision while distances between them are.
+SINGLE_BELOW = 2**23
 _ROWS = "block long, ids binary, wanted binary, mat binary"
 _QUERIES = "qb long, q_ids binary, q_block binary, q_pos binary, q_mat binary"
 
 
-def _matrix(column, width: int) -> np.ndarray:
-    """List column as float64 rows, padded with zeros."""
+def _matrix(column, width: int, kind: str) -> np.ndarray:
+    """List column as rows of floats of a ``kind``, padded with zeros."""
     lengths = np.diff(column.offsets.to_numpy())
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    out = np.zeros((len(column), width))
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(column), width), kind)
     out[np.repeat(np.arange(len(column)), lengths), np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = values
     return out
 
 
-def _make_blocks(width: int) -> Callable:
+def _make_blocks(width: int, kind: str = "f8") -> Callable:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
@@ -46,7 +51,7 @@ def _make_blocks(width: int) -> Callable:
                 ids = piece.column(0).to_numpy()
                 order = np.argsort(ids, kind="stable")  # ties are then taken from the left
                 wanted = piece.column(1).to_numpy(zero_copy_only=False)[order]
-                mat = _matrix(piece.column(2), width)[order]
+                mat = _matrix(piece.column(2), width, kind)[order]
                 row = (part << 32 | n, ids[order].tobytes(), wanted.astype(bool).tobytes(), mat.tobytes())
                 n += 1
                 yield pa.RecordBatch.from_arrays([pa.array([row[0]]), *[pa.array([r], pa.binary()) for r in row[1:]]], ["block", "ids", "wanted", "mat"])
@@ -54,16 +59,16 @@ def _make_blocks(width: int) -> Callable:
     return run
 
 
-def _query_rows(width: int) -> Callable:
+def _query_rows(width: int, kind: str = "f8") -> Callable:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            for row in batch.to_pylist():
-                pos = np.flatnonzero(np.frombuffer(row["wanted"], bool))
-                mat = np.frombuffer(row["mat"]).reshape(-1, width)[pos]
+            for block, ids, wanted, mat in zip(*(batch.column(c) for c in ("block", "ids", "wanted", "mat")), strict=True):
+                pos = np.flatnonzero(np.frombuffer(wanted.as_buffer(), bool))
+                mat = np.frombuffer(mat.as_buffer(), kind).reshape(-1, width)[pos]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.frombuffer(row["ids"], np.int64)[pos]), pa.array(np.full(len(pos), row["block"], np.int64)), pa.array(pos.astype(np.int64)), pa.array([m.tobytes() for m in mat], pa.binary())],
+                    [pa.array(np.frombuffer(ids.as_buffer(), np.int64)[pos]), pa.array(np.full(len(pos), block.as_py(), np.int64)), pa.array(pos.astype(np.int64)), pa.array([m.tobytes() for m in mat], pa.binary())],
                     ["id", "block", "pos", "vec"],
                 )
 
@@ -84,44 +89,47 @@ def _query_blocks(batches: Iterator) -> Iterator:
             n += 1
 
 
-def _scored(row: dict, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query ids, row ids, scores; a query's score with its own row is -inf."""
-    q, c = np.frombuffer(row["q_mat"]).reshape(-1, width), np.frombuffer(row["mat"]).reshape(-1, width)
-    scores = q @ c.T
-    own = np.flatnonzero(np.frombuffer(row["q_block"], np.int64) == row["block"])
-    scores[own, np.frombuffer(row["q_pos"], np.int64)[own]] = -np.inf
-    return np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64), scores
+def _pairs(rows, sent, width: int, kind: str) -> Iterator:
+    """Of a tile's row blocks and query blocks: query block, its range starts and wanted counts, query ids, and for each row block the row ids and scores.
 
+    A query's score with its own row is -inf."""
+    held = [
+        (block.as_py(), np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(mat.as_buffer(), kind).reshape(-1, width)) for block, ids, mat in zip(*(rows.column(c) for c in ("block", "ids", "mat")), strict=True)
+    ]
+    for qb, q_ids, q_block, q_pos, q_mat, lo, want in zip(*(sent.column(c) for c in ("qb", "q_ids", "q_block", "q_pos", "q_mat", "lo", "need")), strict=True):
+        q = np.frombuffer(q_mat.as_buffer(), kind).reshape(-1, width)
+        home, at = np.frombuffer(q_block.as_buffer(), np.int64), np.frombuffer(q_pos.as_buffer(), np.int64)
 
-def _state(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Range starts and wanted counts of a block's queries, in their order."""
-    return np.array(row["lo"], np.float64), np.array(row["need"], np.int64)
+        def scores(q=q, home=home, at=at) -> Iterator:
+            for block, ids, mat in held:
+                out = q @ mat.T
+                own = np.flatnonzero(home == block)
+                out[own, at[own]] = -np.inf
+                yield ids, out
 
+        yield qb.as_py(), lo.values.to_numpy().astype(kind), want.values.to_numpy(), np.frombuffer(q_ids.as_buffer(), np.int64), scores()
 
-def _histograms(width: int, step: int) -> Callable:
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        total: dict[int, np.ndarray] = {}
+def _table(pieces: list[list[np.ndarray]], names: list[str]):
+    import pyarrow as pa
 
-        def rows() -> Iterator:
-            for qb, counts in total.items():
-                n = len(counts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, qb, np.int64)), pa.array(np.arange(n)), *[pa.array(counts[:, i]) for i in range(BINS)]], ["qb", "pos", *[f"b{i}" for i in range(BINS)]])
-            total.clear()
+    return pa.table([pa.array(np.concatenate(c) if pieces else np.empty(0, np.int64), pa.int64()) for c in (zip(*pieces, strict=True) if pieces else names)], names)
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                _, _, scores = _scored(row, width)
-                lo, _ = _state(row)
-                bins = np.floor((scores - lo[:, None]) / step)
-                inside = (bins >= 0) & (bins < BINS)
-                flat = (bins + np.arange(len(lo))[:, None] * BINS)[inside].astype(np.int64)
-                counts = np.bincount(flat, minlength=len(lo) * BINS).reshape(-1, BINS)
-                total[row["qb"]] = total[row["qb"]] + counts if row["qb"] in total else counts
-                if len(total) >= 64:
-                    yield from rows()
-        yield from rows()
+
+def _histograms(width: int, step: int, kind: str = "f8") -> Callable:
+    def run(rows, sent):
+        pieces = []
+        for qb, lo, _, _, scored in _pairs(rows, sent, width, kind):
+            total, first = np.zeros(len(lo) * BINS, np.int64), np.arange(len(lo), dtype=kind)[:, None] * BINS
+            for _, scores in scored:
+                scores -= lo[:, None]
+                scores /= step  # a power of two: exact
+                inside = (scores >= 0) & (scores < BINS)
+                np.floor(scores, out=scores)
+                scores += first
+                total += np.bincount(scores[inside].astype(np.int64), minlength=len(total))
+            pieces.append([np.full(len(lo), qb, np.int64), np.arange(len(lo)), *total.reshape(-1, BINS).T])
+        return _table(pieces, ["qb", "pos", *[f"b{i}" for i in range(BINS)]])
 
     return run
 
@@ -144,25 +152,42 @@ def _narrow(step: int) -> Callable:
     return run
 
 
-def _emit(width: int) -> Callable:
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                q_ids, ids, scores = _scored(row, width)
-                kth, want = _state(row)
-                ties = scores == kth[:, None]
-                take = (scores > kth[:, None]) | (ties & (np.cumsum(ties, axis=1) <= want[:, None]))
-                i, j = np.nonzero(take)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(i), row["qb"], np.int64)), pa.array(i.astype(np.int64)), pa.array(q_ids[i]), pa.array(ids[j]), pa.array(scores[i, j].astype(np.int64))],
-                    ["qb", "pos", "query_id", "id", "score"],
-                )
+def _first_ties(i: np.ndarray, tie: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """Which finds to keep, ordered by query ``i``: all that are no tie, and of each query's ties the first ``want``."""
+    first, ties = np.searchsorted(i, i), np.cumsum(tie)
+    return ~tie | (ties - (ties - tie)[first] <= want[i])
+
+
+def _emit(width: int, kind: str = "f8") -> Callable:
+    def run(rows, sent):
+        pieces = []
+        for qb, kth, want, q_ids, scored in _pairs(rows, sent, width, kind):
+            finds = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, kind))]
+            for ids, scores in scored:
+                i, j = np.nonzero(scores >= kth[:, None])
+                found = scores[i, j]
+                take = _first_ties(i, found == kth[i], want)
+                finds.append((i[take], ids[j[take]], found[take]))
+            i, ids, found = map(np.concatenate, zip(*finds, strict=True))
+            order = np.lexsort((ids, i))
+            i, ids, found = i[order], ids[order], found[order]
+            take = _first_ties(i, found == kth[i], want)
+            i, ids, found = i[take], ids[take], found[take]
+            pieces.append([np.full(len(i), qb, np.int64), i, q_ids[i], ids, found.astype(np.int64)])
+        return _table(pieces, ["qb", "pos", "query_id", "id", "score"])
 
     return run
 
 
+def _groups(rows: int, queries: int, width: int, kind: str, tasks: int) -> tuple[int, int]:
+    """Groups of row blocks and of query blocks: some tiles a task, shaped for few copies, and none beyond its size."""
+    row_blocks, query_blocks = max(1, -(-rows // ROW_BLOCK)), max(1, -(-queries // QUERY_BLOCK))
+    deep = max(1, min(TILE_BLOCKS, TILE_BYTES // (ROW_BLOCK * width * np.dtype(kind).itemsize)))
+    tiles = 16 * tasks
+    of_queries = max(-(-query_blocks // deep), min(query_blocks, round((tiles * queries / max(1, rows)) ** 0.5)), 1)
+    return max(-(-row_blocks // deep), min(row_blocks, -(-tiles // of_queries))), of_queries
+
+
 def exact_top_k(vectors: DataFrame, is_query: Column, k: int, id: str = "vec_id", vector: str = "embedding", scale: float = 64.0) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``id`` and ``score`` of each query's ``k`` highest scores; ties go to the smaller id.
 
@@ -170,7 +195,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int, id: str = "vec_id"
     fits ``is_query`` is a query against every row but itself; with fewer rows all are returned. Vectors that are null or hold null
     or non-finite components, and null ids, take no part. Shorter vectors count as padded with zeros. Rows with an
     id that repeats are rows of their own. Scoring is every query against every row, as stated; row blocks
-    are sent to each query block once per round.
+    are sent to each group of query blocks once per round, and query blocks to each group of row blocks.
     """
     need(vectors, id, vector)
     usable = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -181,32 +206,36 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int, id: str = "vec_id"
         F.count("*").alias("n"), F.sum(F.col("wanted").cast("long")).alias("q"), F.max(F.size("vec")).alias("d"), F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("norm")
     ).first()
     n, q, width = size["n"], size["q"] or 0, max(1, size["d"] or 0)
-    blocks = written(rows.repartition(max(1, -(-n // ROW_BLOCK))).mapInArrow(_make_blocks(width), _ROWS), "topk-rows")
-    queries = blocks.mapInArrow(_query_rows(width), "id long, block long, pos long, vec binary")
-    queries = written(queries.repartition(max(1, -(-q // QUERY_BLOCK))).mapInArrow(_query_blocks, _QUERIES), "topk-queries")
+    kind = "f4" if (size["norm"] or 0) < SINGLE_BELOW else "f8"
+    if kind == "f4":
+        rows = rows.withColumn("vec", F.col("vec").cast("array<float>"))
+    files = [max(1, min(parts(vectors.sparkSession), -(-count // block))) for count, block in ((n, ROW_BLOCK), (q, QUERY_BLOCK))]
+    blocks = written(rows.repartition(files[0]).mapInArrow(_make_blocks(width, kind), _ROWS), "topk-rows", LARGE_ROWS)
+    queries = blocks.mapInArrow(_query_rows(width, kind), "id long, block long, pos long, vec binary")
+    queries = written(queries.repartition(files[1]).mapInArrow(_query_blocks, _QUERIES), "topk-queries", LARGE_ROWS)
     lo = -int(size["norm"] or 0)
     reach, steps = 2 * abs(lo) + 1, [1]
     while steps[0] * BINS < reach:
         steps.insert(0, steps[0] * BINS)
 
     # A tile is one group of row blocks by one group of query blocks; each side is sent once to every tile of its own row or column.
-    row_groups, query_groups = max(1, -(-n // ROW_BLOCK)), max(1, -(-q // (8 * QUERY_BLOCK)))
-    every = lambda groups: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))
-    own = lambda column, groups: F.pmod(F.xxhash64(column), F.lit(groups).cast("long"))
-    row_side = blocks.drop("wanted").withColumn("g", own("block", row_groups)).withColumn("h", every(query_groups))
+    groups = _groups(n, q, width, kind, vectors.sparkSession.sparkContext.defaultParallelism)
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+    own = lambda column, of, count: F.pmod(F.shiftright(column, 32) + F.col(column).bitwiseAND(F.lit((1 << 32) - 1)) * of, F.lit(count).cast("long"))
+    row_side = blocks.drop("wanted").withColumn("g", own("block", files[0], groups[0])).withColumn("h", every(groups[1])).groupBy("g", "h")
 
-    def scored(state: DataFrame) -> DataFrame:
+    def tiles(state: DataFrame, run: Callable, schema: str) -> DataFrame:
         held = state.groupBy("qb").agg(F.sort_array(F.collect_list(F.struct("pos", "lo", "need"))).alias("s"))  # QUERY_BLOCK entries at most
         held = held.select("qb", F.col("s.lo").alias("lo"), F.col("s.need").alias("need"))
-        sent = queries.join(held, "qb").withColumn("h", own("qb", query_groups)).withColumn("g", every(row_groups))
-        return row_side.join(sent, ["g", "h"]).drop("g", "h")
+        sent = queries.hint("merge").join(held, "qb").withColumn("h", own("qb", files[1], groups[1])).withColumn("g", every(groups[0]))
+        return row_side.cogroup(sent.groupBy("g", "h")).applyInArrow(run, schema)
 
     state = queries.select("qb", F.explode(F.sequence(F.lit(0).cast("long"), (F.length("q_ids") / 8 - 1).cast("long"))).alias("pos"), F.lit(lo).cast("long").alias("lo"), F.lit(k).cast("long").alias("need"))
     bins = [f"b{i}" for i in range(BINS)]
     for step in steps:
-        seen = scored(state).mapInArrow(_histograms(width, step), ", ".join(f"{c} long" for c in ("qb", "pos", *bins)))
+        seen = tiles(state, _histograms(width, step, kind), ", ".join(f"{c} long" for c in ("qb", "pos", *bins)))
         summed = seen.groupBy("qb", "pos").agg(*[F.sum(b).alias(b) for b in bins])
-        state = written(state.join(summed, ["qb", "pos"]).select("qb", "pos", "lo", "need", *bins).mapInArrow(_narrow(step), "qb long, pos long, lo long, need long"), "topk-state")
-    found = scored(state).mapInArrow(_emit(width), "qb long, pos long, query_id long, id long, score long")
+        state = written(state.hint("merge").join(summed, ["qb", "pos"]).select("qb", "pos", "lo", "need", *bins).mapInArrow(_narrow(step), "qb long, pos long, lo long, need long"), "topk-state")
+    found = tiles(state, _emit(width, kind), "qb long, pos long, query_id long, id long, score long")
     rank = F.row_number().over(Window.partitionBy("qb", "pos").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id), "score")

@@ -113,6 +113,59 @@ def test_top_k_against_brute_force(spark, monkeypatch):
     assert topk_search.exact_top_k(small.where("vec_id = 0"), F.col("vec_id") % 20 == 0, 20).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["f4", "f8"])
+def test_top_k_over_many_tiles(spark, monkeypatch, kind):
+    import random
+
+    for name, value in (("ROW_BLOCK", 16), ("QUERY_BLOCK", 4), ("TILE_BLOCKS", 3), ("SINGLE_BELOW", 2**23 if kind == "f4" else 0)):
+        monkeypatch.setattr(topk_search, name, value)
+    rng = random.Random(3)
+    rows = [(i, [rng.choice([-0.5, 0.0, 0.25, 1.0, 2.0]) * rng.choice([1.0, 1.0, 1.0 + 1 / 64]) for _ in range(5)]) for i in range(700)]  # many ties
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    shapes, groups = [], topk_search._groups
+    monkeypatch.setattr(topk_search, "_groups", lambda *a: shapes.append((a[3], *groups(*a))) or shapes[-1][1:])
+    got = sorted(tuple(r) for r in topk_search.exact_top_k(df, F.col("vec_id") % 20 == 0, 20).collect())
+    ((used, of_rows, of_queries),) = shapes
+    assert used == kind and of_rows >= 15 and of_queries >= 3
+    assert got == brute(rows, 20)
+
+
+def test_top_k_sends_no_side_whole(spark, monkeypatch, capsys):
+    steps, written = [], topk_search.written
+    monkeypatch.setattr(topk_search, "written", lambda df, *a: steps.append(df) or written(df, *a))
+    df = spark.createDataFrame([(i, [float(i % 7), float(i % 11)]) for i in range(300)], "vec_id long, embedding array<double>")
+    steps.append(topk_search.exact_top_k(df, F.col("vec_id") % 20 == 0, 20))
+    assert len(steps) >= 4 and int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 10 << 20
+    for step in steps:
+        step.explain()
+        step.collect()
+        step.explain()  # as it ran
+    plans = capsys.readouterr().out
+    assert plans.count("isFinalPlan=true") >= 4 and "Broadcast" not in plans
+
+
+def test_ties_are_cut_in_a_tile():
+    import numpy as np
+    import pyarrow as pa
+
+    one = np.ones((3, 2))
+    ids = [np.array([4, 9, 11]), np.array([1, 5, 10]), np.array([2, 3, 30])]
+    rows = pa.table({"block": [7, 8, 9], "ids": [i.tobytes() for i in ids], "mat": [one.tobytes(), one.tobytes(), (one * [[1], [1], [2]]).tobytes()]})
+    sent = pa.table({"qb": [0], "q_ids": [np.array([9, 3]).tobytes()], "q_block": [np.array([7, 9]).tobytes()], "q_pos": [np.array([1, 1]).tobytes()], "q_mat": [one[:2].tobytes()], "lo": [[2, 2]], "need": [[3, 4]]})
+    got = topk_search._emit(2)(rows, sent).to_pylist()
+    assert sorted((r["query_id"], -r["score"], r["id"]) for r in got) == [(3, -4, 30), (3, -2, 1), (3, -2, 2), (3, -2, 4), (3, -2, 5), (9, -4, 30), (9, -2, 1), (9, -2, 2), (9, -2, 3)]
+
+
+def test_tiles_are_bounded():
+    for rows, queries, width, kind, tasks in ((0, 0, 1, "f8", 1), (1, 1, 64, "f4", 8), (51_282, 2565, 64, "f4", 6), (615_384, 30_780, 64, "f4", 12), (10**9, 5 * 10**7, 64, "f4", 100), (10**7, 10**7, 1024, "f8", 6), (10**7, 0, 4, "f4", 6)):
+        of_rows, of_queries = topk_search._groups(rows, queries, width, kind, tasks)
+        blocks = max(1, -(-rows // topk_search.ROW_BLOCK)), max(1, -(-queries // topk_search.QUERY_BLOCK))
+        assert 1 <= of_rows <= blocks[0] and 1 <= of_queries <= blocks[1]
+        size = topk_search.ROW_BLOCK * width * (4 if kind == "f4" else 8)
+        deep = -(-blocks[0] // of_rows), -(-blocks[1] // of_queries)
+        assert max(deep) <= topk_search.TILE_BLOCKS and (deep[0] == 1 or deep[0] * size <= topk_search.TILE_BYTES)
+
+
 # pages
 
 PAGES = {
